@@ -5,9 +5,10 @@ The tables here are literals of a few dozen rows at most, which is why they may
 
 from __future__ import annotations
 
+import json
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # --- fixed values -------------------------------------------------------------------------
 
@@ -127,19 +128,31 @@ def map_column(values: dict) -> Column:
     return F.create_map(*[F.lit(x) for x in chain.from_iterable(values.items())])
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A fixed table as one literal in the plan: no Python RDD, no extra job."""
+    names = [f.name for f in T.StructType.fromDDL(ddl)]
+    text = json.dumps([dict(zip(names, r)) for r in rows], ensure_ascii=False)
+    parsed = F.from_json(F.lit(text), T.ArrayType(T.StructType.fromDDL(ddl)))
+    return spark.range(1).select(F.inline(parsed))
+
+
 def label_table(spark: SparkSession, dataset: str) -> DataFrame:
     if dataset not in LABEL_TABLES:
         raise KeyError(f"no label table for dataset {dataset!r}; have {sorted(LABEL_TABLES)}")
     rows = [(raw, *target) for raw, target in LABEL_TABLES[dataset].items()]
-    return spark.createDataFrame(
-        rows, "dataset_label string, normalized_attack_class string, attack_stage string, label_confidence string"
+    return literal_table(
+        spark,
+        rows,
+        "dataset_label string, normalized_attack_class string, attack_stage string, label_confidence string",
     )
 
 
 def mitre_table(spark: SparkSession) -> DataFrame:
     rows = [(s, t, n, [{"id": i, "name": m} for i, m in k]) for s, (t, n, k) in MITRE_TACTICS.items()]
-    return spark.createDataFrame(
-        rows, "stage string, tactic_id string, tactic_name string, techniques array<struct<id:string,name:string>>"
+    return literal_table(
+        spark,
+        rows,
+        "stage string, tactic_id string, tactic_name string, techniques array<struct<id:string,name:string>>",
     )
 
 
