@@ -67,7 +67,7 @@ def _partials(measures, source) -> list[Column]:
     return out
 
 
-def _long_rows(flows: DataFrame, group_by: str, origin: Column, measures) -> DataFrame:
+def _long_rows(flows: DataFrame, group_by: str, origin: Column, measures, keep: list[str] = ()) -> DataFrame:
     """One row per (flow, dimension) with a value; offsets are microseconds from the grid origin."""
 
     def label(c, default):
@@ -85,6 +85,7 @@ def _long_rows(flows: DataFrame, group_by: str, origin: Column, measures) -> Dat
 
     base = flows.select(
         F.col(group_by).cast("string").alias("host_id"),
+        *keep,
         (micros - origin).alias("_off"),
         label("normalized_attack_class", "Benign").alias("cls"),
         label("attack_stage", "Benign").alias("stg"),
@@ -99,6 +100,7 @@ def _long_rows(flows: DataFrame, group_by: str, origin: Column, measures) -> Dat
     ).filter(F.col("_off").isNotNull() & F.col("host_id").isNotNull())
     long = base.withColumn("_d", F.explode("_dims")).select(
         "host_id",
+        *keep,
         "_off",
         F.col("_d.dim").alias("dim"),
         F.col("_d.num").alias("num"),
@@ -194,7 +196,13 @@ def host_windows(
 
 
 def fold_windows(
-    counts: DataFrame, measures, origin: Column, window_us: int, stride_us: int, min_flows: int = 1
+    counts: DataFrame,
+    measures,
+    origin: Column,
+    window_us: int,
+    stride_us: int,
+    min_flows: int = 1,
+    extra_keys: list[str] = (),
 ) -> DataFrame:
     """Second aggregation: dimension counts to one row per (host, window)."""
     n = F.col("n")
@@ -225,7 +233,7 @@ def fold_windows(
                 aggs.append(F.min(f"lo_{c}").alias(name))
             else:
                 aggs.append(F.max(f"hi_{c}").alias(name))
-    out = counts.groupBy("host_id", "window_idx").agg(*aggs)
+    out = counts.groupBy(*extra_keys, "host_id", "window_idx").agg(*aggs)
     if min_flows > 1:
         out = out.filter(F.col("flow_count") >= min_flows)
 

@@ -2,12 +2,14 @@
 
 Idle gaps cut a conversation at places that depend on neighbouring packets only, so they are
 found with a segmented scan. The active timeout and TCP teardown depend on where the flow
-began; only the packets between two idle cuts need that walk, and only the flow number comes out of
-Python. All flow measures are ordinary aggregates.
+began, so those packets are walked in order; only the flow number comes out of Python and all flow
+measures are ordinary aggregates.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -43,9 +45,10 @@ def conversation_key(packets: DataFrame) -> DataFrame:
 
 
 ORDER = ["ts", "order_no", "src", "seq", "payload_len", "flags"]
+SEGMENT_SECONDS = 900
 
 
-def split_idle(keyed: DataFrame, idle_timeout: float, segment_seconds: float = 900) -> DataFrame:
+def split_idle(keyed: DataFrame, idle_timeout: float, segment_seconds: float = SEGMENT_SECONDS) -> DataFrame:
     """Add ``burst``: number of idle gaps before the packet in its conversation."""
     segment = F.floor(F.col("ts") / segment_seconds).cast("bigint")
     seen = running(keyed, KEY, ORDER, [("_seg", segment)], {"_prev": ("max", "ts")})
@@ -54,33 +57,41 @@ def split_idle(keyed: DataFrame, idle_timeout: float, segment_seconds: float = 9
     return numbered.withColumn("burst", F.col("_b") + F.col("_cut")).drop("_prev", "_cut", "_b")
 
 
-def _walk(ts: np.ndarray, tcp: bool, rst: np.ndarray, fin: np.ndarray, from_a: np.ndarray, active: float) -> np.ndarray:
-    """Flow number of every packet of one burst, in order."""
-    out = np.empty(len(ts), dtype=np.int64)
-    number, first, sides, fresh = 0, 0.0, set(), True
-    for i in range(len(ts)):
-        if not fresh and ts[i] - first > active:
-            number, fresh = number + 1, True
-        if fresh:
-            first, sides, fresh = ts[i], set(), False
-        out[i] = number
+class _Conversation:
+    """Where the current flow of one burst began, and which sides have sent FIN."""
+
+    def __init__(self, active_timeout: float):
+        self.active, self.number, self.first, self.sides, self.fresh = active_timeout, -1, 0.0, set(), True
+
+    def starts_flow(self, ts: float, tcp: bool, rst: bool, fin: bool, from_a: bool) -> bool:
+        new = self.fresh or ts - self.first > self.active
+        if new:
+            self.number, self.first, self.sides, self.fresh = self.number + 1, ts, set(), False
         if tcp:
-            if fin[i]:
-                sides.add(bool(from_a[i]))
-            if rst[i] or len(sides) == 2:
-                number, fresh = number + 1, True
-    return out
+            if fin:
+                self.sides.add(from_a)
+            self.fresh = rst or len(self.sides) == 2
+        return new
+
+
+WALK_KEYS = ["proto", "ai", "ap", "bi", "bp", "burst"]
+WALK_DDL = (
+    "proto int, ai string, ap int, bi string, bp int, burst bigint, ts double, order_no bigint, src string, "
+    "seq bigint, payload_len int, flags string, flow_no bigint"
+)
 
 
 def number_flows(bursts: DataFrame, active_timeout: float) -> DataFrame:
     """Add ``flow_no`` inside each (conversation, burst).
 
-    Bursts that cannot be cut again (shorter than the active timeout, no RST, no FIN) keep number 0
-    and never reach Python; this holds for almost all traffic that is not TCP.
+    Bursts that cannot be cut again (within the active timeout, no RST, no FIN) keep number 0 and
+    never reach Python; this holds for almost all traffic that is not TCP. The others stream through
+    sorted partitions with constant memory, and only the first packet of each flow comes back.
     """
+    flags = F.coalesce("flags", F.lit(""))
+    ending = F.contains(flags, F.lit("R")) | F.contains(flags, F.lit("F"))
     per = bursts.groupBy(*KEY, "burst").agg(
-        (F.max("ts") - F.min("ts")).alias("_len"),
-        F.max((F.contains(F.coalesce("flags", F.lit("")), F.lit("R")) | F.contains(F.coalesce("flags", F.lit("")), F.lit("F"))).cast("int")).alias("_end"),
+        (F.max("ts") - F.min("ts")).alias("_len"), F.max(ending.cast("int")).alias("_end")
     )
     again = (F.col("_len") > active_timeout) | ((F.col("proto") == 6) & (F.col("_end") == 1))
     joined = bursts.join(per.select(*KEY, "burst", again.alias("_again")), [*KEY, "burst"])
@@ -90,39 +101,37 @@ def number_flows(bursts: DataFrame, active_timeout: float) -> DataFrame:
         "proto", F.col("ep_a.ip").alias("ai"), F.col("ep_a.port").alias("ap"), F.col("ep_b.ip").alias("bi"),
         F.col("ep_b.port").alias("bp"), "burst", *ORDER, "from_a",
     )
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ORDER, kind="stable", na_position="first")
-        flags = pdf["flags"].fillna("")
-        number = _walk(
-            pdf["ts"].to_numpy(), bool(pdf["proto"].iloc[0] == 6), flags.str.contains("R").to_numpy(),
-            flags.str.contains("F").to_numpy(), pdf["from_a"].to_numpy(), active_timeout,
-        )
-        # only the first packet of each flow goes back
-        first = np.r_[True, np.diff(number) > 0]
-        return pdf.assign(flow_no=number)[first][["proto", "ai", "ap", "bi", "bp", "burst", *ORDER, "flow_no"]]
-
-    keys = ["proto", "ai", "ap", "bi", "bp", "burst"]
-    starts = slim.groupBy(*keys).applyInPandas(
-        walk,
-        "proto int, ai string, ap int, bi string, bp int, burst bigint, ts double, order_no bigint, src string, "
-        "seq bigint, payload_len int, flags string, flow_no bigint",
-    )
+    ordered = slim.repartition(*WALK_KEYS).sortWithinPartitions(*WALK_KEYS, *ORDER)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, talk = None, None
+        for pdf in batches:
+            marks = pdf["flags"].fillna("")
+            keys = list(zip(*[pdf[c] for c in WALK_KEYS]))
+            columns = zip(keys, pdf["ts"], marks.str.contains("R"), marks.str.contains("F"), pdf["from_a"])
+            begins, numbers = np.zeros(len(pdf), dtype=bool), np.zeros(len(pdf), dtype=np.int64)
+            for i, (k, ts, rst, fin, from_a) in enumerate(columns):
+                if k != key:
+                    key, talk = k, _Conversation(active_timeout)
+                begins[i] = talk.starts_flow(ts, k[0] == 6, rst, fin, from_a)
+                numbers[i] = talk.number
+            yield pdf.assign(flow_no=numbers)[begins][[*WALK_KEYS, *ORDER, "flow_no"]]
+
+    starts = ordered.mapInPandas(walk, WALK_DDL)
     marks = starts.select(
         "proto",
         F.struct(F.col("ai").alias("ip"), F.col("ap").alias("port")).alias("ep_a"),
         F.struct(F.col("bi").alias("ip"), F.col("bp").alias("port")).alias("ep_b"),
         "burst", *ORDER, "flow_no",
     )
-    # a packet belongs to the last flow that started at or before it
+    # equal packets of one instant share a mark, which is harmless: the flow number is a maximum
     names = [*KEY, "burst", *ORDER]
-    joined_marks = rest.join(
-        marks.select(*[F.col(c).alias(f"_m_{c}") for c in names], "flow_no"),
-        _same([*KEY, "burst"]) & _same(ORDER),
-        "left",
-    ).drop(*[f"_m_{c}" for c in names])
-    w = W.partitionBy(*KEY, "burst").orderBy(*ORDER).rowsBetween(W.unboundedPreceding, 0)
-    numbered = joined_marks.withColumn("flow_no", F.max("flow_no").over(w))
+    found = marks.groupBy(*[F.col(c).alias(f"_m_{c}") for c in names]).agg(F.max("flow_no").alias("flow_no"))
+    met = rest.join(found, _same(names), "left").drop(*[f"_m_{c}" for c in names])
+    # a packet belongs to the last flow that began at or before it
+    segment = F.floor(F.col("ts") / SEGMENT_SECONDS).cast("bigint")
+    before = running(met, [*KEY, "burst"], ORDER, [("_seg", segment)], {"_last": ("max", "flow_no")})
+    numbered = before.withColumn("flow_no", F.greatest("flow_no", "_last"))
     return plain.unionByName(numbered.select(*plain.columns))
 
 
