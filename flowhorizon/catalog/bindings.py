@@ -10,6 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.lookups import label_table
 from ..operators import labels as L
+from ..operators.cleaning import flow_features
+from ..operators.sequences import build_sequences, inference_sequences
+from ..operators.splits import temporal_split
+from ..operators.windows import host_windows
+from ..sinks.tables import stage
 
 WINDOW = 6 * 3600
 STRIDE = 3 * 3600
@@ -49,6 +54,23 @@ def labelled_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.map_labels(flows(spark, sf_dir), label_table(spark, "cic_ids2017"), fixed_table=True)
 
 
+def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host windows as a written stage table: later plans scan it several times."""
+    return stage(host_windows(flow_features(labelled_flows(spark, sf_dir)), WINDOW, STRIDE), "windows")
+
+
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build_sequences(windows(spark, sf_dir), LENGTH, 1, 1, WINDOW, STRIDE)
+
+
+def staged_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(sequences(spark, sf_dir), "sequences")
+
+
+def split_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return temporal_split(staged_sequences(spark, sf_dir))
+
+
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored predictions from ``lineitem``: label y, score p on a grid of about a thousand values."""
     li = table(spark, sf_dir, "lineitem")
