@@ -42,9 +42,9 @@ def cumulative_counts(counts: DataFrame, keys: list[str] = ()) -> DataFrame:
         ("_coarse", F.floor(F.col("_fine") * F.lit(COARSE / FINE))),
     ]
     below = running(keyed, ks, ["p"], levels, {"pos_below": ("sum", "pos"), "neg_below": ("sum", "neg")})
-    totals = counts.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    totals = counts.groupBy(*keys).agg(F.sum("pos").alias("pos_total"), F.sum("neg").alias("neg_total"))
     if not keys:
-        out = below.withColumns({"P": totals.select("P").scalar(), "N": totals.select("N").scalar()})
+        out = below.withColumns({c: totals.select(c).scalar() for c in ("pos_total", "neg_total")})
     else:
         out = below.join(totals, list(keys))
     return out.drop("_all")
@@ -54,11 +54,11 @@ def ranking_metrics(scored: DataFrame, keys: list[str] = ()) -> DataFrame:
     """ROC-AUC with average tie ranks (NULL for one class) and average precision (NULL without
     positives), per key."""
     c = cumulative_counts(score_counts(scored, keys), keys)
-    tp, fp = F.col("P") - F.col("pos_below"), F.col("N") - F.col("neg_below")
+    tp, fp = F.col("pos_total") - F.col("pos_below"), F.col("neg_total") - F.col("neg_below")
     agg = c.groupBy(*keys).agg(
         F.sum(F.col("pos") + F.col("neg")).alias("n"),
-        F.max("P").alias("positives"),
-        F.max("N").alias("negatives"),
+        F.max("pos_total").alias("positives"),
+        F.max("neg_total").alias("negatives"),
         F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)).alias("_u"),
         F.sum(F.when(F.col("pos") > 0, F.col("pos") * (tp / (tp + fp)))).alias("_ap"),
     )
@@ -114,8 +114,8 @@ def metrics_at(scored: DataFrame, threshold, keys: list[str] = ()) -> DataFrame:
 def threshold_curve(scored: DataFrame) -> DataFrame:
     """F1 at every distinct score (``p >= score``)."""
     c = cumulative_counts(score_counts(scored))
-    tp, fp = F.col("P") - F.col("pos_below"), F.col("N") - F.col("neg_below")
-    f1 = F.when(tp > 0, 2 * tp / (tp + fp + F.col("P"))).otherwise(0.0)
+    tp, fp = F.col("pos_total") - F.col("pos_below"), F.col("neg_total") - F.col("neg_below")
+    f1 = F.when(tp > 0, 2 * tp / (tp + fp + F.col("pos_total"))).otherwise(0.0)
     return c.select(F.col("p").alias("threshold"), tp.alias("tp"), (tp + fp).alias("predicted"), f1.alias("f1"))
 
 
@@ -254,11 +254,11 @@ def class_auc(test: DataFrame, named_host: str | None = None) -> DataFrame:
     )
     scores = pos.select("p").distinct().join(neg, "p", "full_outer")
     base = scores.select("p", F.lit(0).cast("bigint").alias("pos"), F.coalesce("shared", F.lit(0)).alias("neg"))
-    ranked = cumulative_counts(base).select(F.col("p").alias("_p"), "neg", "neg_below", "N")
+    ranked = cumulative_counts(base).select(F.col("p").alias("_p"), "neg", "neg_below", "neg_total")
     joined = pos.join(ranked, F.col("p") == F.col("_p"))
     agg = joined.groupBy("cls").agg(
         F.sum("pos").alias("positives"),
-        F.max("N").alias("negatives"),
+        F.max("neg_total").alias("negatives"),
         F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)).alias("_u"),
     )
     return agg.select(

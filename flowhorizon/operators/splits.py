@@ -59,7 +59,7 @@ def split_metadata(split: DataFrame, cutoffs: DataFrame, dataset: str, fractions
         nested = per.groupBy("split").agg(
             F.map_from_entries(F.array_sort(F.collect_list(F.struct(column, "n")))).alias("d")
         )
-        return nested.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("split", "d"))))).scalar()
+        return nested.agg(F.map_from_entries(F.collect_list(F.struct("split", "d")))).scalar()
 
     total = counts.agg(
         F.min("lo").alias("global_min_time"),
