@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["flow_queries", "sequence_queries", "evaluation_queries", "audit_queries"]
+MODULES = ["flow_queries", "sequence_queries", "evaluation_queries", "audit_queries", "source_queries"]
 
 
 def load():

@@ -28,7 +28,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical unlabelled flows from ``events``."""
-    e = table(spark, sf_dir, "events")
+    return flow_columns(table(spark, sf_dir, "events"))
+
+
+def flow_columns(e: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     attack = (
         F.when((F.col("event_type") == "error") & (F.col("value") >= 80), "DoS Hulk")
