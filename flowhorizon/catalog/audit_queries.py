@@ -146,7 +146,7 @@ def alerts(spark, sf):
     keyed = made.drop("session_id").join(
         r.select("sequence_id", F.col("o_orderpriority").alias("session_id")), "sequence_id"
     )
-    return risk.assign_ids(keyed)
+    return risk.assign_ids(stage(keyed, "alerts"))
 
 
 @query(
@@ -230,7 +230,7 @@ CHAIN_SQL = {
 
 def plain_alerts(spark, sf):
     """Alerts without the JSON component text, whose number formatting is Spark's own."""
-    return alerts(spark, sf).withColumn("risk_components", F.lit(None).cast("string"))
+    return stage(alerts(spark, sf).withColumn("risk_components", F.lit(None).cast("string")), "alert-table")
 
 
 def chained(spark, sf):

@@ -14,6 +14,7 @@ from ..operators.cleaning import flow_features
 from ..operators.sequences import build_sequences, inference_sequences
 from ..operators.splits import temporal_split
 from ..operators.windows import host_windows
+from ..plans.scan import spread_small
 from ..sinks.tables import stage
 
 WINDOW = 6 * 3600
@@ -23,7 +24,7 @@ HOSTS = 150  # modulus of the peer address
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_small(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.lookups import STAGE_ORDER, THRESHOLD_GRID
 from ..plans.scan import running
+from ..sinks.tables import stage
 
 FINE, COARSE = 1 << 24, 1 << 12
 
@@ -34,7 +35,12 @@ def score_counts(scored: DataFrame, keys: list[str] = (), y: str = "y", p: str =
 
 
 def cumulative_counts(counts: DataFrame, keys: list[str] = ()) -> DataFrame:
-    """Add positives and negatives strictly below each score, and the key's totals."""
+    """Add positives and negatives strictly below each score, and the key's totals.
+
+    The count table is read by several branches of the scan, so it is written once instead of
+    scanning the scored rows for each of them.
+    """
+    counts = stage(counts, "scores")
     keyed = counts.withColumn("_all", F.lit(1))
     ks = [*keys, "_all"]
     levels = [

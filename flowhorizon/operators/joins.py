@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..plans.grid import MICROS
 from ..plans.intervals import interval_join
 from ..plans.scan import running, with_time_halo
+from ..sinks.tables import stage
 
 DAY_US = 86_400 * MICROS
 
@@ -160,6 +161,8 @@ def interval_episodes(
         "_new",
         (F.col("_reach").isNull() | (F.col("_s") - F.col("_reach") > gap_seconds * MICROS)).cast("bigint"),
     )
+    # the second scan reads its input twice, so the first one is written down
+    flagged = stage(flagged.select(*keys, "_s", "_e", "_new"), "episodes")
     numbered = running(flagged, keys, ["_s", "_e"], [("_seg", segment)], {"_prior": ("sum", "_new")})
     return (
         numbered.groupBy(*keys, (F.col("_prior") + F.col("_new")).alias("episode"))
@@ -197,8 +200,10 @@ def lockstep_batches(onsets: DataFrame, scenario: str = "scenario", onset: str =
     flagged = prev.withColumn(
         "_new", (F.col("_prev").isNull() | (F.col("_t") - F.col("_prev") > chain_seconds * MICROS)).cast("bigint")
     )
+    flagged = stage(flagged, "lockstep")
     numbered = running(flagged, [scenario], order, [("_seg", segment)], {"_before": ("sum", "_new")})
     batched = numbered.withColumn("batch", F.col("_before") + F.col("_new")).drop("_t", "_prev", "_new", "_before")
+    batched = stage(batched, "batches")
     sizes = batched.groupBy(F.col(scenario).alias("_s"), F.col("batch").alias("_b")).agg(
         F.count(F.lit(1)).alias("batch_size")
     )

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.lookups import STAGE_ORDER, map_column
 from ..functions.scalars import canonical_text
 from ..plans.scan import row_index
+from ..sinks.tables import stage
 from .ledger import BLOCK_ROWS, chain_rows, chain_violations
 
 STATES = ["open", "acknowledged", "response_approved", "dismissed", "reopened"]
@@ -82,6 +83,7 @@ def replay_states(actions: DataFrame, initial: DataFrame | None = None, fold_row
     runs = indexed.groupBy("alert_id", "run").agg(
         F.array_sort(F.collect_list(F.struct("row_idx", "action_id", "action"))).alias("steps")  # <= fold_rows
     )
+    runs = stage(runs, "runs")  # read once per branch below
     ends = F.array(*[F.element_at(_walk(F.col("steps"), F.lit(s)), -1) for s in STATES])
     maps = runs.select("alert_id", "run", ends.alias("ends"))
     if initial is not None:
@@ -98,7 +100,7 @@ def replay_states(actions: DataFrame, initial: DataFrame | None = None, fold_row
         return pd.DataFrame({"alert_id": pdf["alert_id"], "run": pdf["run"], "start": starts})
 
     # run 0 starts from the initial state; only alerts with more runs need the fold
-    long = maps.withColumn("_runs", F.max("run").over(_by_alert()))
+    long = maps.withColumn("_runs", F.max("run").over(W.partitionBy("alert_id")))
     short = long.filter("_runs = 0").select("alert_id", "run", F.coalesce("first", F.lit("open")).alias("start"))
     folded = (
         long.filter("_runs > 0")
@@ -118,12 +120,6 @@ def replay_states(actions: DataFrame, initial: DataFrame | None = None, fold_row
     )
 
 
-def _by_alert():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("alert_id")
-
-
 def record_actions(actions: DataFrame, alerts: DataFrame, initial: DataFrame | None = None) -> DataFrame:
     """Decide a batch of proposed actions in ``action_id`` order.
 

@@ -147,22 +147,26 @@ def value_counts_by_window(
     return _merge_values(spread, "window_idx", measures)
 
 
-def _dominant(labels: Column, field: str) -> Column:
-    """Most frequent non-benign name, alphabetical on ties; Benign when there is none."""
-    attacks = F.filter(labels, lambda e: F.lower(e[field]) != "benign")
-    names = F.array_distinct(F.transform(attacks, lambda e: e[field]))
-    scored = F.transform(names, lambda x: F.struct((-_count_of(labels, field, x)).alias("rank"), x.alias("name")))
-    return F.coalesce(F.array_min(scored)["name"], F.lit("Benign"))
+def _per_name(labels: Column, field: str) -> Column:
+    """``array<struct<name, n>>``: flows per distinct name. Usually one label, so that case is direct."""
 
+    def count_of(x):
+        hits = F.filter(labels, lambda e: e[field] == x)
+        return F.aggregate(hits, F.lit(0).cast("bigint"), lambda acc, e: acc + e["n"])
 
-def _count_of(labels: Column, field: str, name: Column) -> Column:
-    hits = F.filter(labels, lambda e: e[field] == name)
-    return F.aggregate(hits, F.lit(0).cast("bigint"), lambda acc, e: acc + e["n"])
+    names = F.array_distinct(F.transform(labels, lambda e: e[field]))
+    one = F.array(F.struct(labels[0][field].alias("name"), labels[0]["n"].alias("n")))
+    many = F.transform(names, lambda x: F.struct(x.alias("name"), count_of(x).alias("n")))
+    return F.when(F.size(labels) == 1, one).otherwise(many)
 
 
-def _per_name(labels: Column, field: str) -> Column:
-    names = F.array_distinct(F.transform(labels, lambda e: e[field]))
-    return F.transform(names, lambda x: F.struct(x.alias("name"), _count_of(labels, field, x).alias("n")))
+def _most_frequent(counts: Column) -> Column:
+    """Highest count, alphabetical on ties; NULL for an empty list."""
+    return F.array_min(F.transform(counts, lambda e: F.struct((-e["n"]).alias("rank"), e["name"].alias("name"))))["name"]
+
+
+def _attacks(counts: Column) -> Column:
+    return F.filter(counts, lambda e: F.lower(e["name"]) != "benign")
 
 
 def host_windows(
@@ -240,39 +244,36 @@ def fold_windows(
     names = {name for wanted in measures.values() for name, _ in wanted}
     packets = F.greatest(F.col("packet_count_sum"), F.lit(1.0))
     labels = F.col("_labels")
-    attack_n = F.aggregate(
-        F.filter(labels, lambda e: F.lower(e["cls"]) != "benign"), F.lit(0).cast("bigint"), lambda a, e: a + e["n"]
-    )
+    out = out.withColumns({f"_{f}": _per_name(labels, f) for f in ("raw", "cls", "stg")})
+    out = out.withColumns({"_acls": _attacks(F.col("_cls")), "_astg": _attacks(F.col("_stg"))})
+    attack_n = F.aggregate("_acls", F.lit(0).cast("bigint"), lambda a, e: a + e["n"])
+    ratios = {
+        f"{f}_ratio": clip(F.col(f"{f}_count_sum") / packets, 0.0, 1.0) if f"{f}_count_sum" in names else F.lit(0.0)
+        for f in RATIO_FLAGS
+    }
     out = out.withColumns(
         {
             "window_start": at_micros(origin + F.col("window_idx") * stride_us),
             "window_end": at_micros(origin + F.col("window_idx") * stride_us + window_us),
-            **{
-                f"{f}_ratio": clip(F.col(f"{f}_count_sum") / packets, 0.0, 1.0)
-                if f"{f}_count_sum" in names
-                else F.lit(0.0)
-                for f in RATIO_FLAGS
-            },
+            **ratios,
             "communication_fan_out": F.col("unique_destination_ips") / F.col("flow_count"),
-            "_attack_n": attack_n,
-            "dominant_dataset_label": F.array_min(
-                F.transform(_per_name(labels, "raw"), lambda e: F.struct((-e["n"]).alias("rank"), e["name"].alias("name")))
-            )["name"],
-            "dominant_class": _dominant(labels, "cls"),
-            "dominant_stage": _dominant(labels, "stg"),
-            "stage_counts": F.map_from_entries(_per_name(labels, "stg")),
-            "stage_distribution": counts_json(_per_name(labels, "stg")),
+            "_share": attack_n / F.col("flow_count"),
+            "dominant_dataset_label": _most_frequent(F.col("_raw")),
+            "dominant_class": F.coalesce(_most_frequent(F.col("_acls")), F.lit("Benign")),
+            "dominant_stage": F.coalesce(_most_frequent(F.col("_astg")), F.lit("Benign")),
+            "stage_counts": F.map_from_entries("_stg"),
+            "stage_distribution": counts_json(F.col("_stg")),
         }
     )
-    ratio = F.col("_attack_n") / F.col("flow_count")
+    share = F.col("_share")
     return out.withColumns(
         {
-            "attack_flow_ratio": ratio,
-            "benign_flow_ratio": 1.0 - ratio,
-            "attack_present": (F.col("_attack_n") > 0).cast("int"),
-            "label_confidence": F.when(F.col("_attack_n") > 0, "inferred").otherwise("ground_truth"),
+            "attack_flow_ratio": share,
+            "benign_flow_ratio": 1.0 - share,
+            "attack_present": (share > 0).cast("int"),
+            "label_confidence": F.when(share > 0, "inferred").otherwise("ground_truth"),
         }
-    ).drop("_labels", "_attack_n")
+    ).drop("_labels", "_raw", "_cls", "_stg", "_acls", "_astg", "_share")
 
 
 def label_matrix(

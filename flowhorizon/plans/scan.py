@@ -102,3 +102,13 @@ def with_time_halo(
     first = F.floor(t / span_micros).cast("bigint")
     last = F.floor((t + back_micros) / span_micros).cast("bigint")
     return df.withColumn(name, F.explode(F.sequence(first, last))).withColumn("_own", F.col(name) == first)
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Deal a table with fewer splits than cores out to all cores.
+
+    Only inputs of a few splits qualify (a large table has more splits than cores and is returned
+    as it is), so what moves is at most ``cores x spark.sql.files.maxPartitionBytes``.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

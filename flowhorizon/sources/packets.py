@@ -1,7 +1,7 @@
 """Decoded packets to bidirectional flows.
 
-Idle gaps cut a conversation at places that depend on neighbouring packets only, so they are
-found with a segmented scan. The active timeout and TCP teardown depend on where the flow
+Idle gaps cut a conversation at places that depend on the packets just before only, so they are
+found with windows over time spans with a halo. The active timeout and TCP teardown depend on where the flow
 began, so those packets are walked in order; only the flow number comes out of Python and all flow
 measures are ordinary aggregates.
 """
@@ -15,8 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.scalars import protocol_name
-from ..plans.scan import running
+from ..plans.scan import running, with_time_halo
 from ..schema import coerce_flows
+from ..sinks.tables import stage
 
 PACKET_DDL = (
     "ts double, src string, dst string, sport int, dport int, proto int, payload_len int, ttl int, "
@@ -49,12 +50,22 @@ SEGMENT_SECONDS = 900
 
 
 def split_idle(keyed: DataFrame, idle_timeout: float, segment_seconds: float = SEGMENT_SECONDS) -> DataFrame:
-    """Add ``burst``: number of idle gaps before the packet in its conversation."""
+    """Add ``burst``, the number of the idle-free stretch of the packet's conversation.
+
+    Whether a packet opens a stretch depends on the ``idle_timeout`` before it only, which a time
+    halo answers without a join; numbering the stretches is one segmented running sum.
+    """
+    back = round(idle_timeout * 1_000_000)
+    span = max(round(segment_seconds * 1_000_000), 8 * back)
+    timed = keyed.withColumn("_us", F.round(F.col("ts") * 1e6).cast("bigint"))
+    halo = with_time_halo(timed, "_us", back, span)
+    w = W.partitionBy(*KEY, "_span").orderBy(*ORDER)
+    gap = F.col("ts") - F.lag("ts").over(w)
+    cut = halo.withColumn("_cut", F.coalesce(gap > idle_timeout, F.lit(True)).cast("bigint")).filter("_own")
+    slim = cut.drop("_us", "_span", "_own")
     segment = F.floor(F.col("ts") / segment_seconds).cast("bigint")
-    seen = running(keyed, KEY, ORDER, [("_seg", segment)], {"_prev": ("max", "ts")})
-    cut = seen.withColumn("_cut", F.coalesce(F.col("ts") - F.col("_prev") > idle_timeout, F.lit(False)).cast("bigint"))
-    numbered = running(cut, KEY, ORDER, [("_seg", segment)], {"_b": ("sum", "_cut")})
-    return numbered.withColumn("burst", F.col("_b") + F.col("_cut")).drop("_prev", "_cut", "_b")
+    numbered = running(stage(slim, "packets"), KEY, ORDER, [("_seg", segment)], {"_b": ("sum", "_cut")})
+    return numbered.withColumn("burst", F.col("_b") + F.col("_cut")).drop("_cut", "_b")
 
 
 class _Conversation:
@@ -117,7 +128,7 @@ def number_flows(bursts: DataFrame, active_timeout: float) -> DataFrame:
                 numbers[i] = talk.number
             yield pdf.assign(flow_no=numbers)[begins][[*WALK_KEYS, *ORDER, "flow_no"]]
 
-    starts = ordered.mapInPandas(walk, WALK_DDL)
+    starts = stage(ordered.mapInPandas(walk, WALK_DDL), "flow-starts")  # one row per flow
     marks = starts.select(
         "proto",
         F.struct(F.col("ai").alias("ip"), F.col("ap").alias("port")).alias("ep_a"),
@@ -148,7 +159,8 @@ def packets_to_flows(packets: DataFrame, idle_timeout: float = 120.0, active_tim
     after the active timeout, on RST, or once FIN was seen from both sides."""
     if idle_timeout <= 0 or active_timeout <= 0:
         raise ValueError("timeouts must be positive")
-    numbered = number_flows(split_idle(conversation_key(packets), idle_timeout), active_timeout)
+    bursts = stage(split_idle(conversation_key(packets), idle_timeout), "bursts")
+    numbered = number_flows(bursts, active_timeout)
     flow = [*KEY, "burst", "flow_no"]
     part = W.partitionBy(*flow)
     ordered = part.orderBy(*ORDER)
