@@ -79,37 +79,32 @@ def _long_rows(flows: DataFrame, group_by: str, origin: Column, measures, keep:
 
     micros = F.unix_micros(F.col("timestamp").cast("timestamp"))
     none_s, none_n = F.lit(None).cast("string"), F.lit(None).cast("bigint")
-
-    def dim(code, number, text):
-        return F.struct(F.lit(code).alias("dim"), number.alias("num"), text.alias("txt"))
-
-    base = flows.select(
+    values = [
+        (LABEL, none_n, label("dataset_label", "BENIGN")),
+        (DST_IP, none_n, F.col("destination_ip").cast("string")),
+        (DST_PORT, num("destination_port"), none_s),
+        (SRC_PORT, num("source_port"), none_s),
+        (SECOND, F.floor(micros / F.lit(1_000_000)).cast("bigint"), none_s),
+    ]
+    flat = [c for code, number, text in values for c in (F.lit(code), number, text)]
+    base = flows.filter(F.col("timestamp").isNotNull() & F.col(group_by).isNotNull())
+    long = base.select(
         F.col(group_by).cast("string").alias("host_id"),
         *keep,
         (micros - origin).alias("_off"),
         label("normalized_attack_class", "Benign").alias("cls"),
         label("attack_stage", "Benign").alias("stg"),
-        *[F.col(c).cast("double").alias(c) for c in measures],
-        F.array(
-            dim(LABEL, none_n, label("dataset_label", "BENIGN")),
-            dim(DST_IP, none_n, F.col("destination_ip").cast("string")),
-            dim(DST_PORT, num("destination_port"), none_s),
-            dim(SRC_PORT, num("source_port"), none_s),
-            dim(SECOND, F.floor(micros / F.lit(1_000_000)).cast("bigint"), none_s),
-        ).alias("_dims"),
-    ).filter(F.col("_off").isNotNull() & F.col("host_id").isNotNull())
-    long = base.withColumn("_d", F.explode("_dims")).select(
-        "host_id",
-        *keep,
-        "_off",
-        F.col("_d.dim").alias("dim"),
-        F.col("_d.num").alias("num"),
-        F.col("_d.txt").alias("txt"),
-        F.when(F.col("_d.dim") == LABEL, F.col("cls")).alias("cls"),
-        F.when(F.col("_d.dim") == LABEL, F.col("stg")).alias("stg"),
-        *[F.when(F.col("_d.dim") == LABEL, F.col(c)).alias(c) for c in measures],
-    )
-    return long.filter(F.col("num").isNotNull() | F.col("txt").isNotNull())
+        *[F.col(c).cast("double").alias(f"m_{c}") for c in measures],
+        F.stack(F.lit(len(values)), *flat).alias("dim", "num", "txt"),
+    ).filter(F.col("num").isNotNull() | F.col("txt").isNotNull())
+
+    def on_label(c):
+        return F.when(F.col("dim") == LABEL, F.col(c))
+
+    return long.select(
+        "host_id", *keep, "_off", "dim", "num", "txt", on_label("cls").alias("cls"), on_label("stg").alias("stg"),
+        *[on_label(f"m_{c}").alias(c) for c in measures],
+    )
 
 
 VALUE_KEYS = ["dim", "num", "txt", "cls", "stg"]
