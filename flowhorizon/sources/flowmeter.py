@@ -50,17 +50,24 @@ HEADERS = {
     "label": "dataset_label",
 }
 
+# Spark reads Latin-1; the files are windows-1252, which differs in the range 0x80-0x9F only
+_C1 = [i for i in range(0x80, 0xA0) if bytes([i]).decode("cp1252", "ignore")]
+LATIN, WINDOWS = "".join(map(chr, _C1)), bytes(_C1).decode("cp1252")
 
-def read_flowmeter(spark: SparkSession, path: str) -> DataFrame:
+
+def read_flowmeter(spark: SparkSession, path: str, header: str | None = None) -> DataFrame:
     """All CSV files under a folder as text columns with canonical names, plus ``source_file``.
 
-    Header spelling varies between files, so files are grouped by their header line (one small
-    job reads only first lines) and each group is one scan; column pruning reaches the parser.
+    Header spelling varies between files, so files are grouped by their header line and each group
+    is one scan whose column pruning reaches the parser. Finding the headers reads the first split
+    of every file; give ``header`` when all files share one and that pass is skipped.
     """
+    if header is not None:
+        return _scan(spark, [path], header)
     listing = (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.csv")
-        .option("encoding", "windows-1252")
+        .option("encoding", "iso-8859-1")
         .option("header", False)
         .option("quote", "\u0000")
         .option("sep", "\u0001")
@@ -83,8 +90,10 @@ def _scan(spark: SparkSession, files: list[str], header: str) -> DataFrame:
     schema = ", ".join(f"c{i} string" for i in range(len(names)))
     raw = (
         spark.read.option("header", True)
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.csv")
         .option("enforceSchema", True)
-        .option("encoding", "windows-1252")
+        .option("encoding", "iso-8859-1")
         .option("mode", "PERMISSIVE")
         .schema(schema)
         .csv(files)
@@ -93,7 +102,8 @@ def _scan(spark: SparkSession, files: list[str], header: str) -> DataFrame:
     for i, n in enumerate(names):
         target = HEADERS.get(n.strip().strip('"').lower())
         if target:
-            wanted.setdefault(target, []).append(F.col(f"c{i}"))
+            text = F.translate(f"c{i}", LATIN, WINDOWS) if target == "dataset_label" else F.col(f"c{i}")
+            wanted.setdefault(target, []).append(text)
     picked = [F.coalesce(*cols).alias(t) if len(cols) > 1 else cols[0].alias(t) for t, cols in wanted.items()]
     return raw.select(*picked, F.col("_metadata.file_name").alias("source_file"))
 

@@ -189,7 +189,7 @@ def packets_to_flows(packets: DataFrame, idle_timeout: float = 120.0, active_tim
         F.sum(F.col("ttl").cast("double") * F.col("ttl")).alias("t2"),
         *[F.sum(F.contains(flags, F.lit(x)).cast("double")).alias(f"{n}_count") for n, x in FLAG_LETTERS.items()],
         F.min(F.when(fwd & F.col("window").isNotNull(), F.struct(rank.alias("r"), "window"))).alias("w"),
-        F.coalesce(F.count(segment) - 1, F.lit(0)).alias("again"),
+        F.greatest(F.count(segment) - 1, F.lit(0)).alias("again"),
     )
 
     def std(n, s1, s2):

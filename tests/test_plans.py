@@ -89,6 +89,9 @@ def test_exact_quantiles(spark):
         for r in exact_quantiles(df, "v", fractions, ["g"], accuracy).collect():
             assert r["quantile"] == pytest.approx(np.quantile(data[r["g"]], r["fraction"]), abs=1e-12)
             assert r["n"] == len(data[r["g"]])
+    tiny = spark.createDataFrame([("t", float(v)) for v in (1, 2, 2.5, 2.5, 2.5, 3, 10)], "g string, v double")
+    r = {x["fraction"]: x["quantile"] for x in exact_quantiles(tiny, "v", [0.25, 0.75], ["g"]).collect()}
+    assert r == {0.25: 2.25, 0.75: 2.75}
     got = grid_quantiles(df.filter("g = 'b'"), "v", [0.3, 0.5]).first()["quantiles"]
     assert got == pytest.approx(list(np.quantile(data["b"], [0.3, 0.5])))
 
