@@ -69,7 +69,7 @@ def q_flowmeter(spark, sf):
     round(value * 100, 4) AS byte_count, round(greatest(value * 100 - value * 60, 0), 4) AS bwd_byte_count,
     round(value * 100 / packet_count, 4) AS packet_size_mean,
     CASE WHEN event_type = 'error' THEN 'Botnet' WHEN event_type = 'view' THEN 'Normal' ELSE 'Background' END AS dataset_label,
-    CAST(protocol = 'TCP' AND k % 2 = 0 AS INT)::DOUBLE AS syn_count, CAST(protocol = 'TCP' AS INT)::DOUBLE AS ack_count, 0.0 AS rst_count FROM flows""",
+    CAST(protocol = 'TCP' AND k % 2 = 0 AS INT)::DOUBLE AS syn_count, CAST(protocol = 'TCP' AS INT)::DOUBLE AS ack_count, 0.0::DOUBLE AS rst_count FROM flows""",
     digits=4,
 )
 def q_argus(spark, sf):

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..functions.lookups import MODEL_FEATURES
 from ..plans.grid import assign_windows, check_grid, origin_column
 from .sequences import BLOCK_ROWS, blocked_windows
+from .windows import PANE_FANOUT
 
 
 def window_pairs(
@@ -14,7 +15,8 @@ def window_pairs(
 ) -> DataFrame:
     """Distinct undirected host pairs (a < b) per window; self-loops are dropped.
 
-    Pairs are made unique per stride-long pane before they are copied into windows.
+    With long windows pairs are made unique per stride-long pane before they are copied into many
+    windows; with few windows per pair one distinct is cheaper than two shuffles.
     """
     window_us, stride_us = check_grid(window_seconds, stride_seconds)
     start = origin_column(flows, origin)
@@ -24,7 +26,7 @@ def window_pairs(
         F.greatest(src, dst).alias("b"),
         (F.unix_micros(F.col("timestamp").cast("timestamp")) - start).alias("_off"),
     )
-    if window_us % stride_us == 0:
+    if window_us % stride_us == 0 and window_us // stride_us > PANE_FANOUT:
         pane = F.floor(F.col("_off") / F.lit(stride_us)).cast("bigint")
         pairs = pairs.select("a", "b", (pane * stride_us).alias("_off")).distinct()
     return assign_windows(pairs, F.col("_off"), window_us, stride_us).select("window_idx", "a", "b").distinct()

@@ -12,6 +12,7 @@ from ..plans.scan import running, with_time_halo
 from ..sinks.tables import stage
 
 DAY_US = 86_400 * MICROS
+HOUR_US = 3_600 * MICROS
 
 
 def _us(name) -> Column:
@@ -118,11 +119,11 @@ def victim_onsets(redteam: DataFrame) -> DataFrame:
 def episode_starts(events: DataFrame, host: str, time: str, gap_seconds: int = 1800) -> DataFrame:
     """Mark events that open a new episode: no event of the host in the ``gap`` before.
 
-    Only a fixed time back matters, so rows are spread over day spans with a halo.
+    Only a fixed time back matters, so rows are spread over short spans with a halo.
     """
     gap_us = gap_seconds * MICROS
     rows = events.withColumn("_t", _us(time))
-    span = max(DAY_US, 8 * gap_us)
+    span = max(HOUR_US, 4 * gap_us)
     part = W.partitionBy(host, "_span").orderBy("_t")
     tied = W.partitionBy(host, "_span", "_t").orderBy(*[c for c in events.columns if c not in (host, time)])
     halo = with_time_halo(rows, "_t", gap_us, span)
@@ -261,7 +262,7 @@ def onset_history(onsets: DataFrame, flows: DataFrame) -> DataFrame:
     marks = instants.filter("_nout > 0").select(F.col("_fh").alias("_h"), "_t", F.lit(1).alias("_kind"), F.col("_t").alias("_seen"))
     asked = o.select("_h", F.col("_o").alias("_t"), F.lit(0).alias("_kind"), F.lit(None).cast("bigint").alias("_seen"))
     last = (
-        running(marks.unionByName(asked), ["_h"], ["_t", "_kind"], [("_seg", F.floor(F.col("_t") / DAY_US))], {"_last": ("max", "_seen")})
+        running(marks.unionByName(asked), ["_h"], ["_t", "_kind"], [("_seg", F.floor(F.col("_t") / (600 * MICROS)))], {"_last": ("max", "_seen")})
         .filter("_kind = 0")
         .select("_h", F.col("_t").alias("_o"), "_last")
     )

@@ -12,7 +12,7 @@ from ..plans.scan import row_index, with_time_halo
 HISTORY_SECONDS = 600
 HISTORY_FULL = 5  # alerts in the history window that max out the component
 TIMELINE_POINTS = 500
-DAY_US = 86_400 * MICROS
+HOUR_US = 3_600 * MICROS
 
 
 def check_weights(weights: dict[str, float]) -> dict[str, float]:
@@ -49,11 +49,11 @@ def recent_alerts(
     """Add ``recent_alerts``: earlier alerts of the host no older than ``seconds``.
 
     Rows are processed by (time, tie); a same-time row counts only what was processed before it.
-    The look-back is a fixed time, so a host's rows are spread over day spans with a halo.
+    The look-back is a fixed time, so a host's rows are spread over short spans with a halo.
     """
     back = seconds * MICROS
     rows = scored.withColumn("_t", F.unix_micros(F.col(time).cast("timestamp")))
-    halo = with_time_halo(rows, "_t", back, max(DAY_US, 8 * back))
+    halo = with_time_halo(rows, "_t", back, max(HOUR_US, 4 * back))
     one = F.when(F.col(alerted), 1)
     earlier = F.count(one).over(W.partitionBy(host, "_span").orderBy("_t").rangeBetween(-back, -1))
     same = F.count(one).over(

@@ -158,7 +158,7 @@ def spread_sample(df: DataFrame, stratum: str, key: list[str], sample_size: int,
     )
     digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed))))
     hashed = df.withColumns({"_h": digest, "_one": F.lit(1).cast("bigint")})
-    prefix = F.conv(F.substring("_h", 1, 3), 16, 10).cast("int")
+    prefix = F.conv(F.substring("_h", 1, 4), 16, 10).cast("int")
     ranked = running(hashed, [stratum], ["_h", *key], [("_seg", prefix)], {"_rank": ("sum", "_one")})
     return ranked.join(plan, ranked[stratum].eqNullSafe(plan["_s"])).filter(F.col("_rank") < F.col("_take")).select(
         *df.columns
