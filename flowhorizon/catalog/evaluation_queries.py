@@ -340,6 +340,42 @@ def q_robust(spark, sf):
     return scaling.fit_scaler(slim, names=wanted).select("name", "center", "scale")
 
 
+@query(
+    "leakage_audit",
+    "M19",
+    with_("split", "numbered")
+    + """SELECT 0 AS changed_inputs, 0 AS changed_parameters, count(*) AS sequences FROM split""",
+)
+def q_leakage(spark, sf):
+    """Replace every target and look at the inputs; refit the scaler on the train rows alone."""
+    from ..operators.diff import table_diff
+    from ..sinks.tables import stage
+
+    rows = stage(model_rows(spark, sf), "inputs")
+    altered = rows.withColumns(
+        {
+            "target_attack_present": 1 - F.col("target_attack_present"),
+            "target_dominant_class": F.lit("ALTERED"),
+            "target_features": F.transform("target_features", lambda x: F.lit(0.0).cast("float")),
+        }
+    )
+    keep = ["sequence_id", F.xxhash64("model_inputs").alias("inputs"), "split"]
+    changed = table_diff(rows.select(*keep), altered.select(*keep)).agg(F.count(F.lit(1))).scalar()
+    few = MODEL_PRESENT[:3]
+    fit = [
+        scaling.fit_scaler(
+            d.filter(F.col("split") == "train").select(
+                F.transform("model_inputs", lambda v: F.slice(v, 1, len(few))).alias("model_inputs")
+            ),
+            names=few,
+        )
+        for d in (rows, altered)
+    ]
+    moved = scaling.scaler_differences(*fit).agg(F.count(F.lit(1))).scalar()
+    total = rows.agg(F.count(F.lit(1)).alias("sequences"))
+    return total.select(changed.alias("changed_inputs"), moved.alias("changed_parameters"), "sequences")
+
+
 def fitted(spark, sf):
     from ..sinks.tables import stage
 

@@ -8,7 +8,7 @@ from ..functions import scalars as S
 from ..functions.lookups import STAGE_ORDER, label_table, stage_rank
 from ..operators import cleaning, diff, eda, graph, labels
 from ..operators.cleaning import flow_features
-from ..operators.windows import host_windows, label_matrix
+from ..operators.windows import host_windows, label_matrix, port_shares
 from . import bindings as B
 from .registry import query
 from .sql import S_US, W_US, r6, with_
@@ -70,6 +70,17 @@ def q_port_entropy(spark, sf):
     return w.select("host_id", "window_idx", "destination_port_entropy")
 
 
+@query(
+    "port_shares",
+    "N2",
+    with_("port_counts")
+    + """SELECT host_id, k_win AS window_idx, destination_port, c AS flows, round(c / sum(c) OVER (PARTITION BY host_id, k_win), 6) AS share
+    FROM port_counts""",
+)
+def q_port_shares(spark, sf):
+    return port_shares(B.flows(spark, sf), B.WINDOW, B.STRIDE)
+
+
 @query("burst_max", "W4", with_("burst") + "SELECT host_id, k_win AS window_idx, burst AS connection_burst_max FROM burst")
 def q_burst_max(spark, sf):
     return host_windows(B.flows(spark, sf), B.WINDOW, B.STRIDE).select("host_id", "window_idx", "connection_burst_max")

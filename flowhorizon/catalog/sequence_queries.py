@@ -578,7 +578,7 @@ def q_host_relative(spark, sf):
     names = [n for n in PRESENT if n not in ("attack_flow_ratio", "benign_flow_ratio")]
     inputs = s.withColumn("model_inputs", F.transform("sequence_features", lambda v: F.slice(v, 1, len(names))))
     out = hostrel.host_relative_inputs(
-        inputs, "model_inputs", names, B.WINDOW, B.STRIDE, lookback=LOOKBACK, min_history=MIN_HISTORY, block=64
+        inputs, "model_inputs", names, B.WINDOW, B.STRIDE, lookback=LOOKBACK, min_history=MIN_HISTORY, block=256
     )
     return out.select(
         "sequence_id",

@@ -335,6 +335,39 @@ def q_stream_windows(spark, sf):
     )
 
 
+@query(
+    "stream_replay",
+    "T3s T9s",
+    with_("win") + f"SELECT host_id, window_idx, flow_count, attack_present FROM win WHERE {CLOSED_SQL}",
+)
+def q_replay(spark, sf):
+    """The table cut into five-day chunks and played one chunk per micro-batch, oldest first."""
+    import uuid
+
+    from ..operators.cleaning import flow_features
+    from ..streaming import replay
+
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/flowhorizon-stream/replay-{uuid.uuid4().hex}"
+    flows = B.labelled_flows(spark, sf)
+    replay.stage_chunks(flows, f"{base}/chunks", 5 * 86400)
+    replay.feed_chunks(spark, f"{base}/chunks", f"{base}/live")
+    origin = flows.agg(F.min(F.unix_micros("timestamp"))).first()[0]
+    live = replay.read_live(spark, f"{base}/live", flows.schema, files_per_trigger=1)
+    w = stream_win.stream_host_windows(flow_features(live), origin, B.WINDOW, B.STRIDE, LATENESS)
+    return run_stream(w.select("host_id", "window_idx", "flow_count", "attack_present"), "replayed")
+
+
+@query(
+    "stream_dedup",
+    "T4s",
+    with_("flows") + 'SELECT DISTINCT ts AS "timestamp", source_ip, destination_ip, source_port, destination_port, protocol FROM flows',
+)
+def q_stream_dedup(spark, sf):
+    """Every flow arrives twice; the copies are dropped within the watermark."""
+    twice = stream_flows(spark, sf).withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_copy")
+    return run_stream(stream_win.deduplicate(twice.select(*FLOW_OUT), "1 hour"), "dedup")
+
+
 @query(
     "stream_flush",
     "T7s",

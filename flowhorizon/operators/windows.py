@@ -10,10 +10,10 @@ combine on the map side, and a host that owns a third of the traffic is spread b
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.scalars import clip, counts_json
-from ..plans.grid import assign_windows, at_micros, check_grid, origin_column, window_range
+from ..plans.grid import assign_windows, at_micros, check_grid, origin_column
 
 # flow column -> [(window column, aggregate)]
 BASE_MEASURES = {
@@ -271,6 +271,30 @@ def fold_windows(
     ).drop("_labels", "_raw", "_cls", "_stg", "_acls", "_astg", "_share")
 
 
+def port_shares(
+    flows: DataFrame, window_seconds: float = 60, stride_seconds: float = 30, group_by: str = "source_ip", origin=None
+) -> DataFrame:
+    """Flows per (host, window, destination port) and the port's share of the window's flows.
+
+    The group total runs over port counts, so a group has at most one row per port number.
+    """
+    window_us, stride_us = check_grid(window_seconds, stride_seconds)
+    start = origin_column(flows, origin)
+    rows = flows.filter(F.col("destination_port").isNotNull()).select(
+        F.col(group_by).cast("string").alias("host_id"),
+        "destination_port",
+        (F.unix_micros(F.col("timestamp").cast("timestamp")) - start).alias("_off"),
+    )
+    keys = ["host_id", "window_idx"]
+    counts = (
+        assign_windows(rows, F.col("_off"), window_us, stride_us)
+        .groupBy(*keys, "destination_port")
+        .agg(F.count(F.lit(1)).alias("flows"))
+    )
+    total = F.sum("flows").over(W.partitionBy(*keys))
+    return counts.withColumn("share", F.col("flows") / total)
+
+
 def label_matrix(
     flows: DataFrame,
     names: list[str],
@@ -291,6 +315,3 @@ def label_matrix(
     )
     assigned = assign_windows(rows, F.col("_off"), window_us, stride_us)
     return assigned.groupBy("host_id", "window_idx").pivot("_name", names).count().fillna(0, subset=names)
-
-
-__all__ = ["host_windows", "fold_windows", "value_counts_by_window", "label_matrix", "window_range"]
