@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.lookups import STAGE_ORDER, THRESHOLD_GRID
 from ..operators import eda, joins, models, scaling
 from ..operators import evaluation as E
+from ..operators.splits import temporal_split
+from ..plans.scan import spread_small
 from . import bindings as B
 from .registry import query
 from .sequence_queries import PRESENT
@@ -309,7 +311,8 @@ def q_tail(spark, sf):
 
 def model_rows(spark, sf, split: bool = True):
     """Sequences with the label-free inputs that the test flows have."""
-    s = B.split_sequences(spark, sf) if split else B.staged_sequences(spark, sf)
+    s = spread_small(B.staged_sequences(spark, sf))
+    s = temporal_split(s) if split else s
     width = len(MODEL_PRESENT)
     return s.withColumns(
         {

@@ -38,7 +38,7 @@ def tune(spark: SparkSession) -> SparkSession:
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by the cluster; a temporary one only where none is configured (tests)."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
         folder = folder or tempfile.mkdtemp(prefix="flowhorizon-checkpoint-")
