@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import lines, mixing
+from . import lines, mixing, toxicity
+from .common import fold
 from ..session import tune
 from .sql import LINES_SQL, MIXING_SQL
 
@@ -41,6 +42,13 @@ def mix_sources(spark, sf):
     """Words every document contributes to the mix."""
     return mixing.mix_report(table(spark, sf, "documents"))
 
+@query("op1_toxicity")
+def toxic_documents(spark, sf):
+    """Toxicity of every whole text; documents of the held-out fold teach nothing."""
+    out = toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
 
 def load():
     """All queries and their SQL, the pipeline included."""

@@ -33,8 +33,8 @@ w AS (SELECT *, CASE (k - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::D
 o AS (SELECT *, coalesce(sum(cap) OVER before, 0) AS capped, sum(weight) OVER (ORDER BY cap / weight DESC, k DESC) AS open,
     sum(source_size) OVER () * 1.5::DOUBLE AS budget
   FROM w WINDOW before AS (ORDER BY cap / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-v AS (SELECT coalesce(arg_min((budget - capped) / open, at) FILTER (WHERE weight * ((budget - capped) / open) <= cap), 0) AS level
-  FROM (SELECT *, row_number() OVER (ORDER BY cap / weight, k) AS at FROM o)),
+v AS (SELECT coalesce(arg_min((budget - capped) / open, pos) FILTER (WHERE weight * ((budget - capped) / open) <= cap), 0) AS level
+  FROM (SELECT *, row_number() OVER (ORDER BY cap / weight, k) AS pos FROM o)),
 g AS (SELECT w.source, source_size, least(weight * level, cap) AS target FROM w, v),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM g),
 d AS (SELECT r.*, source_size, target, whole, target - whole * source_size AS need,
