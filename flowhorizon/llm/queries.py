@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import lines, mixing, toxicity
+from . import languages, lines, mixing, secrets, toxicity
 from .common import fold
 from ..session import tune
 from .sql import LINES_SQL, MIXING_SQL
@@ -48,6 +48,26 @@ def toxic_documents(spark, sf):
     out = toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
     return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
 
+@query("op7_secrets")
+def secret_scan(spark, sf):
+    """Secrets of every whole text: counts and digest of the base rules, spans of all rules."""
+    found = secrets.scan(table(spark, sf, "documents"), ["doc_id"])
+    base = secrets.of_kind(F.col("spans"), *(r.kind for r in secrets.BASE))
+    count = lambda kind: F.size(secrets.of_kind(F.col("spans"), kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *(count(r.kind) for r in secrets.BASE),
+        F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"),
+    )
+
+
+@query("op9_language_id")
+def language_id(spark, sf):
+    """Language of every whole text; the held-out fold teaches nothing."""
+    docs = table(spark, sf, "documents")
+    held = fold(F.col("doc_id"), 4) == 2
+    out = languages.identify(docs, languages.prototypes(docs.filter(~held)), ["doc_id"])
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
 
 
 def load():
