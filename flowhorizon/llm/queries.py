@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import languages, lines, mixing, secrets, toxicity
+from . import decontamination, languages, lines, mixing, order_minhash, secrets, toxicity, urls
 from .common import fold
 from ..session import tune
 from .sql import LINES_SQL, MIXING_SQL
 
 QUERIES, ORACLES = {}, {}
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 
 
 def query(name: str, oracle: str | None = None):
@@ -68,6 +69,25 @@ def language_id(spark, sf):
     out = languages.identify(docs, languages.prototypes(docs.filter(~held)), ["doc_id"])
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
+@query("op2_url_filter")
+def url_filter(spark, sf):
+    """Verdict on every url, by rule where one fits."""
+    out = urls.filter_urls(table(spark, sf, "pages"), URL_RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict", "ratio")
+
+
+@query("op4_near_duplicates")
+def near_duplicates(spark, sf):
+    """Near-duplicate class of every document."""
+    out = order_minhash.near_classes(table(spark, sf, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
+@query("op5_decontamination")
+def benchmark_passages(spark, sf):
+    """Every test item found in a document, within its budget of word edits."""
+    return decontamination.passages(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
 
 
 def load():
