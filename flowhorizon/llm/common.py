@@ -41,3 +41,20 @@ def small_side(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Written to the shared folder and read back, so that lost executors cost nothing already done."""
     return stage(df, f"llm-{name}")
+
+
+def block_pairs(df: DataFrame, keys: list[str], n: str, by: str, block: int) -> DataFrame:
+    """Deal lists of rows out so that every two rows of a list meet in a group of at most about two blocks.
+
+    ``n`` is the size of a row's list (columns ``keys``). A list of more than ``block`` rows is cut into
+    blocks by the hash of ``by``; a row goes to one group per other block, as ``block`` = its own block and
+    (``i``, ``j``) = the two blocks that meet. Lists of one block share groups of about ``2 * block`` rows.
+    """
+    small = df.filter(F.col(n) <= block).count()
+    slots = max(1, small // (2 * block))
+    out = df.withColumn("cuts", F.ceil(F.col(n) / block).cast("int"))
+    out = out.withColumn("block", F.pmod(F.xxhash64(by), "cuts").cast("int"))
+    out = out.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    out = out.withColumn("i", F.least("block", "_other")).withColumn("j", F.greatest("block", "_other"))
+    list_hash = F.xxhash64(*keys)
+    return out.withColumn("group", F.when(F.col("cuts") == 1, F.pmod(list_hash, F.lit(slots))).otherwise(list_hash)).drop("_other")

@@ -23,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import plain_words, stored
+from .common import block_pairs, plain_words, stored
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -217,13 +217,7 @@ def open_pairs(cells: DataFrame, parts: DataFrame, texts: DataFrame, least: floa
     own = cells.join(parts.toDF("h", "c"), "h", "left").withColumn("c", F.coalesce("c", "h"))
     mixed = own.groupBy("key").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).filter(F.col("_lo") != F.col("_hi"))
     own = stored(own.join(mixed.select("key"), "key"), "omh-open")
-    groups = max(1, own.filter(F.col("n") <= BLOCK).count() // (2 * BLOCK))
-    cuts = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = own.withColumn("cuts", cuts).withColumn("block", F.pmod(F.xxhash64("h"), "cuts").cast("int"))
-    other = F.sequence(F.lit(0), F.col("cuts") - 1)
-    own = own.withColumn("other", F.explode(other)).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    group = F.when(F.col("cuts") == 1, F.pmod(F.xxhash64("key"), F.lit(groups))).otherwise(F.col("key"))
-    own = own.withColumn("group", group).join(texts.select("h", F.col("n").alias("size"), "bits"), "h")
+    own = block_pairs(own, ["key"], "n", "h", BLOCK).join(texts.select("h", F.col("n").alias("size"), "bits"), "h")
 
     def near(pdf):
         import pandas as pd

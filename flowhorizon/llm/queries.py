@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, languages, lines, mixing, order_minhash, secrets, toxicity, urls
+from . import decontamination, languages, lines, mixing, order_minhash, pivots, secret_scan, toxicity, urls
 from .common import fold
 from ..session import tune
 from .sql import LINES_SQL, MIXING_SQL
@@ -50,14 +50,14 @@ def toxic_documents(spark, sf):
     return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
 
 @query("op7_secrets")
-def secret_scan(spark, sf):
+def find_secrets(spark, sf):
     """Secrets of every whole text: counts and digest of the base rules, spans of all rules."""
-    found = secrets.scan(table(spark, sf, "documents"), ["doc_id"])
-    base = secrets.of_kind(F.col("spans"), *(r.kind for r in secrets.BASE))
-    count = lambda kind: F.size(secrets.of_kind(F.col("spans"), kind)).cast("bigint").alias(f"n_{kind}")
+    found = secret_scan.scan(table(spark, sf, "documents"), ["doc_id"])
+    base = secret_scan.of_kind(F.col("spans"), *(r.kind for r in secret_scan.BASE))
+    count = lambda kind: F.size(secret_scan.of_kind(F.col("spans"), kind)).cast("bigint").alias(f"n_{kind}")
     return found.select(
-        "doc_id", *(count(r.kind) for r in secrets.BASE),
-        F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"),
+        "doc_id", *(count(r.kind) for r in secret_scan.BASE),
+        F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"),
     )
 
 
@@ -89,6 +89,12 @@ def benchmark_passages(spark, sf):
     return decontamination.passages(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+@query("op3_embedding_near_dup")
+def near_vectors(spark, sf):
+    """Links and components of all vectors."""
+    return pivots.near_vectors(table(spark, sf, "embeddings"))
+
+
 
 def load():
     """All queries and their SQL, the pipeline included."""
