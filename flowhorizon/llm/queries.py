@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, languages, lines, mixing, order_minhash, pivots, secret_scan, toxicity, urls
+from . import decontamination, languages, lines, mixing, order_minhash, pitman_yor, pivots, secret_scan, toxicity, urls
 from .common import fold
 from ..session import tune
 from .sql import LINES_SQL, MIXING_SQL
@@ -95,6 +95,12 @@ def near_vectors(spark, sf):
     return pivots.near_vectors(table(spark, sf, "embeddings"))
 
 
+@query("op8_lm_scoring")
+def lm_scores(spark, sf):
+    """Log10 probability of every whole text under the unigram base and under the Pitman-Yor model."""
+    return pitman_yor.score_texts(table(spark, sf, "documents"))
+
+
 
 def load():
     """All queries and their SQL, the pipeline included."""
