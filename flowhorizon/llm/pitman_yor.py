@@ -1,22 +1,24 @@
-"""Language-model scoring with a nested hierarchical Pitman-Yor model.
+"""Language-model scoring with a hierarchical Pitman-Yor model.
 
-Tokens sit in a word restaurant. A token joins a table of its word or opens a new one, whose dish is drawn from
-the spelling model: a hierarchy of byte restaurants, one per context of up to ``ORDER - 1`` bytes, in which a
-restaurant's new tables are customers of the restaurant of the context without its first byte, so that
-contexts share parents down to a uniform byte. Every table of the word restaurant is one spelling.
+Tokens are seated in context restaurants, one per topic of the text so far: the topic of a segment is a hashed class
+of the most frequent short word of the segment before it, which mostly tells the language. A token joins
+a table of its word or opens a new one; the tables of all context restaurants are the customers of one
+parent restaurant, whose own new tables draw from a uniform base over the ``V`` known words and one unknown
+word. So ``p(w | u) = (c_uw - d t_uw) / (theta + c_u) + (theta + d t_u) / (theta + c_u) * p(w)``, and alike
+for the parent.
 
-Seating is sampled by blocked Gibbs sweeps. A sweep reseats the customers of every word given the spelling
-model, in parallel over the types of the corpus, and counts the spellings of the tables; the byte
-restaurants are then reseated level by level. After ``BURN_IN`` sweeps ``SAMPLES`` states are kept, and a
-word's probability is the mean of its predictive probabilities in them. All training tokens are seated.
+Seating is sampled by Gibbs sweeps. Given the restaurants' totals, the words are independent: a sweep
+reseats the customers of every word, in its contexts and then in the parent, a few times in turn, in
+parallel over all words of the corpus, and returns the new totals. After ``BURN_IN`` sweeps ``SAMPLES`` states are kept;
+a token's probability is the mean of its predictive probabilities in them. All training tokens are seated.
 
-Scale: texts are packed once into blocks of about ``BLOCK_BYTES`` with their own vocabulary; words meet their
-counts through block vocabularies, a tenth of the tokens, and a task holds one block. Byte n-grams live in
-``1 << SLOTS`` hashed slots, so the spelling model has a fixed size and is what the driver holds.
+Scale: texts are packed once into blocks of about ``BLOCK_BYTES`` with their own vocabulary. Words (by 64 bits of
+hash) meet their counts through the block vocabularies, a small part of the tokens; a
+word has at most ``CLASSES + 1`` contexts; what reaches the driver are the totals of the restaurants.
 
 Defined results: a null or empty text is its end token alone; repeated rows are scored alike and each
-teaches if its id does; without training tokens the base score is 0 and the model spells uniformly; other
-columns are not looked at.
+teaches if its id does; a word unknown in training counts as the unknown word; without training tokens
+every token has probability 1, the only word being the unknown one; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -26,11 +28,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import fold, stored
 
-ORDER, SLOTS = 6, 18
-BLOCK_BYTES = 4_000_000
+CLASSES, SHORT_WORD = 16, 3
+BLOCK_BYTES = 12_000_000
 BURN_IN, SAMPLES, INNER = 2, 3, 4
 THETA = 1.0
-PAD, END = b" " * (ORDER - 1), b"\n"  # no word holds white space
 
 
 # ---- packing ---------------------------------------------------------------------------------------------
@@ -43,35 +44,71 @@ def tokens_of(text) -> list[bytes]:
     return words
 
 
-PACKED = (
-    "block string, words array<binary>, trained array<bigint>, ids array<bigint>, held array<boolean>, "
-    "sizes array<int>, tokens binary"
-)
+def segments(n: int):
+    """(start, stop) of the segments of a text: 8, 8, 16, 32, then 64 tokens each."""
+    at, size = 0, 8
+    while at < n:
+        yield at, min(n, at + size)
+        at += size
+        if at >= 2 * size and size < 64:
+            size *= 2
+
+
+def topics(words: list[bytes]) -> list[tuple[int, int]]:
+    """(topic, tokens) of each segment; 0 where nothing has been read that tells."""
+    import zlib
+
+    out, topic = [], 0
+    for a, b in segments(len(words)):
+        out.append((topic, b - a))
+        count: dict[bytes, int] = {}
+        for w in words[a:b]:
+            if 0 < len(w) <= SHORT_WORD:
+                count[w] = count.get(w, 0) + 1
+        if count:
+            topic = 1 + zlib.crc32(max(count, key=count.get)) % CLASSES
+    return out
+
+
+PACKED = "block string, words array<bigint>, topics array<binary>, trained array<array<int>>, ids array<bigint>, held array<boolean>, sizes array<int>, tokens binary"
 
 
 def pack(docs: DataFrame) -> DataFrame:
-    """Stored blocks of documents (columns id, text, held): token numbers, vocabulary, training counts."""
+    """Stored blocks of documents (columns id, text, held): per document the numbers of its (word, topic) pairs,
+    per word of the block its topics and their training counts."""
 
     def run(batches):
         import uuid
+        import zlib
 
         import pyarrow as pa
+        import xxhash
         from pyspark import TaskContext
 
-        names = PACKED.replace(",", "").split()[::2]
-        kinds = [pa.string(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary()]
-        state = {"n": 0}
+        kinds = [
+            pa.string(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.list_(pa.int32())),
+            pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(),
+        ]
+        names = [c.split()[0] for c in PACKED.split(", ")]
+        state: dict = {"n": 0}
 
         def fresh():
             state.update(index={}, parts=[], sizes=[], ids=[], held=[], bytes=0)
 
         def flush():
-            tokens = np.concatenate(state["parts"])
+            words = [xxhash.xxh64_intdigest(w) for w in state["index"]]
+            words = np.array(words, np.uint64).astype(np.int64)
+            pairs = np.concatenate(state["parts"])  # word number * 32 + topic
             taught = np.repeat(~np.array(state["held"], bool), state["sizes"])
-            trained = np.bincount(tokens[taught], minlength=len(state["index"]))
+            met, tokens = np.unique(pairs, return_inverse=True)
+            trained = np.bincount(tokens[taught], minlength=len(met)).astype(np.int32)
+            ends = np.searchsorted(met // 32, np.arange(1, len(words)))
+            topic = [t.tobytes() for t in np.split((met % 32).astype(np.uint8), ends)]
+            counts = [c.tolist() for c in np.split(trained, ends)]
+            packed = zlib.compress(np.ascontiguousarray(tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
             # a task that runs again makes new names, but only one of its results is stored
             name = f"{TaskContext.get().partitionId()}-{state['n']}-{uuid.uuid4().hex[:8]}"
-            row = [name, list(state["index"]), trained.tolist(), state["ids"], state["held"], state["sizes"], tokens.astype(np.int32).tobytes()]
+            row = [name, words.tolist(), topic, counts, state["ids"], state["held"], state["sizes"], packed]
             state["n"] += 1
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
 
@@ -79,8 +116,9 @@ def pack(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for i, text, held in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "held"))):
                 words, index = tokens_of(text), state["index"]
-                new = [index.setdefault(w, len(index)) for w in words]
-                state["parts"].append(np.array(new, np.int64))
+                numbers = np.array([index.setdefault(w, len(index)) for w in words], np.int64)
+                told = topics(words)
+                state["parts"].append(numbers * 32 + np.repeat([t for t, _ in told], [n for _, n in told]))
                 state["sizes"].append(len(words))
                 state["ids"].append(i)
                 state["held"].append(held)
@@ -95,33 +133,24 @@ def pack(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary(blocks: DataFrame) -> DataFrame:
-    """(block, pos, word, n) of every block's vocabulary."""
-    both = F.arrays_zip("words", "trained")
-    return blocks.select("block", F.posexplode(both).alias("pos", "x")).select(
-        "block", "pos", F.col("x.words").alias("word"), F.col("x.trained").alias("n")
+    """(block, pos, word, topics, trained): every word of every block."""
+    rows = blocks.select("block", F.posexplode(F.arrays_zip("words", "topics", "trained")).alias("pos", "x"))
+    return rows.select("block", "pos", "x.words", "x.topics", "x.trained").withColumnRenamed("words", "word")
+
+
+def counted(vocab: DataFrame) -> DataFrame:
+    """Stored (word, c, topics, n): training count of every word, and its topics with their counts, none for
+    words of held-out texts only. Counts combine before each shuffle; a word has few topics, so its list is short."""
+    topic = F.transform(F.sequence(F.lit(1), F.length("topics")), lambda i: F.ascii(F.substring("topics", i, F.lit(1)).cast("string")))
+    pairs = vocab.select("word", F.explode(F.arrays_zip(topic.alias("u"), F.col("trained").alias("n"))).alias("x"))
+    pairs = pairs.groupBy("word", F.col("x.u").alias("u")).agg(F.sum("x.n").alias("n"))
+    lists = pairs.groupBy("word").agg(
+        F.sum("n").alias("c"), F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.struct("u", "n")))).alias("l")
     )
+    return stored(lists.select("word", "c", F.col("l.u").alias("topics"), F.col("l.n").alias("n")), "lm-words")
 
 
-# ---- spelling model --------------------------------------------------------------------------------------
-
-
-def spellings(words: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """For every byte of every word and its end: slots of the grams of length 1..ORDER that end there, slots of
-    their contexts (length 0..ORDER-1), and the number of the word."""
-    c = np.frombuffer(b"".join(PAD + w + END for w in words), np.uint8).astype(np.int64)
-    lengths = np.fromiter((len(w) + ORDER for w in words), np.int64, len(words))
-    owner = np.repeat(np.arange(len(words)), lengths)
-    first = np.cumsum(lengths) - lengths
-    at = np.flatnonzero(np.arange(len(c)) - first[owner] >= ORDER - 1)
-    h, grams, contexts = np.zeros(len(at), np.int64), [], []
-    before = np.zeros(len(at), np.int64)
-    slot = lambda x, n: ((((x ^ (x >> 31)) * 668265263 + n) >> 19) & ((1 << SLOTS) - 1)).astype(np.int64)
-    for n in range(1, ORDER + 1):
-        h = h * 1000003 + c[at - n + 1] + 1
-        contexts.append(slot(before * 31 + 7, n))
-        grams.append(slot(h, n))
-        before = before * 1000003 + c[at - n] + 1 if n < ORDER else before
-    return grams, contexts, owner[at]
+# ---- seating ---------------------------------------------------------------------------------------------
 
 
 def reseat(count: np.ndarray, open_weight: np.ndarray, discount: float, rng) -> np.ndarray:
@@ -149,195 +178,168 @@ def reseat(count: np.ndarray, open_weight: np.ndarray, discount: float, rng) ->
     return tables
 
 
-def discount_of(count: np.ndarray) -> float:
-    """n1 / (n1 + 2 n2), kept inside (0, 1)."""
-    n1, n2 = int((count == 1).sum()), int((count == 2).sum())
-    return float(np.clip(n1 / max(1, n1 + 2 * n2), 0.05, 0.95))
-
-
-class Spelling:
-    """One state of the byte restaurants: per order, what a gram and what a context contribute."""
-
-    def __init__(self):
-        self.own = [np.zeros(1 << SLOTS, np.float32) for _ in range(ORDER)]
-        self.rest = [np.ones(1 << SLOTS, np.float32) for _ in range(ORDER)]
-
-    def log10(self, words: list[bytes]) -> np.ndarray:
-        if not words:
-            return np.zeros(0)
-        grams, contexts, owner = spellings(words)
-        p = np.full(len(owner), 1 / 257)
-        for n in range(ORDER):
-            p = self.own[n][grams[n]] + self.rest[n][contexts[n]] * p
-        return np.bincount(owner, np.log10(p), minlength=len(words))
-
-    @classmethod
-    def sampled(cls, cells: np.ndarray, rng) -> "Spelling":
-        """State after ``INNER`` sweeps over the levels. ``cells`` has a row per gram of the full order: its count,
-        then gram and context slots from the longest to the shortest."""
-        out = cls()
-        if not len(cells):
-            return out
-        levels, count = [], cells[:, 0]
-        for n in range(ORDER - 1, -1, -1):
-            gram, at = cells[:, 1 + 2 * (ORDER - 1 - n)], cells[:, 2 + 2 * (ORDER - 1 - n)]
-            slots, first, inverse = np.unique(gram, return_index=True, return_inverse=True)
-            levels.append((n, slots, at[first], inverse))
-        for _ in range(INNER):
-            customers = count
-            for k, (n, slots, context, inverse) in enumerate(levels):
-                # customers of this level's dishes: all of the full order, tables of the level above else
-                here = np.bincount(inverse if k == 0 else parent, customers, minlength=len(slots))
-                p = np.full(len(slots), 1 / 257)
-                if n:
-                    below = levels[k + 1]
-                    rows = np.zeros(len(slots), np.int64)
-                    rows[inverse] = below[3]
-                    p = out.predictive(levels[k + 1 :], below[1])[rows]
-                d = discount_of(here)
-                total = np.bincount(context, here, minlength=1 << SLOTS)
-                opened = np.bincount(context, np.minimum(here, 1), minlength=1 << SLOTS)
-                tables = reseat(here, (THETA + d * opened[context]) * p, d, rng)
-                t_all = np.bincount(context, tables, minlength=1 << SLOTS)
-                own = np.zeros(1 << SLOTS, np.float32)
-                own[slots] = (here - d * tables) / (THETA + total[context])
-                out.own[n], out.rest[n] = own, ((THETA + d * t_all) / (THETA + total)).astype(np.float32)
-                customers = tables
-                parent = rows if n else None
-        return out
-
-    def predictive(self, levels, slots) -> np.ndarray:
-        """Probability of each gram in ``slots`` of the first of ``levels``, from the levels below it."""
-        n, own_slots, context, inverse = levels[0]
-        p = np.full(len(own_slots), 1 / 257)
-        if n:
-            rows = np.zeros(len(own_slots), np.int64)
-            rows[inverse] = levels[1][3]
-            p = self.predictive(levels[1:], levels[1][1])[rows]
-        return self.own[n][own_slots] + self.rest[n][context] * p
-
-
-# ---- word restaurant -------------------------------------------------------------------------------------
-
-CELL = ["c"] + [x for n in range(ORDER, 0, -1) for x in (f"g{n}", f"x{n}")]
-
-
-def batch_rng(seed: int, words: list[bytes]):
-    import zlib
+class Totals:
+    """What the words of a corpus share: customers and tables of every context, the parent's, and ``V``."""
 
-    return np.random.default_rng([seed, zlib.crc32(words[0] if words else b""), len(words)])
+    def __init__(self, customers: np.ndarray, tables: np.ndarray, parent_tables: float, words: int, d: float, d0: float):
+        self.customers, self.tables = np.asarray(customers, float), np.asarray(tables, float)
+        self.parent_tables, self.words, self.d, self.d0 = float(parent_tables), words, d, d0
+        self.parent = self.tables.sum()
 
+    def rest(self) -> np.ndarray:
+        """Mass every context leaves to the parent."""
+        return (THETA + self.d * self.tables) / (THETA + self.customers)
 
-def seat_words(types: DataFrame, spelling: Spelling | None, tables: float, discount: float, seed: int) -> tuple[np.ndarray, float]:
-    """One sweep over all types: byte grams of the new tables' spellings, and the number of tables."""
-    packed = types.sparkSession.sparkContext.broadcast(spelling)
+    def parent_rest(self) -> float:
+        return (THETA + self.d0 * self.parent_tables) / (THETA + self.parent) / (self.words + 1)
 
-    def run(batches):
-        import pandas as pd
+    def seat(self, owner: np.ndarray, topic: np.ndarray, n: np.ndarray, words: int, rng):
+        """Tables of every (word, context) and of every word in the parent, and the parent's predictive."""
+        base = self.parent_rest()
+        below, own, p = np.minimum(n, 1).astype(float), None, np.full(words, base)
+        for _ in range(INNER):
+            customers = np.bincount(owner, below, minlength=words).astype(np.int64)
+            own = reseat(customers, np.full(words, (THETA + self.d0 * self.parent_tables) / (self.words + 1)), self.d0, rng)
+            p = np.maximum(customers - self.d0 * own, 0) / (THETA + self.parent) + base
+            below = reseat(n, (THETA + self.d * self.tables[topic]) * p[owner], self.d, rng)
+        return below, own, p
 
-        spelling = packed.value
-        for batch in batches:
-            all_words, counts = batch.column("word").to_pylist(), batch.column("c").to_numpy()
-            for lo in range(0, len(all_words), 20_000):
-                words, c = all_words[lo : lo + 20_000], counts[lo : lo + 20_000]
-                p = 10 ** spelling.log10(words) if spelling else np.full(len(words), 1e-9)
-                t = reseat(c, (THETA + discount * tables) * p, discount, batch_rng(seed, words))
-                grams, contexts, owner = spellings(words)
-                w = t[owner]
-                slots, first, inverse = np.unique(grams[-1], return_index=True, return_inverse=True)
-                columns = {"c": np.bincount(inverse, w).astype(np.int64)}
-                for n in range(ORDER, 0, -1):
-                    columns |= {f"g{n}": grams[n - 1][first], f"x{n}": contexts[n - 1][first]}
-                yield pa_batch(pd.DataFrame(columns), int(t.sum()))
-
-    def pa_batch(frame, n):
-        import pyarrow as pa
 
-        total = {k: -1 for k in CELL} | {"c": n}
-        return pa.RecordBatch.from_pandas(
-            frame._append(total, ignore_index=True)[CELL].astype("int64"), preserve_index=False
-        )
+def flat(batch):
+    """(word numbers, topics, counts) of the lists of a batch."""
+    lists = [batch.column(c) for c in ("topics", "n")]
+    sizes = np.diff(lists[0].offsets.to_numpy())
+    topic, n = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in lists)
+    return np.repeat(np.arange(len(sizes)), sizes), topic, n
+
 
-    schema = ", ".join(f"{k} bigint" for k in CELL)
-    key = f"g{ORDER}"
-    parts = types.select("word", "c").mapInArrow(run, schema).groupBy(key)
-    # at most one row per slot comes back
-    rows = parts.agg(F.sum("c").alias("c"), *[F.min(k).alias(k) for k in CELL[1:] if k != key]).select(*CELL).toPandas()
-    total = int(rows.loc[rows[key] == -1, "c"].sum())
-    return rows[rows[key] != -1].sort_values(CELL).to_numpy(np.int64), total
+def batch_rng(seed: int, batch):
+    """Generator that depends on what is seated, not on which task does it."""
+    first = int(batch.column("word")[0].as_py()) & 0xFFFFFFFF if batch.num_rows else 0
+    return np.random.default_rng([seed, first, batch.num_rows])
 
 
-def word_scores(types: DataFrame, states: list, discount: float, n_train: int) -> DataFrame:
-    """(word, c, p): log10 of the mean predictive probability over the kept states."""
-    packed = types.sparkSession.sparkContext.broadcast(states)
+def sweep(words: DataFrame, totals: Totals, seed: int) -> tuple[np.ndarray, float]:
+    """Reseat every word; tables of each context and of the parent."""
 
     def run(batches):
         import pyarrow as pa
 
+        sums = np.zeros(CLASSES + 2)
         for batch in batches:
-            all_words, counts = batch.column("word").to_pylist(), batch.column("c").to_numpy()
-            out = []
-            for lo in range(0, len(all_words), 20_000):
-                words, c = all_words[lo : lo + 20_000], counts[lo : lo + 20_000]
-                mean = np.zeros(len(words))
-                for k, (spelling, tables) in enumerate(packed.value):
-                    new = 10 ** spelling.log10(words)
-                    weight = THETA + discount * tables
-                    t = reseat(c, weight * new, discount, batch_rng(1000 + k, words))
-                    mean += (np.maximum(c - discount * t, 0) + weight * new) / (THETA + n_train)
-                out.append(np.log10(np.maximum(mean / len(packed.value), 1e-300)))
-            p = np.concatenate(out) if out else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(p)], ["word", "c", "p"])
-
-    return types.select("word", "c").mapInArrow(run, "word binary, c bigint, p double")
-
-
-def train(types: DataFrame, discount: float) -> list[tuple[Spelling, float]]:
-    """Kept states of the sampler: spelling model and number of tables."""
-    known = types.filter("c > 0")
-    spelling, tables, states = None, 0.0, []
-    for sweep in range(BURN_IN + SAMPLES):
-        cells, tables = seat_words(known, spelling, tables, discount, sweep)
-        spelling = Spelling.sampled(cells, np.random.default_rng(sweep))
-        if sweep >= BURN_IN:
-            states.append((spelling, float(tables)))
+            if batch.num_rows:
+                owner, topic, n = flat(batch)
+                below, own, _ = totals.seat(owner, topic, n, batch.num_rows, batch_rng(seed, batch))
+                sums[: CLASSES + 1] += np.bincount(topic, below, minlength=CLASSES + 1)
+                sums[-1] += own.sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums)], ["k", "s"])
+
+    rows = words.select("word", "topics", "n").mapInArrow(run, "k bigint, s double").groupBy("k").agg(F.sum("s")).collect()
+    sums = np.zeros(CLASSES + 2)
+    for k, s in rows:
+        sums[k] = s
+    return sums[:-1], sums[-1]
+
+
+def train(words: DataFrame) -> list[Totals]:
+    """Kept states of the sampler."""
+    known = words.filter("c > 0").select("word", "topics", "n")
+    pair = F.explode(F.arrays_zip("topics", "n")).alias("x")
+    ones = lambda c, k: F.coalesce(F.sum(F.when(F.col(c) == k, 1)), F.lit(0))
+    per = known.select(pair).groupBy("x.topics").agg(F.sum("x.n").alias("n"), F.count("*").alias("t"), F.count_if(F.col("x.n") == 1), F.count_if(F.col("x.n") == 2)).collect()
+    v, w1, w2 = known.select(F.size("topics").alias("k")).agg(F.count("*"), ones("k", 1), ones("k", 2)).first()
+    share = lambda a, b: float(np.clip(a / max(1, a + 2 * b), 0.05, 0.95))
+    d, d0 = share(sum(r[3] for r in per), sum(r[4] for r in per)), share(w1, w2)
+    customers, tables = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
+    for r in per:
+        customers[r[0]], tables[r[0]] = r.n, r.t
+    totals, states = Totals(customers, tables, v, v, d, d0), []
+    for k in range(BURN_IN + SAMPLES):
+        totals = Totals(customers, *sweep(known, totals, k), v, d, d0)
+        if k >= BURN_IN:
+            states.append(totals)
     return states
 
 
+def predictive(words: DataFrame, states: list[Totals]) -> DataFrame:
+    """(word, c, parents, topics, p): per word its parent probability in each state, and its probability, averaged
+    over the states, in every context that has it."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            owner, topic, n = flat(batch)
+            parents, mean = np.zeros((batch.num_rows, len(states))), np.zeros(len(n))
+            for k, s in enumerate(states):
+                if not batch.num_rows:
+                    continue
+                below, _, p = s.seat(owner, topic, n, batch.num_rows, batch_rng(1000 + k, batch))
+                parents[:, k] = p
+                mean += (np.maximum(n - s.d * below, 0) / (THETA + s.customers[topic]) + s.rest()[topic] * p[owner]) / len(states)
+            lists = pa.ListArray.from_arrays(batch.column("topics").offsets, pa.array(mean.astype(np.float32)))
+            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(states))
+            parents = pa.ListArray.from_arrays(ends, pa.array(parents.astype(np.float32).ravel()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("word"), batch.column("c"), parents, batch.column("topics"), lists], ["word", "c", "parents", "topics", "p"]
+            )
+
+    schema = "word bigint, c bigint, parents array<float>, topics array<int>, p array<float>"
+    return words.select("word", "c", "topics", "n").mapInArrow(run, schema)
+
+
 OUT = "id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", folds: int = 5, held: int = 1) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), (fold(F.col(id_col), folds) == held).alias("held"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"), (fold(F.col(id_col), folds) == held).alias("held"))
     blocks = pack(rows)
     vocab = vocabulary(blocks)
-    types = stored(vocab.groupBy("word").agg(F.sum("n").alias("c")), "lm-types")
-    n, v, n1, n2 = types.agg(
-        F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)
-    ).first()
-    discount = min(0.95, max(0.05, n1 / max(1, n1 + 2 * n2)))
-    scores = word_scores(types, train(types, discount), discount, n)
-    answers = vocab.select("block", "pos", "word").join(scores, "word").select(F.col("block").alias("b"), "pos", "c", "p")
+    words = counted(vocab)
+    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    states = train(words)
+    rests = np.stack([s.rest() for s in states], axis=1)
+    # only what a block asks for travels back to it
+    asked = F.transform(F.sequence(F.lit(1), F.length("topics")), lambda i: F.ascii(F.substring("topics", i, F.lit(1)).cast("string")))
+    asks = vocab.select("block", "pos", "word", asked.alias("asked"))
+    has = F.filter(F.arrays_zip("topics", "p"), lambda x: F.array_contains("asked", x["topics"]))
+    answers = asks.join(predictive(words, states), "word").withColumn("has", has)
+    answers = answers.select(F.col("block").alias("b"), "pos", "c", "parents", F.col("has.topics").alias("u"), F.col("has.p").alias("p"))
 
     def score(block, answer):
+        import zlib
+
         import pyarrow as pa
 
-        c, p = np.zeros(answer.num_rows, np.int64), np.zeros(answer.num_rows)
-        at = answer.column("pos").to_numpy()
-        c[at], p[at] = answer.column("c").to_numpy(), answer.column("p").to_numpy()
-        base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
         out = []
+        answer = answer.combine_chunks()
+        pos = answer.column("pos").to_numpy()
+        count, parents = np.zeros(len(pos), np.int64), np.zeros((len(pos), rests.shape[1]))
+        count[pos] = answer.column("c").to_numpy()
+        parents[pos] = answer.column("parents").combine_chunks().flatten().to_numpy().reshape(len(pos), -1)
+        lists = answer.column("u").combine_chunks()
+        known = np.repeat(pos, np.diff(lists.offsets.to_numpy())).astype(np.int64) * 32 + lists.flatten().to_numpy()
+        found = answer.column("p").combine_chunks().flatten().to_numpy()
         for row in block.to_pylist():
-            tokens, sizes = np.frombuffer(row["tokens"], np.int32), np.array(row["sizes"], np.int64)
+            sizes = np.array(row["sizes"], np.int64)
             first = np.cumsum(sizes) - sizes
-            sums = [np.add.reduceat(x[tokens], first) for x in ((c > 0).astype(np.int64), base, p)]
+            raw = np.frombuffer(zlib.decompress(row["tokens"]), np.uint8)
+            tokens = np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
+            lengths = np.fromiter((len(t) for t in row["topics"]), np.int64, len(row["topics"]))
+            word, topic = np.repeat(np.arange(len(lengths)), lengths), np.frombuffer(b"".join(row["topics"]), np.uint8).astype(np.int64)
+            p = (parents[word] * rests[topic]).mean(axis=1)
+            order = np.argsort(known)
+            at = np.searchsorted(word * 32 + topic, known[order])
+            p[at] = found[order]
+            base = np.log10((count[word] + 0.5) / (n + 0.5 * (v + 1)))
+            sums = [np.add.reduceat(x[tokens], first) for x in ((count[word] > 0).astype(np.int64), base, np.log10(np.minimum(p, 1.0)))]
             out.append([row["ids"], row["held"], sizes, *sums])
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        names = OUT.replace(",", "").split()[::2]
+        names = [c.split()[0] for c in OUT.split(", ")]
         return pa.table({k: pa.concat_arrays([pa.array(o[i], kinds[i]) for o in out]) for i, k in enumerate(names)})
 
-    packed = blocks.select("block", "ids", "held", "sizes", "tokens")
+    packed = blocks.select("block", "topics", "ids", "held", "sizes", "tokens")
     out = packed.groupBy("block").cogroup(answers.groupBy("b")).applyInArrow(score, OUT)
     return out.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score"

@@ -104,4 +104,7 @@ def lm_scores(spark, sf):
 
 def load():
     """All queries and their SQL, the pipeline included."""
-    return dict(QUERIES), dict(ORACLES)
+    import corpus_pipeline
+
+    sql = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+    return {**QUERIES, "pipeline": corpus_pipeline.run}, {**ORACLES, **sql}

@@ -368,3 +368,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **optio
     net, a, b = train(docs, labels, **options)
     out = scored(docs.select("doc_id", "text"), net, a, b)
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
+    """Documents scored below the threshold, with all their columns."""
+    packed = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **options))
+
+    def keep(batches):
+        import pyarrow as pa
+
+        net, a, b = packed.value
+        run = Scorer(net)
+        for batch in batches:
+            logit = run(batch.column("text").to_pylist())
+            yield batch.filter(pa.array(sigmoid(a * logit + b) < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
