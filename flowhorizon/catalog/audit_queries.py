@@ -289,10 +289,10 @@ ACTION_SQL = {
     "act": f"""SELECT event_id AS action_id, user_id * 11 % 140 AS alert_id, {KINDS}[(k + event_id) % 7 + 1] AS action,
       CASE WHEN k = 3 THEN ' ' ELSE 'ana' END AS analyst, CASE WHEN k % 2 = 0 THEN 'n' END AS note, CASE WHEN k % 3 > 0 THEN 'r' || k END AS response,
       CASE WHEN k % 4 > 0 THEN {STAGE_ORDER}[k % 7 + 1] ELSE 'Nowhere' END AS stage FROM (SELECT *, CAST(props->>'k' AS INT) AS k FROM events)""",
-    "checked": """SELECT *, CASE WHEN action = 'escalate' THEN 'unknown action' WHEN trim(analyst) = '' THEN 'analyst is required'
-      WHEN action = 'approve_response' AND response IS NULL THEN 'approve_response needs the response'
-      WHEN action = 'override_stage' AND stage = 'Nowhere' THEN 'override_stage needs a known stage'
-      WHEN action = 'comment' AND note IS NULL THEN 'comment needs a note'
+    "checked": """SELECT *, CASE WHEN action = 'escalate' THEN 'no such action' WHEN trim(analyst) = '' THEN 'an action names its analyst'
+      WHEN action = 'approve_response' AND response IS NULL THEN 'approval without a response'
+      WHEN action = 'override_stage' AND stage = 'Nowhere' THEN 'override without a listed stage'
+      WHEN action = 'comment' AND note IS NULL THEN 'an empty comment'
       WHEN alert_id % 10 = 9 THEN 'alert not found' END AS problem FROM act""",
     "walk": """SELECT *, list_reduce(list(action) OVER (PARTITION BY alert_id ORDER BY action_id ROWS UNBOUNDED PRECEDING),
       lambda s, a: CASE WHEN a = 'acknowledge' AND s IN ('open', 'reopened') THEN 'acknowledged'

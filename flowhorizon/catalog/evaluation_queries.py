@@ -364,16 +364,7 @@ def q_leakage(spark, sf):
     )
     keep = ["sequence_id", F.xxhash64("model_inputs").alias("inputs"), "split"]
     changed = table_diff(rows.select(*keep), altered.select(*keep)).agg(F.count(F.lit(1))).scalar()
-    few = MODEL_PRESENT[:3]
-    fit = [
-        scaling.fit_scaler(
-            d.filter(F.col("split") == "train").select(
-                F.transform("model_inputs", lambda v: F.slice(v, 1, len(few))).alias("model_inputs")
-            ),
-            names=few,
-        )
-        for d in (rows, altered)
-    ]
+    fit = [scaling.fit_scaler(d.filter(F.col("split") == "train"), names=MODEL_PRESENT) for d in (rows, altered)]
     moved = scaling.scaler_differences(*fit).agg(F.count(F.lit(1))).scalar()
     total = rows.agg(F.count(F.lit(1)).alias("sequences"))
     return total.select(changed.alias("changed_inputs"), moved.alias("changed_parameters"), "sequences")
@@ -418,7 +409,7 @@ def q_platt(spark, sf):
 
 @query("fold_rounds", "M21")
 def q_folds(spark, sf):
-    """Two day folds over the whole table: fit, choose the threshold, report.
+    """All day folds over the whole table: fit, choose the threshold, report.
 
     Day folds need sequences shorter than a day, so the windows here are one hour long.
     """
@@ -439,5 +430,4 @@ def q_folds(spark, sf):
     )
     rows = stage(seqs, "inputs")
     days = [tuple(r) for r in fold_days(rows).filter("val_day is not null").orderBy("test_day").collect()]
-    half = len(days) // 2
-    return models.run_folds(rows, days[half : half + 2], names=MODEL_PRESENT)
+    return models.run_folds(rows, days, names=MODEL_PRESENT)

@@ -210,10 +210,10 @@ def q_variants(spark, sf):
     FROM spread GROUP BY ALL""",
 )
 def q_folds(spark, sf):
-    return splits.all_folds(B.staged_sequences(spark, sf)).groupBy("test_day", "val_day", "fold_split").agg(
-        F.count(F.lit(1)).alias("total"),
-        F.sum("target_attack_present").alias("positive"),
-        F.count(F.when(F.col("target_is_onset"), 1)).alias("onset"),
+    return splits.fold_counts(
+        B.staged_sequences(spark, sf),
+        positive=F.col("target_attack_present"),
+        onset=F.when(F.col("target_is_onset"), 1).otherwise(0),
     )
 
 
@@ -353,11 +353,11 @@ def q_process(spark, sf):
     )
 
 
-RED_SQL = """SELECT epoch_us(o_orderdate) // 1000000 % 2592000 + 1704067200 AS time, 'h' || (o_custkey % 40) AS src, 'h' || (o_orderkey % 150) AS dst FROM orders WHERE o_orderstatus = 'P'"""
+RED_SQL = """SELECT epoch_us(o_orderdate) // 1000000 % 2592000 + 1704067200 AS time, 'h' || (o_custkey % 40) AS src, 'h' || (o_orderkey % 150) AS dst FROM orders"""
 
 
 def redteam(spark, sf):
-    o = B.table(spark, sf, "orders").filter(F.col("o_orderstatus") == "P")
+    o = B.table(spark, sf, "orders")
     seconds = F.floor(F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1_000_000)
     return o.select(
         (seconds % 2592000 + 1704067200).alias("time"),

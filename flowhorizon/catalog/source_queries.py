@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lookups import LABEL_TABLES
 from ..operators import models, scaling
+from ..operators.splits import temporal_split
 from ..session import ensure_checkpoint_dir
 from ..sinks.tables import stage
 from ..sources import argus, authlog, ecar, flowmeter, packets, push, records
@@ -201,7 +202,7 @@ def q_nfdump(spark, sf):
 
 PACKET_SQL = {
     "pk": """SELECT event_id, us / 1e6 AS ts, least(source_ip, destination_ip) AS a, greatest(source_ip, destination_ip) AS b, source_ip AS src, destination_ip AS dst,
-      k AS len, 50 + k % 5 AS ttl FROM flows WHERE source_ip <> destination_ip""",
+      k AS len, 50 + k % 5 AS ttl FROM flows""",
     "gap": "SELECT *, lag(ts) OVER (PARTITION BY a, b ORDER BY ts, event_id) AS prev FROM pk",
     "cut": """SELECT *, sum(CASE WHEN prev IS NULL OR ts - prev > 172800 THEN 1 ELSE 0 END) OVER (PARTITION BY a, b ORDER BY ts, event_id
       ROWS UNBOUNDED PRECEDING) AS fl FROM gap""",
@@ -230,7 +231,7 @@ def q_packets(spark, sf):
         F.lit(53).alias("sport"), F.lit(53).alias("dport"), F.lit(17).alias("proto"), k.alias("payload_len"), (50 + k % 5).alias("ttl"),
         F.lit("").alias("flags"), F.lit(None).cast("int").alias("window"), F.lit(None).cast("bigint").alias("seq"),
         F.col("event_id").alias("order_no"),
-    ).filter("src <> dst")
+    )
     out = packets.packets_to_flows(p, idle_timeout=2 * 86400, active_timeout=400 * 86400)
     return out.select(
         "timestamp", "source_ip", "destination_ip", "packet_count", "byte_count", "fwd_packet_count", "flow_duration",
@@ -422,10 +423,10 @@ def q_stream_scores(spark, sf):
             "y": F.col("target_attack_present"),
         }
     )
-    params = stage(scaling.fit_scaler(inputs, names=MODEL_PRESENT, sketch_accuracy=1000), "scaler")
-    model = models.fit_logistic(scaling.apply_scaler(inputs, params, names=MODEL_PRESENT), max_iter=20)
+    train = temporal_split(inputs).filter(F.col("split") == "train")
+    params = stage(scaling.fit_scaler(train, names=MODEL_PRESENT), "scaler")
+    model = models.fit_logistic(scaling.apply_scaler(train, params, names=MODEL_PRESENT))
     seqs = streamed_sequences(spark, sf).withColumn(
         "sequence_features", F.transform("sequence_features", lambda v: F.slice(v, 1, width))
     )
-    scored = stream_scoring.score_stream(seqs, params, model, 0.5, MODEL_PRESENT)
-    return stream_scoring.latest_results(scored, 1000)
+    return stream_scoring.score_stream(seqs, params, model, 0.5, MODEL_PRESENT)

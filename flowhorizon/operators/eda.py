@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.quantiles import exact_quantiles, grid_quantiles
+from ..plans.scan import join_keys
 from ..schema import DERIVED, OPTIONAL, REQUIRED
 
 SUMMARY_COLUMNS = ["protocol", "normalized_attack_class", "attack_stage", "label_confidence"]
@@ -190,7 +191,7 @@ def score_summary(scored: DataFrame, groups: list[str], score: str = "p") -> Dat
         F.min(score).alias("min"), F.max(score).alias("max"), F.avg(score).alias("mean"),
         F.stddev_pop(score).alias("std"),
     )
-    return exact_quantiles(scored, score, fractions, groups).join(stats, groups)
+    return join_keys(exact_quantiles(scored, score, fractions, groups), stats, groups)
 
 
 def upper_tail_thresholds(scored: DataFrame, tails: list[float] = (0.1, 0.05, 0.01, 0.001, 0.0)) -> DataFrame:

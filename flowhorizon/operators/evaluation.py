@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.lookups import STAGE_ORDER, THRESHOLD_GRID
-from ..plans.scan import running
+from ..plans.scan import join_keys, running
 from ..sinks.tables import stage
 
 FINE, COARSE = 1 << 24, 1 << 12
@@ -52,7 +52,7 @@ def cumulative_counts(counts: DataFrame, keys: list[str] = ()) -> DataFrame:
     if not keys:
         out = below.withColumns({c: totals.select(c).scalar() for c in ("pos_total", "neg_total")})
     else:
-        out = below.join(totals, list(keys))
+        out = join_keys(below, totals, list(keys))
     return out.drop("_all")
 
 
@@ -108,7 +108,7 @@ def metrics_at(scored: DataFrame, threshold, keys: list[str] = ()) -> DataFrame:
     at = confusion(scored, threshold, keys)
     ranks = ranking_metrics(scored, keys)
     if keys:
-        return at.join(ranks.select(*keys, "roc_auc", "average_precision"), list(keys), "left")
+        return join_keys(at, ranks.select(*keys, "roc_auc", "average_precision"), list(keys), "left")
     return at.withColumns(
         {
             "roc_auc": ranks.select("roc_auc").scalar(),

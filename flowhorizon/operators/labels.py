@@ -29,14 +29,15 @@ def map_labels(flows: DataFrame, table: DataFrame, fixed_table: bool = False) ->
 def apply_stage_mapping(flows: DataFrame, dataset: str, check: bool = True) -> DataFrame:
     """Map labels with the built-in table of a dataset; unknown labels are an error.
 
-    The check is one distinct aggregation over the label column. At most 20 offenders are
-    fetched for the message.
+    The check is one distinct aggregation over the label column. The message names the first 20
+    offenders and says how many there are.
     """
     table = label_table(flows.sparkSession, dataset)
     if check:
-        missing = [r[0] for r in unmapped_labels(flows, table).orderBy("dataset_label").limit(20).collect()]
+        unknown = unmapped_labels(flows, table)
+        missing = [r[0] for r in unknown.orderBy("dataset_label").limit(20).collect()]
         if missing:
-            raise LabelMappingError(f"labels without a mapping for {dataset!r}: {missing}")
+            raise LabelMappingError(f"{unknown.count()} labels without a mapping for {dataset!r}, first {missing}")
     return map_labels(flows, table, fixed_table=True)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.lookups import RISK_WEIGHTS, STAGE_SEVERITY, UNCERTAIN, map_column
@@ -16,14 +18,18 @@ HOUR_US = 3_600 * MICROS
 
 
 def check_weights(weights: dict[str, float]) -> dict[str, float]:
-    got = {k: float(v) for k, v in weights.items()}
-    if set(got) != set(RISK_WEIGHTS):
-        raise ValueError(f"risk weights must be exactly {sorted(RISK_WEIGHTS)}")
-    if any(v < 0 for v in got.values()):
-        raise ValueError("risk weights must not be negative")
-    if abs(sum(got.values()) - 1) > 1e-6:
-        raise ValueError(f"risk weights must sum to 1, got {sum(got.values())}")
-    return got
+    """A weight for every risk component, so that the weighted components stay on a scale of 0 to 100.
+
+    All faults are reported together.
+    """
+    faults = [f"component {name} has no weight" for name in RISK_WEIGHTS if name not in weights]
+    faults += [f"{name} is not a component" for name in weights if name not in RISK_WEIGHTS]
+    faults += [f"weight of {name} is below zero" for name, w in weights.items() if not float(w) >= 0]
+    if not faults and not math.isclose(math.fsum(map(float, weights.values())), 1.0, abs_tol=1e-6):
+        faults = ["the weights of all components do not add up to one"]
+    if faults:
+        raise ValueError("; ".join(faults))
+    return {name: float(weights[name]) for name in RISK_WEIGHTS}
 
 
 def max_reachable_risk(weights: dict[str, float] = RISK_WEIGHTS, stages: bool = True) -> float:
@@ -185,7 +191,7 @@ def host_list(risky: DataFrame) -> DataFrame:
 
 
 def timelines(risky: DataFrame, points: int = TIMELINE_POINTS) -> DataFrame:
-    """Last ``points`` risk points per host, oldest first.
+    """Last ``points`` risk points per host (500 by default), oldest first.
 
     ``row_number <= n`` is limited per task before the shuffle, so a busy host sends little.
     """
@@ -201,7 +207,7 @@ def timelines(risky: DataFrame, points: int = TIMELINE_POINTS) -> DataFrame:
 
 
 def host_detail(risky: DataFrame, alerts: DataFrame, host_id: str, session_id: str | None = None, limit: int = 200):
-    """One host: its roll-up row with timeline, and its newest alerts."""
+    """One host: its roll-up row with timeline, and its newest alerts (200 by default)."""
     mine = risky.filter(F.col("host_id") == host_id)
     detail = host_rollup(mine).join(timelines(mine), "host_id")
     return detail, list_alerts(alerts, limit=limit, host_id=host_id, session_id=session_id)
@@ -229,9 +235,9 @@ def replay_totals(risky: DataFrame) -> DataFrame:
 def list_alerts(
     alerts: DataFrame, limit: int = 100, offset: int = 0, host_id: str | None = None, session_id: str | None = None
 ) -> DataFrame:
-    """Newest first, with optional equality filters."""
-    if not 1 <= limit <= 1000 or offset < 0:
-        raise ValueError("limit must be 1..1000 and offset not negative")
+    """Newest first, with optional equality filters. Any page size is served; the default is 100."""
+    if limit < 1 or offset < 0:
+        raise ValueError("a page has at least one row and starts at or after the first")
     if host_id is not None:
         alerts = alerts.filter(F.col("host_id") == host_id)
     if session_id is not None:

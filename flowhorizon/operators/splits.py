@@ -96,39 +96,42 @@ def fold_days(sequences: DataFrame) -> DataFrame:
     return days.withColumn("val_day", val)
 
 
-def fold_split(test_day: Column, val_day: Column) -> Column:
-    """Split of a sequence in one fold: inside the test or validation day, train when it touches
-    neither, purged otherwise."""
-    first, last = F.to_date("seq_start_time"), F.to_date("target_window_end")
-
-    def inside(day):
-        return (first == day) & (last == day)
-
-    def touching(day):
-        return (first <= day) & (last >= day)
-
-    return (
-        F.when(~touching(test_day) & ~touching(val_day), "train")
-        .when(inside(val_day), "val")
-        .when(inside(test_day), "test")
-        .otherwise("purged")
-    )
+def day_span() -> tuple[Column, Column]:
+    """First day of a sequence's inputs and last day of its target."""
+    return F.to_date("seq_start_time"), F.to_date("target_window_end")
+
+
+def fold_role(begin: Column, end: Column, test_day: Column, val_day: Column) -> Column:
+    """Role in one fold of whatever runs from day ``begin`` to day ``end``.
+
+    A span that misses both held-out days trains. One that meets a held-out day belongs to it only if it is
+    that single day; spans over midnight are purged, since they would carry a held-out day into another role.
+    """
+    met = F.when(val_day.between(begin, end), "val").when(test_day.between(begin, end), "test")
+    return F.when(met.isNull(), "train").when(F.datediff(end, begin) == 0, met).otherwise("purged")
 
 
 def assign_fold(sequences: DataFrame, test_day, val_day) -> DataFrame:
-    return sequences.withColumn("split", fold_split(F.lit(test_day).cast("date"), F.lit(val_day).cast("date")))
-
-
-def all_folds(sequences: DataFrame) -> DataFrame:
-    """Every sequence once per fold. The fold list is one scalar array, exploded in place."""
-    listed = fold_days(sequences).filter(F.col("val_day").isNotNull())
-    folds = listed.agg(F.sort_array(F.collect_list(F.struct("test_day", "val_day")))).scalar()
-    spread = sequences.withColumn("_fold", F.explode(folds))
-    return spread.select(
-        *sequences.columns,
-        F.col("_fold.test_day").alias("test_day"),
-        F.col("_fold.val_day").alias("val_day"),
-        fold_split(F.col("_fold.test_day"), F.col("_fold.val_day")).alias("fold_split"),
+    days = (F.lit(d).cast("date") for d in (test_day, val_day))
+    return sequences.withColumn("split", fold_role(*day_span(), *days))
+
+
+def fold_counts(sequences: DataFrame, **measures: Column) -> DataFrame:
+    """``total`` and summed ``measures`` per fold and role, for all folds.
+
+    Sequences are counted per (first day, last day) first; only those counts, of which there are about as many as
+    days, meet the list of folds.
+    """
+    begin, end = day_span()
+    spans = sequences.groupBy(begin.alias("_a"), end.alias("_b")).agg(
+        F.count(F.lit(1)).alias("total"), *[F.sum(m).alias(name) for name, m in measures.items()]
+    )
+    folds = fold_days(sequences).filter(F.col("val_day").isNotNull())
+    listed = folds.agg(F.sort_array(F.collect_list(F.struct("test_day", "val_day")))).scalar()
+    each = spans.withColumn("_fold", F.explode(listed)).select("*", "_fold.*")
+    role = fold_role(F.col("_a"), F.col("_b"), F.col("test_day"), F.col("val_day"))
+    return each.groupBy("test_day", "val_day", role.alias("fold_split")).agg(
+        *[F.sum(name).alias(name) for name in ("total", *measures)]
     )
 
 

@@ -42,14 +42,14 @@ def static_problem(actions: DataFrame) -> Column:
         return F.col(c).isNull() | (F.trim(F.col(c)) == "")
 
     return (
-        F.when(~F.coalesce(F.col("action").isin(list(TRANSITIONS)), F.lit(False)), "unknown action")
-        .when(blank("analyst"), "analyst is required")
-        .when((F.col("action") == "approve_response") & blank("response"), "approve_response needs the response")
+        F.when(~F.coalesce(F.col("action").isin(list(TRANSITIONS)), F.lit(False)), "no such action")
+        .when(blank("analyst"), "an action names its analyst")
+        .when((F.col("action") == "approve_response") & blank("response"), "approval without a response")
         .when(
             (F.col("action") == "override_stage") & ~F.coalesce(F.col("stage").isin(STAGE_ORDER), F.lit(False)),
-            "override_stage needs a known stage",
+            "override without a listed stage",
         )
-        .when((F.col("action") == "comment") & blank("note"), "comment needs a note")
+        .when((F.col("action") == "comment") & blank("note"), "an empty comment")
     )
 
 
@@ -99,16 +99,12 @@ def replay_states(actions: DataFrame, initial: DataFrame | None = None, fold_row
             state = e[STATES.index(state)]
         return pd.DataFrame({"alert_id": pdf["alert_id"], "run": pdf["run"], "start": starts})
 
-    # run 0 starts from the initial state; only alerts with more runs need the fold
-    long = maps.withColumn("_runs", F.max("run").over(W.partitionBy("alert_id")))
-    short = long.filter("_runs = 0").select("alert_id", "run", F.coalesce("first", F.lit("open")).alias("start"))
     folded = (
-        long.filter("_runs > 0")
-        .select("alert_id", "run", "ends", F.coalesce("first", F.lit("open")).alias("first"))
+        maps.select("alert_id", "run", "ends", F.coalesce("first", F.lit("open")).alias("first"))
         .groupBy("alert_id")
         .applyInPandas(chain, "alert_id bigint, run bigint, start string")
     )
-    started = runs.join(short.unionByName(folded), ["alert_id", "run"])
+    started = runs.join(folded, ["alert_id", "run"])
     walked = started.withColumn("_states", _walk(F.col("steps"), F.col("start")))
     each = walked.select(F.posexplode("steps").alias("i", "s"), "_states")
     before, after = F.get("_states", F.col("i")), F.get("_states", F.col("i") + 1)

@@ -42,8 +42,6 @@ OPTIONAL_MEASURES = {
 RATIO_FLAGS = ["syn", "ack", "rst", "fin", "psh"]
 # dimensions of the first aggregation
 LABEL, DST_IP, DST_PORT, SRC_PORT, SECOND = range(5)
-# above this many windows per flow, flows are counted per pane first
-PANE_FANOUT = 4
 
 
 def _measures(flows: DataFrame) -> dict[str, list[tuple[str, str]]]:
@@ -176,8 +174,7 @@ def host_windows(
     """One row per (host, window) that holds at least ``min_flows`` flows.
 
     ``origin`` defaults to the earliest flow. ``panes`` counts flows once per stride-long pane and
-    combines panes into windows; it needs a whole number of strides per window and is chosen
-    automatically when a flow would otherwise be copied into more than four windows.
+    combines panes into windows; it needs a whole number of strides per window and is then the default.
     """
     window_us, stride_us = check_grid(window_seconds, stride_seconds)
     if min_flows < 1:
@@ -186,7 +183,7 @@ def host_windows(
         raise ValueError(f"host column {group_by!r} is not in the table")
     whole = window_us % stride_us == 0
     if panes is None:
-        panes = whole and window_us // stride_us > PANE_FANOUT
+        panes = whole
     elif panes and not whole:
         raise ValueError("panes need a window that is a whole number of strides")
     start = origin_column(flows, origin)

@@ -69,6 +69,15 @@ def _before(kind: str, col: Column, frame) -> Column:
     return F.coalesce(value, F.lit(0)) if kind == "sum" else value
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, NULL being equal to NULL; the keys come from the left side."""
+    renamed = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = F.lit(True)
+    for k in keys:
+        on = on & left[k].eqNullSafe(renamed[f"_k_{k}"])
+    return left.join(renamed, on, how).drop(*[f"_k_{k}" for k in keys])
+
+
 def row_index(
     df: DataFrame, keys: list[str], order: list[str], segment: Column, name: str = "row_idx"
 ) -> DataFrame:

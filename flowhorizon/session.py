@@ -37,10 +37,13 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only where none is configured (tests)."""
+    """The shared folder named by the cluster. Where none is named, a temporary one in local mode only:
+    on more than one machine every executor would write to a disk of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if folder is None and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = folder or tempfile.mkdtemp(prefix="flowhorizon-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
         current = spark.sparkContext.getCheckpointDir()

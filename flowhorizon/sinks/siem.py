@@ -12,7 +12,6 @@ PRODUCT = "FlowHorizon Forecaster"
 SIGNATURE = "flow-forecast"
 EVENT_NAME = "Predicted attack in next window"
 FORMATS = ("cef", "syslog", "jsonl")
-MAX_BATCH = 10000
 
 # fixed values: extension key -> alert column or constant label, in output order
 CEF_EXTENSIONS = [
@@ -118,8 +117,10 @@ def render(alerts: DataFrame, fmt: str, **options) -> DataFrame:
 
 
 def alerts_since(alerts: DataFrame, since_id: int = 0, limit: int = 1000) -> DataFrame:
-    """Page of alerts after an id, oldest first; the page size is clamped to 1..10000."""
-    return alerts.filter(F.col("id") > since_id).orderBy("id").limit(max(1, min(limit, MAX_BATCH)))
+    """Page of ``limit`` alerts after an id, oldest first; any page size is served, 1000 by default."""
+    if limit < 1:
+        raise ValueError("a page has at least one row")
+    return alerts.filter(F.col("id") > since_id).orderBy("id").limit(limit)
 
 
 def export_text(alerts: DataFrame, fmt: str, path: str, **options) -> None:

@@ -146,8 +146,8 @@ def test_transitions(spark, fold_rows):
     alerts = stage(ledger.append_alerts(make_alerts(spark, 5)))
     d = triage.record_actions(actions, alerts)
     got = {r["action_id"]: r["reason"] for r in d.collect()}
-    assert got[1] == "cannot reopen an alert that is open" and got[2] is None and got[10] == "analyst is required"
-    assert got[11] == "alert not found" and got[12] == "comment needs a note" and got[9] is None
+    assert got[1] == "cannot reopen an alert that is open" and got[2] is None and got[10] == "an action names its analyst"
+    assert got[11] == "alert not found" and got[12] == "an empty comment" and got[9] is None
     log = stage(triage.chain_actions(d, block_rows=2))
     assert triage.verify_actions(log, alerts).first()["status"] == "VERIFIED"
     h = {r["alert_id"]: r for r in triage.alert_history(alerts, log).collect()}
@@ -182,7 +182,9 @@ def test_export_lines(spark):
     assert df.select(piped).first()[0].startswith("CEF:0|a\\|b\\\\c|")
     with pytest.raises(ValueError):
         siem.render(df, "xml")
-    assert [r["id"] for r in siem.alerts_since(df, 7, 0).collect()] == [8]
+    assert [r["id"] for r in siem.alerts_since(df, 7, 1).collect()] == [8]
+    with pytest.raises(ValueError):
+        siem.alerts_since(df, 7, 0)
 
 
 def test_export_text(spark, tmp_path):

@@ -2,6 +2,7 @@ import datetime as dt
 import gzip
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,38 +156,40 @@ T = 1499077800.0
 A, B, C = "10.0.0.1", "10.0.0.2", "10.0.0.3"
 
 
-def session(t, again=True, sport=40000):
-    def f(dt_, flags, seq, ttl, n=0):
-        return (t + dt_, A, B, sport, 80, 6, n, ttl, flags, 8192, seq)
-
-    def r(dt_, flags, seq, n=0):
-        return (t + dt_, B, A, 80, sport, 6, n, 128, flags, 29200, seq)
-
-    out = [f(0, "S", 1000, 64), r(0.001, "SA", 5000), f(0.002, "A", 1001, 64), f(0.003, "PA", 1001, 62, 100)]
-    out += [f(0.203, "PA", 1001, 64, 100)] if again else []
-    return out + [r(0.25, "PA", 5001, 200), f(0.3, "FA", 1101, 64), r(0.301, "FA", 5201)]
-
-
-def test_tcp_session(spark):
-    rows = session(T) + session(T + 10, again=False)
-    rows += [(T + s, A, C, 5353, 53, 17, 30, 64, None, None, None) for s in (1, 2, 400)]
-    rows += [(T + 3, C, A, None, None, 1, 0, 50, None, None, None)]
-    df = spark.createDataFrame(rows, packets.PACKET_DDL)
-    flows = packets.packets_to_flows(df)
-    tcp = flows.filter("protocol = 'TCP'").orderBy("timestamp").collect()
-    assert len(tcp) == 2
-    s = tcp[0]
-    assert (s["source_ip"], s["destination_ip"], s["source_port"], s["destination_port"]) == (A, B, 40000, 80)
-    assert (s["fwd_packet_count"], s["bwd_packet_count"], s["fwd_byte_count"], s["bwd_byte_count"]) == (5, 3, 200, 200)
-    assert (s["syn_count"], s["fin_count"], s["psh_count"], s["rst_count"]) == (2, 2, 3, 0)
-    assert s["tcp_window_size"] == 8192 and s["retransmission_count"] == 1 and tcp[1]["retransmission_count"] == 0
-    assert s["flow_duration"] == pytest.approx(0.301, abs=1e-5) and s["inter_arrival_mean"] == pytest.approx(0.301 / 7 * 1e6, rel=1e-4)
-    assert s["timestamp"] == dt.datetime(2017, 7, 3, 10, 30) and s["ttl_mean"] == pytest.approx((64 * 4 + 62 + 128 * 3) / 8)
-    udp = flows.filter("protocol = 'UDP'").collect()
-    assert sorted(r["packet_count"] for r in udp) == [1, 2]
-    assert [r["packet_count"] for r in packets.packets_to_flows(df, idle_timeout=1000).filter("protocol = 'UDP'").collect()] == [3]
+def segments(start, seconds, spec):
+    """Packets of one TCP connection between A and B from a text like ``> S 0 1`` (direction, flags, bytes, seq), one every ``seconds``."""
+    out = []
+    for i, part in enumerate(spec.split(",")):
+        way, flags, size, seq = part.split()
+        ends = (A, B, 50123, 443) if way == ">" else (B, A, 443, 50123)
+        out.append((start + i * seconds, *ends, 6, int(size), 60 if way == ">" else 120, flags, 1000 if way == ">" else 2000, int(seq)))
+    return out
+
+
+UPLOAD = "> S 0 1,< SA 0 1,> A 0 2,> PA 700 2,> PA 700 702,> PA 700 702,< A 0 2,> FPA 10 1402,< FA 0 2"
+CHAT = "< S 0 9,> SA 0 9,< PA 5 10,> PA 6 10,< R 0 15"
+
+
+def test_connections_become_flows(spark):
+    """The same ports used twice: an upload with one segment sent again and a close by both sides, then a chat that B
+    opens and resets; between them datagrams of another pair, one hour apart, and a packet without ports."""
+    other = [(T + 3600 * k, C, B, 9, 9, 17, 11, 33, None, None, None) for k in (0, 1)]
+    bare = [(T, B, C, None, None, 1, 0, 7, None, None, None)]
+    df = spark.createDataFrame(segments(T, 0.5, UPLOAD) + segments(T + 60, 2.0, CHAT) + other + bare, packets.PACKET_DDL)
+    flows = packets.packets_to_flows(df, idle_timeout=1800)
+    upload, chat = flows.filter("protocol = 'TCP'").orderBy("timestamp").collect()
+    want = {
+        "source_ip": A, "source_port": 50123, "packet_count": 9, "fwd_packet_count": 6, "fwd_byte_count": 2110, "bwd_byte_count": 0,
+        "syn_count": 2, "psh_count": 4, "fin_count": 2, "rst_count": 0, "ack_count": 8, "retransmission_count": 1, "tcp_window_size": 1000,
+        "flow_duration": 4.0, "inter_arrival_mean": 500_000.0, "inter_arrival_std": 0.0, "ttl_mean": 80.0,
+    }
+    assert {k: pytest.approx(upload[k], abs=1e-3) if isinstance(v, float) else upload[k] for k, v in want.items()} == want
+    want = {"source_ip": B, "source_port": 443, "packet_count": 5, "bwd_byte_count": 6, "rst_count": 1, "retransmission_count": 0, "tcp_window_size": 2000}
+    assert {k: chat[k] for k in want} == want
+    assert flows.filter("protocol = 'UDP'").count() == 2
+    assert packets.packets_to_flows(df, idle_timeout=4000).filter("protocol = 'UDP'").first()["flow_duration"] == 3600
     icmp = flows.filter("protocol = 'ICMP'").first()
-    assert icmp["source_port"] is None and icmp["retransmission_count"] is None and icmp["ttl_mean"] == 50 and icmp["inter_arrival_std"] == 0
+    assert (icmp["destination_port"], icmp["tcp_window_size"], icmp["ttl_mean"]) == (None, None, 7)
 
 
 def test_rst_and_timeouts(spark):
@@ -197,27 +200,33 @@ def test_rst_and_timeouts(spark):
         packets.packets_to_flows(df, idle_timeout=0)
 
 
-def simulate(rows, idle, active):
-    """Plain one-pass assembly used as the yardstick."""
-    open_, done = {}, []
-    for ts, src, dst, sp, dp, proto, n, _, flags, _, _ in sorted(rows, key=lambda r: r[0]):
-        key = (proto, *sorted([(src, sp), (dst, dp)]))
-        f = open_.get(key)
-        if f and (ts - f["last"] > idle or ts - f["first"] > active):
-            done.append(open_.pop(key))
-            f = None
-        if f is None:
-            f = open_[key] = {"first": ts, "last": ts, "n": 0, "bytes": 0, "src": src, "fin": set()}
-        f["last"], f["n"], f["bytes"] = ts, f["n"] + 1, f["bytes"] + n
-        if "F" in flags:
-            f["fin"].add((src, sp) == (f["src"], sp) and src == f["src"])
-        if proto == 6 and ("R" in flags or len(f["fin"]) == 2):
-            done.append(open_.pop(key))
-    done += open_.values()
-    return sorted((f["src"], round(f["first"], 3), round(f["last"] - f["first"], 3), f["n"], f["bytes"]) for f in done)
-
-
-def test_random_packets_match_simulation(spark):
+WALK = """
+WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY proto, a, b ORDER BY ts) AS k FROM packets),
+w AS (
+  SELECT proto, a, b, k, ts, ts AS began, 1 AS flow, src AS head, fin AND proto = 6 AS head_fin, false AS peer_fin, rst AND proto = 6 AS closed FROM p WHERE k = 1
+  UNION ALL
+  SELECT proto, a, b, k, ts, CASE WHEN fresh THEN ts ELSE began END, flow + fresh::INT, CASE WHEN fresh THEN src ELSE head END,
+    CASE WHEN fresh THEN f ELSE head_fin OR (f AND src = head) END, CASE WHEN fresh THEN false ELSE peer_fin OR (f AND src <> head) END,
+    (rst AND proto = 6) OR (NOT fresh AND (head_fin OR (f AND src = head)) AND (peer_fin OR (f AND src <> head)))
+  FROM (SELECT p.*, w.began, w.flow, w.head, w.head_fin, w.peer_fin, p.fin AND p.proto = 6 AS f,
+      w.closed OR p.ts - w.ts > {idle} OR p.ts - w.began > {active} AS fresh
+    FROM w JOIN p ON p.proto = w.proto AND p.a = w.a AND p.b = w.b AND p.k = w.k + 1))
+SELECT w.head, round(min(ts), 3), round(max(ts) - min(ts), 3), count(*)::INT, sum(size)::INT FROM w JOIN p USING (proto, a, b, k, ts)
+GROUP BY w.proto, w.a, w.b, flow, w.head ORDER BY ALL"""
+
+
+def walked(rows, idle, active):
+    """Flows by a recursive query over the ordered packets of each conversation."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE packets (ts DOUBLE, src VARCHAR, a VARCHAR, b VARCHAR, proto INT, size INT, fin BOOLEAN, rst BOOLEAN)")
+    con.executemany(
+        "INSERT INTO packets VALUES (?, ?, ?, ?, ?, ?, ?, ?)",
+        [[r[0], r[1], min(r[1], r[2]), max(r[1], r[2]), r[5], r[6], "F" in r[8], "R" in r[8]] for r in rows],
+    )
+    return con.execute(WALK.format(idle=idle, active=active)).fetchall()
+
+
+def test_random_packets_match_the_recursive_query(spark):
     rng = random.Random(11)
     rows, t = [], T
     for _ in range(900):
@@ -229,14 +238,14 @@ def test_random_packets_match_simulation(spark):
     df = spark.createDataFrame(rows, packets.PACKET_DDL).repartition(6)
     got = packets.packets_to_flows(df, idle_timeout=400, active_timeout=900).collect()
     mine = sorted((r["source_ip"], round(r["timestamp"].timestamp(), 3), round(r["flow_duration"], 3), int(r["packet_count"]), int(r["byte_count"])) for r in got)
-    assert mine == simulate(rows, 400, 900)
+    assert mine == walked(rows, 400, 900)
 
 
 def test_interval_rules(spark):
-    flows = packets.packets_to_flows(spark.createDataFrame(session(T) + session(T + 10), packets.PACKET_DDL))
+    flows = packets.packets_to_flows(spark.createDataFrame(segments(T, 0.1, CHAT) + segments(T + 10, 0.1, CHAT), packets.PACKET_DDL))
     rules = spark.createDataFrame(
-        [(2, A, dt.datetime(2017, 7, 3, 10, 30, 5), dt.datetime(2017, 7, 3, 10, 31), "Bot"),
-         (1, A, dt.datetime(2017, 7, 3, 10, 30, 5), dt.datetime(2017, 7, 3, 10, 31), "PortScan")],
+        [(2, B, dt.datetime(2017, 7, 3, 10, 30, 5), dt.datetime(2017, 7, 3, 10, 31), "Bot"),
+         (1, B, dt.datetime(2017, 7, 3, 10, 30, 5), dt.datetime(2017, 7, 3, 10, 31), "PortScan")],
         "rule_no int, source_ip string, start timestamp, end timestamp, label string",
     )
     table = label_table(spark, "cic_ids2017")
