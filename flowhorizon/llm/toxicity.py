@@ -87,6 +87,13 @@ class Net:
             self.p |= {f"W{d}": init(dim, 3 * HIDDEN), f"c{d}": np.zeros(3 * HIDDEN, np.float32), f"U{d}": init(HIDDEN, 3 * HIDDEN)}
         self.p["word"][0] = 0
 
+    @classmethod
+    def of(cls, index: dict, parameters: dict) -> "Net":
+        """Network of stored parts; only such plain parts are broadcast, so workers need no installed package."""
+        net = cls.__new__(cls)
+        net.index, net.p = index, parameters
+        return net
+
     def inputs(self, words: list[str], unnamed=None) -> tuple[np.ndarray, np.ndarray]:
         ids = np.fromiter((self.index.get(w, 0) for w in words), np.int64, len(words))
         if unnamed is not None:
@@ -307,13 +314,13 @@ def training_windows(docs: DataFrame, odds: dict[str, float]) -> tuple[list[list
 
 def scored(docs: DataFrame, net: Net, a: float, b: float, extra: list[str] = ()) -> DataFrame:
     """Rows of doc_id, ``extra`` columns, score."""
-    packed = docs.sparkSession.sparkContext.broadcast((net, a, b))
+    packed = docs.sparkSession.sparkContext.broadcast((net.index, net.p, a, b))
 
     def score(batches):
         import pyarrow as pa
 
-        net, a, b = packed.value
-        run = Scorer(net)
+        index, parameters, a, b = packed.value
+        run = Scorer(Net.of(index, parameters))
         for batch in batches:
             logit = run(batch.column("text").to_pylist())
             kept = [batch.column(c) for c in batch.schema.names if c != "text"]
@@ -372,13 +379,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **optio
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
     """Documents scored below the threshold, with all their columns."""
-    packed = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **options))
+    net, a, b = train(docs, labels, **options)
+    packed = docs.sparkSession.sparkContext.broadcast((net.index, net.p, a, b))
 
     def keep(batches):
         import pyarrow as pa
 
-        net, a, b = packed.value
-        run = Scorer(net)
+        index, parameters, a, b = packed.value
+        run = Scorer(Net.of(index, parameters))
         for batch in batches:
             logit = run(batch.column("text").to_pylist())
             yield batch.filter(pa.array(sigmoid(a * logit + b) < threshold))
