@@ -17,7 +17,7 @@ PRESENT = [
     f for f in WINDOW_FEATURES
     if not f.startswith(("packet_size", "inter_arrival", "tcp_window", "ack_count", "rst_count", "fin_count", "psh_count"))
 ]
-FLOWS_AT, ATTACK_AT = PRESENT.index("flow_count"), PRESENT.index("attack_flow_ratio")
+FLOWS_AT = PRESENT.index("flow_count")
 ENTROPY_AT = PRESENT.index("destination_port_entropy")
 
 
@@ -244,8 +244,7 @@ def q_horizon(spark, sf):
     with_("seqs") + "SELECT sequence_id, CASE WHEN last_attack_ratio > 0 THEN 1 ELSE 0 END AS rule FROM seqs",
 )
 def q_rule(spark, sf):
-    s = B.sequences(spark, sf)
-    return s.select("sequence_id", (F.element_at("sequence_features", -1)[ATTACK_AT] > 0).cast("int").alias("rule"))
+    return B.sequences(spark, sf).select("sequence_id", Q.last_window_rule("sequence_features", PRESENT).alias("rule"))
 
 
 @query(
@@ -255,7 +254,7 @@ def q_rule(spark, sf):
     + """SELECT sequence_id, split FROM split WHERE split = 'test' AND target_dominant_class <> 'Benign'""",
 )
 def q_filter(spark, sf):
-    s = B.split_sequences(spark, sf)
+    s = stage(B.split_sequences(spark, sf), "split")
     ids = s.filter(F.col("target_dominant_class") != "Benign").select("sequence_id")
     return Q.filter_sequences(s, ids=ids, split="test").select("sequence_id", "split")
 

@@ -55,7 +55,13 @@ def first_interval_match(
 
 
 def interval_labels(flows: DataFrame, rules: DataFrame, table: DataFrame, default: str = "BENIGN") -> DataFrame:
-    """Analyst label rules ``(rule_no, source_ip, start, end, label)``; first rule wins, else BENIGN."""
+    """Analyst label rules ``(rule_no, source_ip, start, end, label)``; first rule wins, else BENIGN.
+
+    A rule whose label the table does not know is an error.
+    """
+    unknown = [r[0] for r in unknown_rule_labels(rules, table).orderBy("dataset_label").limit(20).collect()]
+    if unknown:
+        raise ValueError(f"rules with labels that have no mapping, first {unknown}")
     base = flows.drop("dataset_label", "normalized_attack_class", "attack_stage", "label_confidence")
     hit = first_interval_match(base, rules, [("source_ip", "source_ip")], "start", "end", "rule_no", ["label"])
     named = hit.withColumn("dataset_label", F.coalesce("label", F.lit(default))).drop("label")

@@ -255,11 +255,17 @@ def select_model_inputs(sequences: DataFrame, sequence_length: int | None = None
 def filter_sequences(
     sequences: DataFrame, ids: DataFrame | None = None, split: str | None = None, limit: int | None = None
 ) -> DataFrame:
-    """By id table (left-semi), by split, or the first ``limit`` rows in id order."""
-    if split is not None:
-        sequences = sequences.filter(F.col("split") == split)
+    """By id table (left-semi), by split, or the first ``limit`` rows in id order.
+
+    Ids that no sequence has are an error.
+    """
     if ids is not None:
+        absent = [r[0] for r in missing_ids(sequences, ids).orderBy("sequence_id").limit(20).collect()]
+        if absent:
+            raise ValueError(f"sequences not found, first {absent}")
         sequences = sequences.join(ids.select("sequence_id"), "sequence_id", "left_semi")
+    if split is not None:
+        sequences = sequences.filter(F.col("split") == split)
     return sequences.orderBy("sequence_id").limit(limit) if limit else sequences
 
 
@@ -267,7 +273,7 @@ def missing_ids(sequences: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.select("sequence_id").join(sequences.select("sequence_id"), "sequence_id", "left_anti")
 
 
-def last_window_rule(sequences: DataFrame, column: str = "sequence_features") -> Column:
+def last_window_rule(column: str = "sequence_features", names: list[str] = WINDOW_FEATURES) -> Column:
     """1 when the last input window already shows attack flows. Reads labels: reference only."""
-    at = WINDOW_FEATURES.index("attack_flow_ratio")
+    at = names.index("attack_flow_ratio")
     return (F.element_at(column, -1)[at] > 0).cast("int")

@@ -140,7 +140,9 @@ def test_horizon_consistency(spark):
     assert Q.horizon_mismatches(broken).count() == m.filter("future_count > 0").count()
     assert m.agg(F.max("future_count")).first()[0] == 3
     ids = spark.createDataFrame([("a_seq_0",), ("nope",)], "sequence_id string")
-    assert Q.filter_sequences(s, ids).count() == 1 and [r[0] for r in Q.missing_ids(s, ids).collect()] == ["nope"]
+    with pytest.raises(ValueError):
+        Q.filter_sequences(s, ids)
+    assert Q.filter_sequences(s, ids.filter("sequence_id <> 'nope'")).count() == 1 and [r[0] for r in Q.missing_ids(s, ids).collect()] == ["nope"]
 
 
 def test_day_folds(spark):

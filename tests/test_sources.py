@@ -251,6 +251,8 @@ def test_interval_rules(spark):
     table = label_table(spark, "cic_ids2017")
     out = joins.interval_labels(flows, rules, table).orderBy("timestamp").collect()
     assert [r["dataset_label"] for r in out] == ["BENIGN", "PortScan"] and out[1]["attack_stage"] == "Reconnaissance"
+    with pytest.raises(ValueError):
+        joins.interval_labels(flows, rules.withColumn("label", F.lit("Teleport")), table)
     assert joins.unknown_rule_labels(rules.withColumn("label", F.lit("Teleport")), table).first()[0] == "Teleport"
 
 
