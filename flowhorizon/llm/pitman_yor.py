@@ -13,8 +13,8 @@ parallel over all words of the corpus, and returns the new totals. After ``BURN_
 a token's probability is the mean of its predictive probabilities in them. All training tokens are seated.
 
 Scale: texts are packed once into blocks of about ``BLOCK_BYTES`` with their own vocabulary. Words (by 64 bits of
-hash) meet their counts through the block vocabularies, a small part of the tokens; a
-word has at most ``CLASSES + 1`` contexts; what reaches the driver are the totals of the restaurants.
+hash) meet their counts in buckets, whose number follows the corpus; what a block knows of a bucket travels as one packed
+row. A word has at most ``CLASSES + 1`` contexts, and what reaches the driver are the totals of the restaurants.
 
 Defined results: a null or empty text is its end token alone; repeated rows are scored alike and each
 teaches if its id does; a word unknown in training counts as the unknown word; without training tokens
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import fold, stored
 
 CLASSES, SHORT_WORD = 16, 3
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 8_000_000
 BURN_IN, SAMPLES, INNER = 2, 3, 4
 THETA = 1.0
 
@@ -70,47 +70,81 @@ def topics(words: list[bytes]) -> list[tuple[int, int]]:
     return out
 
 
-PACKED = "block string, words array<bigint>, topics array<binary>, trained array<array<int>>, ids array<bigint>, held array<boolean>, sizes array<int>, tokens binary"
+BLOCK = (
+    "block bigint, ids array<bigint>, held array<boolean>, sizes array<int>, tokens binary, "
+    "parts array<struct<bucket:int,words:binary,topics:binary,trained:binary>>"
+)
+BUCKET = "stats array<bigint>, pairs binary, trained binary, asks array<struct<block:bigint,bucket:int,pairs:binary>>"
+STATS = 5 + 2 * (CLASSES + 1)  # known words, words by one and two contexts, pairs counted once and twice; customers and tables
+
+
+def squeeze(a: np.ndarray) -> bytes:
+    """Integers by byte planes, so that the empty high bytes vanish."""
+    import zlib
+
+    a = np.ascontiguousarray(a)
+    return zlib.compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes() if len(a) else b"", 1)
+
+
+def unsqueeze(raw: bytes, kind: str) -> np.ndarray:
+    import zlib
+
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def arrow(ddl: str):
+    """Arrow schema of a Spark one; asked for on the driver and sent along."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
+def batch_of(rows: list, schema):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema.names)
 
 
 def pack(docs: DataFrame) -> DataFrame:
-    """Stored blocks of documents (columns id, text, held): per document the numbers of its (word, topic) pairs,
-    per word of the block its topics and their training counts."""
+    """Stored blocks of documents (columns id, text, held). A block numbers its (word, topic) pairs by bucket, word
+    and topic; it holds its texts as such numbers and its pairs with their training counts by bucket.
+
+    The number of buckets follows the size of the corpus, so a bucket's share of all vocabularies fits a task.
+    """
+    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets, schema = max(8, int(size) // BLOCK_BYTES), arrow(BLOCK)
 
     def run(batches):
         import uuid
-        import zlib
 
-        import pyarrow as pa
         import xxhash
-        from pyspark import TaskContext
 
-        kinds = [
-            pa.string(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.list_(pa.int32())),
-            pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(),
-        ]
-        names = [c.split()[0] for c in PACKED.split(", ")]
-        state: dict = {"n": 0}
+        state: dict = {}
 
         def fresh():
             state.update(index={}, parts=[], sizes=[], ids=[], held=[], bytes=0)
 
         def flush():
-            words = [xxhash.xxh64_intdigest(w) for w in state["index"]]
-            words = np.array(words, np.uint64).astype(np.int64)
-            pairs = np.concatenate(state["parts"])  # word number * 32 + topic
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in state["index"]), np.uint64, len(state["index"]))
+            order = np.lexsort((hashes, hashes % np.uint64(buckets)))
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            raw = np.concatenate(state["parts"])  # word * 32 + topic
+            pairs, tokens = np.unique(rank[raw // 32] * 32 + raw % 32, return_inverse=True)
             taught = np.repeat(~np.array(state["held"], bool), state["sizes"])
-            met, tokens = np.unique(pairs, return_inverse=True)
-            trained = np.bincount(tokens[taught], minlength=len(met)).astype(np.int32)
-            ends = np.searchsorted(met // 32, np.arange(1, len(words)))
-            topic = [t.tobytes() for t in np.split((met % 32).astype(np.uint8), ends)]
-            counts = [c.tolist() for c in np.split(trained, ends)]
-            packed = zlib.compress(np.ascontiguousarray(tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+            trained = np.bincount(tokens[taught], minlength=len(pairs))
+            words, topics = hashes[order][pairs // 32], (pairs % 32).astype(np.uint8)
+            bucket = (words % np.uint64(buckets)).astype(np.int64)
+            parts = []
+            for k in np.unique(bucket).tolist():
+                at = slice(*np.searchsorted(bucket, [k, k + 1]))
+                parts.append({"bucket": k, "words": words[at].tobytes(), "topics": topics[at].tobytes(), "trained": squeeze(trained[at])})
             # a task that runs again makes new names, but only one of its results is stored
-            name = f"{TaskContext.get().partitionId()}-{state['n']}-{uuid.uuid4().hex[:8]}"
-            row = [name, words.tolist(), topic, counts, state["ids"], state["held"], state["sizes"], packed]
-            state["n"] += 1
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
+            name = uuid.uuid4().int >> 65
+            return batch_of([[name, state["ids"], state["held"], state["sizes"], squeeze(tokens.astype("<u4")), parts]], schema)
 
         fresh()
         for batch in batches:
@@ -129,25 +163,41 @@ def pack(docs: DataFrame) -> DataFrame:
         if state["ids"]:
             yield flush()
 
-    return stored(docs.select("id", "text", "held").mapInArrow(run, PACKED), "lm-blocks")
-
-
-def vocabulary(blocks: DataFrame) -> DataFrame:
-    """(block, pos, word, topics, trained): every word of every block."""
-    rows = blocks.select("block", F.posexplode(F.arrays_zip("words", "topics", "trained")).alias("pos", "x"))
-    return rows.select("block", "pos", "x.words", "x.topics", "x.trained").withColumnRenamed("words", "word")
+    return stored(docs.select("id", "text", "held").mapInArrow(run, BLOCK), "lm-blocks")
+
+
+def counted(blocks: DataFrame) -> DataFrame:
+    """Stored buckets of words: the training count of every (word, topic) pair, and which of them each block asks for.
+
+    Pairs travel packed, one row per block and bucket, so a word costs eight bytes and not a row.
+    """
+
+    schema = arrow(BUCKET)
+
+    def merge(key, table):
+        rows = table.to_pylist()
+        words = np.concatenate([np.frombuffer(r["words"], np.uint64) for r in rows])
+        topic = np.concatenate([np.frombuffer(r["topics"], np.uint8) for r in rows]).astype(np.int64)
+        n = np.concatenate([unsqueeze(r["trained"], "<i8") for r in rows])
+        _, word = np.unique(words, return_inverse=True)
+        pairs, at = np.unique(word * 32 + topic, return_inverse=True)
+        n = np.bincount(at, n, minlength=len(pairs)).astype(np.int64)
+        ends = np.cumsum([len(r["topics"]) for r in rows])
+        asks = [
+            {"block": r["block"], "bucket": key[0].as_py(), "pairs": squeeze(x.astype("<u4"))} for r, x in zip(rows, np.split(at, ends[:-1]))
+        ]
+        known = n > 0
+        contexts = np.bincount(pairs[known] // 32)
+        single = [int((n == 1).sum()), int((n == 2).sum())]
+        stats = [int((contexts > 0).sum()), int((contexts == 1).sum()), int((contexts == 2).sum()), *single]
+        for w in (n, known):
+            stats += np.bincount(pairs % 32, w, minlength=CLASSES + 1).astype(np.int64).tolist()
+        import pyarrow as pa
 
+        return pa.Table.from_batches([batch_of([[stats, squeeze(pairs), squeeze(n), asks]], schema)])
 
-def counted(vocab: DataFrame) -> DataFrame:
-    """Stored (word, c, topics, n): training count of every word, and its topics with their counts, none for
-    words of held-out texts only. Counts combine before each shuffle; a word has few topics, so its list is short."""
-    topic = F.transform(F.sequence(F.lit(1), F.length("topics")), lambda i: F.ascii(F.substring("topics", i, F.lit(1)).cast("string")))
-    pairs = vocab.select("word", F.explode(F.arrays_zip(topic.alias("u"), F.col("trained").alias("n"))).alias("x"))
-    pairs = pairs.groupBy("word", F.col("x.u").alias("u")).agg(F.sum("x.n").alias("n"))
-    lists = pairs.groupBy("word").agg(
-        F.sum("n").alias("c"), F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.struct("u", "n")))).alias("l")
-    )
-    return stored(lists.select("word", "c", F.col("l.u").alias("topics"), F.col("l.n").alias("n")), "lm-words")
+    parts = blocks.select("block", F.explode("parts").alias("x")).select("block", "x.*")
+    return stored(parts.groupBy("bucket").applyInArrow(merge, BUCKET), "lm-words")
 
 
 # ---- seating ---------------------------------------------------------------------------------------------
@@ -205,18 +255,17 @@ class Totals:
         return below, own, p
 
 
-def flat(batch):
-    """(word numbers, topics, counts) of the lists of a batch."""
-    lists = [batch.column(c) for c in ("topics", "n")]
-    sizes = np.diff(lists[0].offsets.to_numpy())
-    topic, n = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in lists)
-    return np.repeat(np.arange(len(sizes)), sizes), topic, n
+def bucket_rows(batches):
+    """(word numbers, topics, counts, asks) of each stored bucket."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            pairs = unsqueeze(row["pairs"], "<i8")
+            yield pairs // 32, pairs % 32, unsqueeze(row["trained"], "<i8"), row.get("asks")
 
 
-def batch_rng(seed: int, batch):
-    """Generator that depends on what is seated, not on which task does it."""
-    first = int(batch.column("word")[0].as_py()) & 0xFFFFFFFF if batch.num_rows else 0
-    return np.random.default_rng([seed, first, batch.num_rows])
+def generator(seed: int, owner: np.ndarray, n: np.ndarray):
+    """Random numbers that depend on what is seated, not on which task does it."""
+    return np.random.default_rng([seed, len(owner), int(n.sum()), int((n * (1 + np.arange(len(n)) % 97)).sum())])
 
 
 def sweep(words: DataFrame, totals: Totals, seed: int) -> tuple[np.ndarray, float]:
@@ -226,66 +275,57 @@ def sweep(words: DataFrame, totals: Totals, seed: int) -> tuple[np.ndarray, floa
         import pyarrow as pa
 
         sums = np.zeros(CLASSES + 2)
-        for batch in batches:
-            if batch.num_rows:
-                owner, topic, n = flat(batch)
-                below, own, _ = totals.seat(owner, topic, n, batch.num_rows, batch_rng(seed, batch))
-                sums[: CLASSES + 1] += np.bincount(topic, below, minlength=CLASSES + 1)
-                sums[-1] += own.sum()
+        for owner, topic, n, _ in bucket_rows(batches):
+            below, own, _ = totals.seat(owner, topic, n, int(owner[-1]) + 1, generator(seed, owner, n))
+            sums[: CLASSES + 1] += np.bincount(topic, below, minlength=CLASSES + 1)
+            sums[-1] += own.sum()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums)], ["k", "s"])
 
-    rows = words.select("word", "topics", "n").mapInArrow(run, "k bigint, s double").groupBy("k").agg(F.sum("s")).collect()
+    rows = words.select("pairs", "trained").mapInArrow(run, "k bigint, s double").groupBy("k").agg(F.sum("s")).collect()
     sums = np.zeros(CLASSES + 2)
     for k, s in rows:
         sums[k] = s
     return sums[:-1], sums[-1]
 
 
-def train(words: DataFrame) -> list[Totals]:
-    """Kept states of the sampler."""
-    known = words.filter("c > 0").select("word", "topics", "n")
-    pair = F.explode(F.arrays_zip("topics", "n")).alias("x")
-    ones = lambda c, k: F.coalesce(F.sum(F.when(F.col(c) == k, 1)), F.lit(0))
-    per = known.select(pair).groupBy("x.topics").agg(F.sum("x.n").alias("n"), F.count("*").alias("t"), F.count_if(F.col("x.n") == 1), F.count_if(F.col("x.n") == 2)).collect()
-    v, w1, w2 = known.select(F.size("topics").alias("k")).agg(F.count("*"), ones("k", 1), ones("k", 2)).first()
+def train(words: DataFrame) -> tuple[list[Totals], int, int]:
+    """Kept states of the sampler, training tokens, known words."""
+    stats = np.zeros(STATS, np.int64)
+    for k, x in words.select(F.posexplode("stats")).groupBy("pos").agg(F.sum("col")).collect():
+        stats[k] = x
+    v, w1, w2, s1, s2 = stats[:5].tolist()
     share = lambda a, b: float(np.clip(a / max(1, a + 2 * b), 0.05, 0.95))
-    d, d0 = share(sum(r[3] for r in per), sum(r[4] for r in per)), share(w1, w2)
-    customers, tables = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
-    for r in per:
-        customers[r[0]], tables[r[0]] = r.n, r.t
+    d, d0 = share(s1, s2), share(w1, w2)
+    customers, tables = stats[5 : 6 + CLASSES], stats[6 + CLASSES :]
     totals, states = Totals(customers, tables, v, v, d, d0), []
     for k in range(BURN_IN + SAMPLES):
-        totals = Totals(customers, *sweep(known, totals, k), v, d, d0)
+        totals = Totals(customers, *sweep(words, totals, k), v, d, d0)
         if k >= BURN_IN:
             states.append(totals)
-    return states
+    return states, int(customers.sum()), v
 
 
-def predictive(words: DataFrame, states: list[Totals]) -> DataFrame:
-    """(word, c, parents, topics, p): per word its parent probability in each state, and its probability, averaged
-    over the states, in every context that has it."""
+ANSWER = "b bigint, bucket int, c binary, p binary"
 
-    def run(batches):
-        import pyarrow as pa
 
-        for batch in batches:
-            owner, topic, n = flat(batch)
-            parents, mean = np.zeros((batch.num_rows, len(states))), np.zeros(len(n))
+def answered(words: DataFrame, states: list[Totals]) -> DataFrame:
+    """For every block and bucket: the training counts of the words it asks for, and the probability of each asked
+    pair, averaged over the states."""
+    schema = arrow(ANSWER)
+
+    def run(batches):
+        for owner, topic, n, asks in bucket_rows(batches):
+            size, mean = int(owner[-1]) + 1, np.zeros(len(n))
+            count = np.bincount(owner, n, minlength=size).astype(np.int64)[owner]
             for k, s in enumerate(states):
-                if not batch.num_rows:
-                    continue
-                below, _, p = s.seat(owner, topic, n, batch.num_rows, batch_rng(1000 + k, batch))
-                parents[:, k] = p
+                below, _, p = s.seat(owner, topic, n, size, generator(1000 + k, owner, n))
                 mean += (np.maximum(n - s.d * below, 0) / (THETA + s.customers[topic]) + s.rest()[topic] * p[owner]) / len(states)
-            lists = pa.ListArray.from_arrays(batch.column("topics").offsets, pa.array(mean.astype(np.float32)))
-            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(states))
-            parents = pa.ListArray.from_arrays(ends, pa.array(parents.astype(np.float32).ravel()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("word"), batch.column("c"), parents, batch.column("topics"), lists], ["word", "c", "parents", "topics", "p"]
-            )
+            mean = mean.astype("<f4")
+            for ask in asks:
+                at = unsqueeze(ask["pairs"], "<u4")
+                yield batch_of([[ask["block"], ask["bucket"], squeeze(count[at]), mean[at].tobytes()]], schema)
 
-    schema = "word bigint, c bigint, parents array<float>, topics array<int>, p array<float>"
-    return words.select("word", "c", "topics", "n").mapInArrow(run, schema)
+    return words.select("pairs", "trained", "asks").mapInArrow(run, ANSWER)
 
 
 OUT = "id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
@@ -295,52 +335,27 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", fol
     """id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"), (fold(F.col(id_col), folds) == held).alias("held"))
     blocks = pack(rows)
-    vocab = vocabulary(blocks)
-    words = counted(vocab)
-    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    states = train(words)
-    rests = np.stack([s.rest() for s in states], axis=1)
-    # only what a block asks for travels back to it
-    asked = F.transform(F.sequence(F.lit(1), F.length("topics")), lambda i: F.ascii(F.substring("topics", i, F.lit(1)).cast("string")))
-    asks = vocab.select("block", "pos", "word", asked.alias("asked"))
-    has = F.filter(F.arrays_zip("topics", "p"), lambda x: F.array_contains("asked", x["topics"]))
-    answers = asks.join(predictive(words, states), "word").withColumn("has", has)
-    answers = answers.select(F.col("block").alias("b"), "pos", "c", "parents", F.col("has.topics").alias("u"), F.col("has.p").alias("p"))
+    words = counted(blocks)
+    states, n, v = train(words)
+    schema = arrow(OUT)
 
     def score(block, answer):
-        import zlib
-
         import pyarrow as pa
 
+        parts = sorted(answer.to_pylist(), key=lambda r: r["bucket"])
+        count = np.concatenate([unsqueeze(r["c"], "<i8") for r in parts])
+        p = np.concatenate([np.frombuffer(r["p"], "<f4") for r in parts]).astype(float)
+        base = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))
         out = []
-        answer = answer.combine_chunks()
-        pos = answer.column("pos").to_numpy()
-        count, parents = np.zeros(len(pos), np.int64), np.zeros((len(pos), rests.shape[1]))
-        count[pos] = answer.column("c").to_numpy()
-        parents[pos] = answer.column("parents").combine_chunks().flatten().to_numpy().reshape(len(pos), -1)
-        lists = answer.column("u").combine_chunks()
-        known = np.repeat(pos, np.diff(lists.offsets.to_numpy())).astype(np.int64) * 32 + lists.flatten().to_numpy()
-        found = answer.column("p").combine_chunks().flatten().to_numpy()
         for row in block.to_pylist():
             sizes = np.array(row["sizes"], np.int64)
-            first = np.cumsum(sizes) - sizes
-            raw = np.frombuffer(zlib.decompress(row["tokens"]), np.uint8)
-            tokens = np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
-            lengths = np.fromiter((len(t) for t in row["topics"]), np.int64, len(row["topics"]))
-            word, topic = np.repeat(np.arange(len(lengths)), lengths), np.frombuffer(b"".join(row["topics"]), np.uint8).astype(np.int64)
-            p = (parents[word] * rests[topic]).mean(axis=1)
-            order = np.argsort(known)
-            at = np.searchsorted(word * 32 + topic, known[order])
-            p[at] = found[order]
-            base = np.log10((count[word] + 0.5) / (n + 0.5 * (v + 1)))
-            sums = [np.add.reduceat(x[tokens], first) for x in ((count[word] > 0).astype(np.int64), base, np.log10(np.minimum(p, 1.0)))]
-            out.append([row["ids"], row["held"], sizes, *sums])
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        names = [c.split()[0] for c in OUT.split(", ")]
-        return pa.table({k: pa.concat_arrays([pa.array(o[i], kinds[i]) for o in out]) for i, k in enumerate(names)})
-
-    packed = blocks.select("block", "topics", "ids", "held", "sizes", "tokens")
-    out = packed.groupBy("block").cogroup(answers.groupBy("b")).applyInArrow(score, OUT)
+            tokens, first = unsqueeze(row["tokens"], "<u4"), np.cumsum(sizes) - sizes
+            sums = [np.add.reduceat(x[tokens], first) for x in ((count > 0).astype(np.int64), base, np.log10(np.minimum(p, 1.0)))]
+            out += zip(row["ids"], row["held"], sizes.tolist(), *(x.tolist() for x in sums))
+        return pa.Table.from_batches([batch_of(out, schema)])
+
+    packed = blocks.select("block", "ids", "held", "sizes", "tokens")
+    out = packed.groupBy("block").cogroup(answered(words, states).groupBy("b")).applyInArrow(score, OUT)
     return out.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score"
     )
