@@ -6,8 +6,6 @@ import __spark_entry__ as entry
 from compare import compare, connect
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-# these fit models or need more days of data than the smallest tables have
-HEAVY = {"fold_rounds", "stream_scores", "linear_attribution", "score_sequences"}
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +13,7 @@ def con(sf):
     return connect(sf)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - HEAVY))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf, con, name):
     df = QUERIES[name](spark, sf)
     if name in ORACLES:
