@@ -14,6 +14,8 @@ SETTINGS = {
     # split skewed join sides even when that adds a shuffle further up
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # rows may hold whole documents: a batch of the default size would be tens of megabytes on both sides
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     # aggregates that keep short lists per group stay hash-based for more than 128 groups per task
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
 }
