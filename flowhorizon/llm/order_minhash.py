@@ -142,7 +142,7 @@ def prepared(docs: DataFrame, id_col: str, text: str) -> DataFrame:
         known: dict[str, int] = {}
         out = []
         for text in words:
-            if len(known) > 300_000:
+            if len(known) > 100_000:
                 known.clear()
             out.append(sketch(shingle_hashes(text.split(" "), known)) if text else [])
         return pd.Series(out)
@@ -177,7 +177,7 @@ def shared_texts(rows: DataFrame, cells: DataFrame) -> DataFrame:
 
         n, bits, known = [], [], {}
         for text in words:
-            if len(known) > 300_000:
+            if len(known) > 100_000:
                 known.clear()
             h = labelled(shingle_hashes(text.split(" "), known))
             row = np.zeros(BITS, np.uint8)

@@ -214,7 +214,7 @@ def fit(windows: list[list[str]], labels: list[int], epochs: int = 5, batch: int
 class Scorer:
     """Highest window logit of whole texts. Gate inputs of words seen are kept, up to ``room`` words."""
 
-    def __init__(self, net: Net, room: int = 150_000):
+    def __init__(self, net: Net, room: int = 80_000):
         self.net, self.room = net, room
         self.clear()
 
@@ -248,7 +248,7 @@ class Scorer:
             lo = hi
         return out
 
-    def slice(self, texts: list, windows: int = 4096) -> np.ndarray:
+    def slice(self, texts: list, windows: int = 2048) -> np.ndarray:
         split = [words_of(t) for t in texts]
         ids = np.append(self.rows([w for words in split for w in words]), np.zeros(WINDOW, np.int64))
         first, left, doc, base = [], [], [], 0
