@@ -1,34 +1,37 @@
-"""Language-model scoring with a hierarchical Pitman-Yor model.
+"""Language-model scoring with a hierarchical Pitman-Yor model of word pairs.
 
-Tokens are seated in context restaurants, one per topic of the text so far: the topic of a segment is a hashed class
-of the most frequent short word of the segment before it, which mostly tells the language. A token joins
+Tokens are seated in context restaurants, one per preceding word (the end token stands before a text). A token joins
 a table of its word or opens a new one; the tables of all context restaurants are the customers of one
-parent restaurant, whose own new tables draw from a uniform base over the ``V`` known words and one unknown
-word. So ``p(w | u) = (c_uw - d t_uw) / (theta + c_u) + (theta + d t_u) / (theta + c_u) * p(w)``, and alike
-for the parent.
+parent restaurant, that of the empty context, whose own new tables draw from a uniform base over the ``V`` known words
+and one unknown word. So ``p(w | u) = (c_uw - d t_uw) / (theta + c_u) + (theta + d t_u) / (theta + c_u) * p(w)``, and
+alike for the parent.
 
-Seating is sampled by Gibbs sweeps. Given the restaurants' totals, the words are independent: a sweep
-reseats the customers of every word, in its contexts and then in the parent, a few times in turn, in
-parallel over all words of the corpus, and returns the new totals. After ``BURN_IN`` sweeps ``SAMPLES`` states are kept;
-a token's probability is the mean of its predictive probabilities in them. All training tokens are seated.
+Seating is sampled by Gibbs sweeps. Given the tables of each context and the parent's probabilities, the pairs are
+independent: a sweep reseats the customers of every (context, word) pair, then those of every word in the parent, in
+parallel over all pairs and words of the corpus. After ``BURN_IN`` sweeps ``SAMPLES`` states are kept; a token's
+probability is the mean of its predictive probabilities in them. All training tokens are seated.
 
-Scale: texts are packed once into blocks of about ``BLOCK_BYTES`` with their own vocabulary. Words (by 64 bits of
-hash) meet their counts in buckets, whose number follows the corpus; what a block knows of a bucket travels as one packed
-row. A word has at most ``CLASSES + 1`` contexts, and what reaches the driver are the totals of the restaurants.
+Scale: texts are packed once into blocks of about ``BLOCK_BYTES`` with their own vocabulary. Pairs meet their counts in
+buckets by the hash of the pair, so that a frequent word's pairs are spread over all of them; words meet the sums of
+their pairs, as context and as word, in parts by 64 bits of hash. The number of buckets and parts follows the corpus.
+What a block knows of a bucket, and a bucket of a part, travels as one packed row; only totals reach the driver.
 
 Defined results: a null or empty text is its end token alone; repeated rows are scored alike and each
-teaches if its id does; a word unknown in training counts as the unknown word; without training tokens
-every token has probability 1, the only word being the unknown one; other columns are not looked at.
+teaches if its id does; a word unknown in training counts as the unknown word; after a word unknown in training the
+parent decides; without training tokens every token has probability 1, the only word being the unknown one; other
+columns are not looked at.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from .common import fold, stored
 
-CLASSES, SHORT_WORD = 16, 3
+CLASSES = 8  # least number of buckets of pairs and of parts of the vocabulary
 BLOCK_BYTES = 8_000_000
 BURN_IN, SAMPLES, INNER = 2, 3, 4
 THETA = 1.0
@@ -44,38 +47,19 @@ def tokens_of(text) -> list[bytes]:
     return words
 
 
-def segments(n: int):
-    """(start, stop) of the segments of a text: 8, 8, 16, 32, then 64 tokens each."""
-    at, size = 0, 8
-    while at < n:
-        yield at, min(n, at + size)
-        at += size
-        if at >= 2 * size and size < 64:
-            size *= 2
-
-
-def topics(words: list[bytes]) -> list[tuple[int, int]]:
-    """(topic, tokens) of each segment; 0 where nothing has been read that tells."""
-    import zlib
-
-    out, topic = [], 0
-    for a, b in segments(len(words)):
-        out.append((topic, b - a))
-        count: dict[bytes, int] = {}
-        for w in words[a:b]:
-            if 0 < len(w) <= SHORT_WORD:
-                count[w] = count.get(w, 0) + 1
-        if count:
-            topic = 1 + zlib.crc32(max(count, key=count.get)) % CLASSES
-    return out
-
-
 BLOCK = (
     "block bigint, ids array<bigint>, held array<boolean>, sizes array<int>, tokens binary, "
-    "parts array<struct<bucket:int,words:binary,topics:binary,trained:binary>>"
+    "parts array<struct<bucket:int,words:binary,pairs:binary,trained:binary>>"
+)
+BUCKET = (
+    "bucket int, stats array<bigint>, context binary, word binary, trained binary, "
+    "asks array<struct<block:bigint,bucket:int,pairs:binary>>, "
+    "vocab array<struct<part:int,words:binary,n:binary,c:binary,k:binary,t:binary>>"
 )
-BUCKET = "stats array<bigint>, pairs binary, trained binary, asks array<struct<block:bigint,bucket:int,pairs:binary>>"
-STATS = 5 + 2 * (CLASSES + 1)  # known words, words by one and two contexts, pairs counted once and twice; customers and tables
+PART = "part int, size int, asks array<struct<bucket:int,words:binary>>, stats array<bigint>, first array<binary>"
+#: of the words a bucket asks for: tables as context, customers and tables in the parent; of the first state also n and c
+STATE = "bucket int, part int, t binary, k binary, o binary, n binary, c binary, sums array<bigint>"
+SUMS = "part int, bucket int, k binary, t binary"
 
 
 def squeeze(a: np.ndarray) -> bytes:
@@ -108,14 +92,19 @@ def batch_of(rows: list, schema):
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema.names)
 
 
-def pack(docs: DataFrame) -> DataFrame:
-    """Stored blocks of documents (columns id, text, held). A block numbers its (word, topic) pairs by bucket, word
-    and topic; it holds its texts as such numbers and its pairs with their training counts by bucket.
+def bucket_of(context: np.ndarray, word: np.ndarray, buckets: int) -> np.ndarray:
+    mixed = (context * np.uint64(0x9E3779B97F4A7C15)) ^ (word * np.uint64(0xC2B2AE3D27D4EB4F))
+    return ((mixed ^ (mixed >> np.uint64(29))) % np.uint64(buckets)).astype(np.int64)
 
-    The number of buckets follows the size of the corpus, so a bucket's share of all vocabularies fits a task.
+
+def pack(docs: DataFrame) -> tuple[DataFrame, int]:
+    """Stored blocks of documents (columns id, text, held), and the number of buckets. A block numbers its (context,
+    word) pairs by bucket; it holds its texts as such numbers and its pairs with their training counts by bucket.
+
+    The number of buckets follows the size of the corpus, so a bucket's share of all pairs fits a task.
     """
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets, schema = max(8, int(size) // BLOCK_BYTES), arrow(BLOCK)
+    buckets, schema = max(CLASSES, int(size) // BLOCK_BYTES), arrow(BLOCK)
 
     def run(batches):
         import uuid
@@ -125,34 +114,34 @@ def pack(docs: DataFrame) -> DataFrame:
         state: dict = {}
 
         def fresh():
-            state.update(index={}, parts=[], sizes=[], ids=[], held=[], bytes=0)
+            state.update(index={b"": 0}, parts=[], sizes=[], ids=[], held=[], bytes=0)
 
         def flush():
             hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in state["index"]), np.uint64, len(state["index"]))
-            order = np.lexsort((hashes, hashes % np.uint64(buckets)))
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            raw = np.concatenate(state["parts"])  # word * 32 + topic
-            pairs, tokens = np.unique(rank[raw // 32] * 32 + raw % 32, return_inverse=True)
+            pairs, tokens = np.unique(np.concatenate(state["parts"]), return_inverse=True)
             taught = np.repeat(~np.array(state["held"], bool), state["sizes"])
             trained = np.bincount(tokens[taught], minlength=len(pairs))
-            words, topics = hashes[order][pairs // 32], (pairs % 32).astype(np.uint8)
-            bucket = (words % np.uint64(buckets)).astype(np.int64)
+            context, word = pairs >> 32, pairs & 0xFFFFFFFF
+            bucket = bucket_of(hashes[context], hashes[word], buckets)
+            order = np.argsort(bucket, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            bucket, context, word, trained = bucket[order], context[order], word[order], trained[order]
             parts = []
             for k in np.unique(bucket).tolist():
                 at = slice(*np.searchsorted(bucket, [k, k + 1]))
-                parts.append({"bucket": k, "words": words[at].tobytes(), "topics": topics[at].tobytes(), "trained": squeeze(trained[at])})
+                own, local = np.unique(np.concatenate([context[at], word[at]]), return_inverse=True)
+                parts.append({"bucket": k, "words": hashes[own].tobytes(), "pairs": squeeze(local.astype("<u4")), "trained": squeeze(trained[at])})
             # a task that runs again makes new names, but only one of its results is stored
             name = uuid.uuid4().int >> 65
-            return batch_of([[name, state["ids"], state["held"], state["sizes"], squeeze(tokens.astype("<u4")), parts]], schema)
+            return batch_of([[name, state["ids"], state["held"], state["sizes"], squeeze(rank[tokens].astype("<u4")), parts]], schema)
 
         fresh()
         for batch in batches:
             for i, text, held in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "held"))):
                 words, index = tokens_of(text), state["index"]
                 numbers = np.array([index.setdefault(w, len(index)) for w in words], np.int64)
-                told = topics(words)
-                state["parts"].append(numbers * 32 + np.repeat([t for t, _ in told], [n for _, n in told]))
+                state["parts"].append(np.concatenate([[0], numbers[:-1]]) << 32 | numbers)
                 state["sizes"].append(len(words))
                 state["ids"].append(i)
                 state["held"].append(held)
@@ -163,41 +152,74 @@ def pack(docs: DataFrame) -> DataFrame:
         if state["ids"]:
             yield flush()
 
-    return stored(docs.select("id", "text", "held").mapInArrow(run, BLOCK), "lm-blocks")
+    return stored(docs.select("id", "text", "held").mapInArrow(run, BLOCK), "lm-blocks"), buckets
 
 
-def counted(blocks: DataFrame) -> DataFrame:
-    """Stored buckets of words: the training count of every (word, topic) pair, and which of them each block asks for.
+def sums_of(at: np.ndarray, x: np.ndarray, size: int) -> np.ndarray:
+    return np.bincount(at, x, minlength=size).astype(np.int64)
 
-    Pairs travel packed, one row per block and bucket, so a word costs eight bytes and not a row.
-    """
 
+def counted(blocks: DataFrame, buckets: int) -> DataFrame:
+    """Stored buckets of pairs: the training count of every (context, word) pair, which of them each block asks for,
+    and what the bucket knows of each of its words, by part of the vocabulary.
+
+    Pairs travel packed, one row per block and bucket. Words of a bucket are numbered by part and hash.
+    """
     schema = arrow(BUCKET)
 
     def merge(key, table):
+        import pyarrow as pa
+
         rows = table.to_pylist()
-        words = np.concatenate([np.frombuffer(r["words"], np.uint64) for r in rows])
-        topic = np.concatenate([np.frombuffer(r["topics"], np.uint8) for r in rows]).astype(np.int64)
-        n = np.concatenate([unsqueeze(r["trained"], "<i8") for r in rows])
-        _, word = np.unique(words, return_inverse=True)
-        pairs, at = np.unique(word * 32 + topic, return_inverse=True)
-        n = np.bincount(at, n, minlength=len(pairs)).astype(np.int64)
-        ends = np.cumsum([len(r["topics"]) for r in rows])
+        lists = [np.frombuffer(r["words"], np.uint64) for r in rows]
+        words, number = np.unique(np.concatenate(lists), return_inverse=True)
+        part = (words % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        words, part, size = words[order], part[order], len(words)
+        keys = []
+        for r, numbers in zip(rows, np.split(rank[number], np.cumsum([len(x) for x in lists])[:-1])):
+            context, word = numbers[unsqueeze(r["pairs"], "<u4")].reshape(2, -1)
+            keys.append(context * size + word)
+        pairs, at = np.unique(np.concatenate(keys), return_inverse=True)
+        n = sums_of(at, np.concatenate([unsqueeze(r["trained"], "<i8") for r in rows]), len(pairs))
         asks = [
-            {"block": r["block"], "bucket": key[0].as_py(), "pairs": squeeze(x.astype("<u4"))} for r, x in zip(rows, np.split(at, ends[:-1]))
+            {"block": r["block"], "bucket": key[0].as_py(), "pairs": squeeze(x.astype("<u4"))}
+            for r, x in zip(rows, np.split(at, np.cumsum([len(x) for x in keys])[:-1]))
         ]
-        known = n > 0
-        contexts = np.bincount(pairs[known] // 32)
-        single = [int((n == 1).sum()), int((n == 2).sum())]
-        stats = [int((contexts > 0).sum()), int((contexts == 1).sum()), int((contexts == 2).sum()), *single]
-        for w in (n, known):
-            stats += np.bincount(pairs % 32, w, minlength=CLASSES + 1).astype(np.int64).tolist()
+        context, word, known = pairs // size, pairs % size, n > 0
+        told = {"n": sums_of(word, n, size), "c": sums_of(context, n, size), "k": sums_of(word, known, size), "t": sums_of(context, known, size)}
+        vocab = []
+        for k in np.unique(part).tolist():
+            cut = slice(*np.searchsorted(part, [k, k + 1]))
+            vocab.append({"part": k, "words": words[cut].tobytes(), **{x: squeeze(v[cut]) for x, v in told.items()}})
+        stats = [int((n == 1).sum()), int((n == 2).sum())]
+        packed = [squeeze(context.astype("<u4")), squeeze(word.astype("<u4")), squeeze(n)]
+        return pa.Table.from_batches([batch_of([[key[0].as_py(), stats, *packed, asks, vocab]], schema)])
+
+    parts = blocks.select("block", F.explode("parts").alias("x")).select("block", "x.*")
+    return stored(parts.groupBy("bucket").applyInArrow(merge, BUCKET), "lm-pairs")
+
+
+def vocabulary(pairs: DataFrame) -> DataFrame:
+    """Stored parts of the vocabulary: which words each bucket asks for, and the sums n, c, k and t of each word."""
+    schema = arrow(PART)
+
+    def merge(key, table):
         import pyarrow as pa
 
-        return pa.Table.from_batches([batch_of([[stats, squeeze(pairs), squeeze(n), asks]], schema)])
+        rows = sorted(table.to_pylist(), key=lambda r: r["bucket"])
+        lists = [np.frombuffer(r["words"], np.uint64) for r in rows]
+        words, at = np.unique(np.concatenate(lists), return_inverse=True)
+        first = [sums_of(at, np.concatenate([unsqueeze(r[x], "<i8") for r in rows]), len(words)) for x in "nckt"]
+        asks = [{"bucket": r["bucket"], "words": squeeze(x.astype("<u4"))} for r, x in zip(rows, np.split(at, np.cumsum([len(x) for x in lists])[:-1]))]
+        n, _, k, _ = first
+        stats = [int((n > 0).sum()), int((k == 1).sum()), int((k == 2).sum()), int(n.sum())]
+        return pa.Table.from_batches([batch_of([[key[0].as_py(), len(words), asks, stats, [squeeze(x) for x in first]]], schema)])
 
-    parts = blocks.select("block", F.explode("parts").alias("x")).select("block", "x.*")
-    return stored(parts.groupBy("bucket").applyInArrow(merge, BUCKET), "lm-words")
+    told = pairs.select("bucket", F.explode("vocab").alias("x")).select("bucket", "x.*")
+    return stored(told.groupBy("part").applyInArrow(merge, PART), "lm-words")
 
 
 # ---- seating ---------------------------------------------------------------------------------------------
@@ -229,12 +251,13 @@ def reseat(count: np.ndarray, open_weight: np.ndarray, discount: float, rng) ->
 
 
 class Totals:
-    """What the words of a corpus share: customers and tables of every context, the parent's, and ``V``."""
+    """Customers and tables of contexts, and what all words share: the parent's totals and ``V``. ``parent`` is given
+    where the contexts are not all there are."""
 
-    def __init__(self, customers: np.ndarray, tables: np.ndarray, parent_tables: float, words: int, d: float, d0: float):
+    def __init__(self, customers, tables, parent_tables: float, words: int, d: float, d0: float, parent: float | None = None):
         self.customers, self.tables = np.asarray(customers, float), np.asarray(tables, float)
         self.parent_tables, self.words, self.d, self.d0 = float(parent_tables), words, d, d0
-        self.parent = self.tables.sum()
+        self.parent = self.tables.sum() if parent is None else float(parent)
 
     def rest(self) -> np.ndarray:
         """Mass every context leaves to the parent."""
@@ -243,89 +266,153 @@ class Totals:
     def parent_rest(self) -> float:
         return (THETA + self.d0 * self.parent_tables) / (THETA + self.parent) / (self.words + 1)
 
+    def dishes(self, customers: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The parent's predictive of words with these customers and tables."""
+        return np.maximum(customers - self.d0 * own, 0) / (THETA + self.parent) + self.parent_rest()
+
+    def seat_parent(self, customers: np.ndarray, rng) -> np.ndarray:
+        """Tables of words in the parent."""
+        return reseat(customers, np.full(len(customers), (THETA + self.d0 * self.parent_tables) / (self.words + 1)), self.d0, rng)
+
+    def seat_pairs(self, context: np.ndarray, n: np.ndarray, p: np.ndarray, rng) -> np.ndarray:
+        """Tables of pairs whose word has probability ``p`` in the parent."""
+        return reseat(n, (THETA + self.d * self.tables[context]) * p, self.d, rng)
+
     def seat(self, owner: np.ndarray, topic: np.ndarray, n: np.ndarray, words: int, rng):
-        """Tables of every (word, context) and of every word in the parent, and the parent's predictive."""
-        base = self.parent_rest()
-        below, own, p = np.minimum(n, 1).astype(float), None, np.full(words, base)
+        """Tables of every (word, context) and of every word in the parent, and the parent's predictive, for a corpus
+        that is in one place."""
+        below, own, p = np.minimum(n, 1).astype(float), None, np.full(words, self.parent_rest())
         for _ in range(INNER):
             customers = np.bincount(owner, below, minlength=words).astype(np.int64)
-            own = reseat(customers, np.full(words, (THETA + self.d0 * self.parent_tables) / (self.words + 1)), self.d0, rng)
-            p = np.maximum(customers - self.d0 * own, 0) / (THETA + self.parent) + base
-            below = reseat(n, (THETA + self.d * self.tables[topic]) * p[owner], self.d, rng)
+            own = self.seat_parent(customers, rng)
+            p = self.dishes(customers, own)
+            below = self.seat_pairs(topic, n, p[owner], rng)
         return below, own, p
 
 
-def bucket_rows(batches):
-    """(word numbers, topics, counts, asks) of each stored bucket."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            pairs = unsqueeze(row["pairs"], "<i8")
-            yield pairs // 32, pairs % 32, unsqueeze(row["trained"], "<i8"), row.get("asks")
+def told_of(rows: list, column: str) -> np.ndarray:
+    """One column of a state, for all words of a bucket."""
+    return np.concatenate([unsqueeze(r[column], "<i8") for r in rows])
+
+
+def pair_tables(context, word, n, rows: list, shared: tuple, seed: int, bucket: int) -> np.ndarray:
+    """Tables of a bucket's pairs in the sweep ``seed``, given the state before it."""
+    totals = Totals(0, told_of(rows, "t"), *shared)
+    p = totals.dishes(told_of(rows, "k"), told_of(rows, "o"))
+    return totals.seat_pairs(context, n, p[word], np.random.default_rng([seed, bucket, 1]))
 
 
-def generator(seed: int, owner: np.ndarray, n: np.ndarray):
-    """Random numbers that depend on what is seated, not on which task does it."""
-    return np.random.default_rng([seed, len(owner), int(n.sum()), int((n * (1 + np.arange(len(n)) % 97)).sum())])
+def pairs_of(row: dict):
+    return unsqueeze(row["context"], "<u4"), unsqueeze(row["word"], "<u4"), unsqueeze(row["trained"], "<i8")
 
 
-def sweep(words: DataFrame, totals: Totals, seed: int) -> tuple[np.ndarray, float]:
-    """Reseat every word; tables of each context and of the parent."""
+def first_state(parts: DataFrame) -> DataFrame:
+    """Stored: one table for every pair, and one in the parent for every word."""
+    schema = arrow(STATE)
 
     def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                n, c, k, t = (unsqueeze(x, "<i8") for x in row["first"])
+                own = np.minimum(k, 1)
+                sums = [int(k.sum()), int(own.sum())]
+                for i, ask in enumerate(row["asks"]):
+                    at = unsqueeze(ask["words"], "<u4")
+                    yield batch_of([[ask["bucket"], row["part"], *(squeeze(x[at]) for x in (t, k, own, n, c)), [] if i else sums]], schema)
+
+    return stored(parts.select("part", "asks", "first").mapInArrow(run, STATE), "lm-state")
+
+
+def sweep(pairs: DataFrame, parts: DataFrame, state: DataFrame, shared: tuple, seed: int) -> DataFrame:
+    """Stored state after reseating every pair and then every word in the parent."""
+    up_schema, down_schema = arrow(SUMS), arrow(STATE)
+
+    def up(own, told):
+        import pyarrow as pa
+
+        rows, out = sorted(told.to_pylist(), key=lambda r: r["part"]), []
+        for row in own.to_pylist():
+            context, word, n = pairs_of(row)
+            tables = pair_tables(context, word, n, rows, shared, seed, row["bucket"])
+            sizes = [len(unsqueeze(r["t"], "<i8")) for r in rows]
+            cuts = np.cumsum(sizes)
+            k, t = (np.split(sums_of(at, tables, cuts[-1]), cuts[:-1]) for at in (word, context))
+            out += [[r["part"], row["bucket"], squeeze(a), squeeze(b)] for r, a, b in zip(rows, k, t)]
+        return pa.Table.from_batches([batch_of(out, up_schema)])
+
+    def down(own, told):
         import pyarrow as pa
 
-        sums = np.zeros(CLASSES + 2)
-        for owner, topic, n, _ in bucket_rows(batches):
-            below, own, _ = totals.seat(owner, topic, n, int(owner[-1]) + 1, generator(seed, owner, n))
-            sums[: CLASSES + 1] += np.bincount(topic, below, minlength=CLASSES + 1)
-            sums[-1] += own.sum()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums)], ["k", "s"])
-
-    rows = words.select("pairs", "trained").mapInArrow(run, "k bigint, s double").groupBy("k").agg(F.sum("s")).collect()
-    sums = np.zeros(CLASSES + 2)
-    for k, s in rows:
-        sums[k] = s
-    return sums[:-1], sums[-1]
-
-
-def train(words: DataFrame) -> tuple[list[Totals], int, int]:
-    """Kept states of the sampler, training tokens, known words."""
-    stats = np.zeros(STATS, np.int64)
-    for k, x in words.select(F.posexplode("stats")).groupBy("pos").agg(F.sum("col")).collect():
-        stats[k] = x
-    v, w1, w2, s1, s2 = stats[:5].tolist()
+        sums, out = {r["bucket"]: r for r in told.to_pylist()}, []
+        for row in own.to_pylist():
+            asks = [(a["bucket"], unsqueeze(a["words"], "<u4")) for a in row["asks"]]
+            at = np.concatenate([x for _, x in asks])
+            k, t = (sums_of(at, np.concatenate([unsqueeze(sums[b][c], "<i8") for b, _ in asks]), row["size"]) for c in "kt")
+            tables = Totals(0, 0, *shared).seat_parent(k, np.random.default_rng([seed, row["part"], 2])).astype(np.int64)
+            totals = [int(k.sum()), int(tables.sum())]
+            for i, (bucket, x) in enumerate(asks):
+                out.append([bucket, row["part"], *(squeeze(v[x]) for v in (t, k, tables)), None, None, [] if i else totals])
+        return pa.Table.from_batches([batch_of(out, down_schema)])
+
+    own = pairs.select("bucket", "context", "word", "trained").groupBy("bucket")
+    rose = own.cogroup(state.select("bucket", "part", "t", "k", "o").groupBy("bucket")).applyInArrow(up, SUMS)
+    return stored(parts.select("part", "size", "asks").groupBy("part").cogroup(rose.groupBy("part")).applyInArrow(down, STATE), "lm-state")
+
+
+def summed(table: DataFrame, column: str, size: int) -> list[int]:
+    out = [0] * size
+    for k, x in table.select(F.posexplode(column)).groupBy("pos").agg(F.sum("col")).collect():
+        out[k] = x
+    return out
+
+
+def train(pairs: DataFrame, parts: DataFrame) -> tuple[list, int, int]:
+    """States of the sampler with what all words share, training tokens, known words."""
+    s1, s2 = summed(pairs, "stats", 2)
+    v, w1, w2, n = summed(parts, "stats", 4)
     share = lambda a, b: float(np.clip(a / max(1, a + 2 * b), 0.05, 0.95))
     d, d0 = share(s1, s2), share(w1, w2)
-    customers, tables = stats[5 : 6 + CLASSES], stats[6 + CLASSES :]
-    totals, states = Totals(customers, tables, v, v, d, d0), []
-    for k in range(BURN_IN + SAMPLES):
-        totals = Totals(customers, *sweep(words, totals, k), v, d, d0)
-        if k >= BURN_IN:
-            states.append(totals)
-    return states, int(customers.sum()), v
+    state, states = first_state(parts), []
+    for k in range(BURN_IN + SAMPLES + 1):
+        parent, tables = summed(state, "sums", 2)
+        states.append((state, (tables, v, d, d0, parent)))
+        if k < BURN_IN + SAMPLES:
+            state = sweep(pairs, parts, state, states[-1][1], k + 1)
+    return states, n, v
 
 
 ANSWER = "b bigint, bucket int, c binary, p binary"
 
 
-def answered(words: DataFrame, states: list[Totals]) -> DataFrame:
+def answered(pairs: DataFrame, states: list) -> DataFrame:
     """For every block and bucket: the training counts of the words it asks for, and the probability of each asked
-    pair, averaged over the states."""
-    schema = arrow(ANSWER)
+    pair, averaged over the kept states. A state's pairs are seated again as in its sweep, from the state before it."""
+    schema, shared = arrow(ANSWER), [x for _, x in states]
 
-    def run(batches):
-        for owner, topic, n, asks in bucket_rows(batches):
-            size, mean = int(owner[-1]) + 1, np.zeros(len(n))
-            count = np.bincount(owner, n, minlength=size).astype(np.int64)[owner]
-            for k, s in enumerate(states):
-                below, _, p = s.seat(owner, topic, n, size, generator(1000 + k, owner, n))
-                mean += (np.maximum(n - s.d * below, 0) / (THETA + s.customers[topic]) + s.rest()[topic] * p[owner]) / len(states)
+    def run(own, told):
+        import pyarrow as pa
+
+        rows, out = sorted(told.to_pylist(), key=lambda r: r["part"]), []
+        by = [[r for r in rows if r["s"] == s] for s in range(len(shared))]
+        count, customers = told_of(by[0], "n"), told_of(by[0], "c")
+        for row in own.to_pylist():
+            context, word, n = pairs_of(row)
+            mean = np.zeros(len(n))
+            for s in range(BURN_IN + 1, len(shared)):
+                below = pair_tables(context, word, n, by[s - 1], shared[s - 1], s, row["bucket"])
+                totals = Totals(customers, told_of(by[s], "t"), *shared[s])
+                p = totals.dishes(told_of(by[s], "k"), told_of(by[s], "o"))
+                mean += (np.maximum(n - totals.d * below, 0) / (THETA + customers[context]) + totals.rest()[context] * p[word]) / SAMPLES
             mean = mean.astype("<f4")
-            for ask in asks:
+            for ask in row["asks"]:
                 at = unsqueeze(ask["pairs"], "<u4")
-                yield batch_of([[ask["block"], ask["bucket"], squeeze(count[at]), mean[at].tobytes()]], schema)
+                out.append([ask["block"], ask["bucket"], squeeze(count[word[at]]), mean[at].tobytes()])
+        return pa.Table.from_batches([batch_of(out, schema)])
 
-    return words.select("pairs", "trained", "asks").mapInArrow(run, ANSWER)
+    used = [(s, x.drop("sums") if s == 0 else x.drop("sums", "n", "c")) for s, (x, _) in enumerate(states) if s == 0 or s >= BURN_IN]
+    told = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [x.withColumn("s", F.lit(s)) for s, x in used])
+    own = pairs.select("bucket", "context", "word", "trained", "asks")
+    return own.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(run, ANSWER)
 
 
 OUT = "id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
@@ -334,9 +421,9 @@ OUT = "id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", folds: int = 5, held: int = 1) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"), (fold(F.col(id_col), folds) == held).alias("held"))
-    blocks = pack(rows)
-    words = counted(blocks)
-    states, n, v = train(words)
+    blocks, buckets = pack(rows)
+    pairs = counted(blocks, buckets)
+    states, n, v = train(pairs, vocabulary(pairs))
     schema = arrow(OUT)
 
     def score(block, answer):
@@ -355,7 +442,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", fol
         return pa.Table.from_batches([batch_of(out, schema)])
 
     packed = blocks.select("block", "ids", "held", "sizes", "tokens")
-    out = packed.groupBy("block").cogroup(answered(words, states).groupBy("b")).applyInArrow(score, OUT)
+    out = packed.groupBy("block").cogroup(answered(pairs, states).groupBy("b")).applyInArrow(score, OUT)
     return out.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score"
     )
