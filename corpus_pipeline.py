@@ -14,6 +14,11 @@ from flowhorizon.llm.common import stored
 from flowhorizon.session import tune
 
 
+#: A line of one site stands on over a tenth of that site's pages (``lines.MAX_RATIO``). A source joins many sites; one
+#: with a hundredth of the source's documents still has its lines found at a tenth of a hundredth.
+SOURCE_RATIO = lines.MAX_RATIO / 100
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -24,9 +29,9 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that stand on over a tenth of their source's documents."""
+    """All documents, without the lines that stand on over a thousandth of their source's documents and on five."""
     tune(spark)
-    return lines.drop_boilerplate(docs, "source", "text")
+    return lines.drop_boilerplate(docs, "source", "text", max_ratio=SOURCE_RATIO)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

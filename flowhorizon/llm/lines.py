@@ -18,6 +18,7 @@ from .common import small_side, stored
 
 MAX_RATIO = 0.1
 MIN_PAGES = 5
+SLOT = 8  # keys that one lookup compares, on average
 
 
 def keys_of(line: Column) -> Column:
@@ -26,13 +27,18 @@ def keys_of(line: Column) -> Column:
     return F.when(bare != "", F.unhex(F.md5(bare)))
 
 
+def slot_of(key: Column, slots: Column) -> Column:
+    """Where a host's list keeps a key, so that a lookup does not read a long list."""
+    return F.pmod(F.xxhash64(key), slots)
+
+
 def line_keys(text: Column) -> Column:
     """Keys of the different lines of a page."""
     return F.array_distinct(F.array_compact(F.transform(F.split(text, "\n"), keys_of)))
 
 
 def boilerplate(pages: DataFrame, host: str, text: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """Per host the keys of its boilerplate lines.
+    """Per host the keys of its boilerplate lines, in slots.
 
     Counts combine before they are shuffled. A host's list is bounded: each listed line is on more than
     ``max_ratio`` of the pages, so there are at most (lines per page) / ``max_ratio`` of them.
@@ -43,19 +49,23 @@ def boilerplate(pages: DataFrame, host: str, text: str, max_ratio: float = MAX_R
     common = counts.join(totals, F.col("_host").eqNullSafe(F.col("_h"))).filter(
         F.col("_n") / F.col("_pages") > max_ratio
     )
-    return common.groupBy("_host").agg(F.collect_list("_key").alias("_drop"))
+    listed = common.groupBy("_host").agg(F.collect_list("_key").alias("_keys"))
+    slots = F.greatest(F.lit(1), F.ceil(F.size("_keys") / SLOT)).cast("int")
+    by_slot = F.transform(F.sequence(F.lit(0), slots - 1), lambda i: F.filter("_keys", lambda k: slot_of(k, slots) == i))
+    return listed.select("_host", F.size("_keys").alias("_listed"), by_slot.alias("_drop"))
 
 
 def drop_boilerplate(pages, host="source", text="text", max_ratio=MAX_RATIO, min_pages=MIN_PAGES, counts: bool = False):
     """Pages with their boilerplate lines removed; ``counts`` adds n_lines (not blank) and n_dropped."""
     drop = stored(boilerplate(pages, host, text, max_ratio, min_pages), "host-lines")
-    hosts, listed = drop.agg(F.count("*"), F.coalesce(F.sum(F.size("_drop")), F.lit(0))).first()
+    hosts, listed = drop.agg(F.count("*"), F.coalesce(F.sum("_listed"), F.lit(0))).first()
     drop = small_side(drop, hosts * 128 + listed * 24, 1)
     # the page travels as one struct, so its column names cannot meet the ones made here
     packed = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("_page"))
     out = packed.join(drop, F.col(f"_page.`{host}`").eqNullSafe(F.col("_host")), "left")
     lines = F.split(F.col(f"_page.`{text}`"), "\n")
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_drop"), keys_of(x)), F.lit(False)))
+    at = lambda key: F.get("_drop", slot_of(key, F.size("_drop")).cast("int"))
+    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(at(keys_of(x)), keys_of(x)), F.lit(False)))
     new = F.when(F.col("_drop").isNull(), F.col(f"_page.`{text}`")).otherwise(F.array_join(kept, "\n"))
     columns = [(new if c == text else F.col(f"_page.`{c}`")).alias(c) for c in pages.columns]
     if counts:

@@ -40,3 +40,15 @@ def test_run_on_odd_documents(spark, tmp_path):
     for name, kind in (("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/none/{name}.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_line_stage_drops_passages_shared_within_a_source(spark, sf):
+    """Passages on six of a source's 600 documents go; on six of 6,100, or on one of each source, they stay."""
+    shared = " ".join(f"word{i}" for i in range(60))
+    rows = [(k, f"own line {k}\n{shared}" if k < 6 else f"own line {k}", "en", "a", 0) for k in range(600)]
+    rows += [(k, f"own line {k}\n{shared}" if k < 1006 else f"own line {k}", "en", "b", 0) for k in range(1000, 7100)]
+    rows += [(k, f"own line {k}\nonce a source", "en", f"s{k}", 0) for k in range(8000, 8010)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.doc_id: r.text for r in corpus_pipeline.without_boilerplate(spark, docs, sf).collect()}
+    assert {k for k, text, *_ in rows if out[k] != text} == set(range(6))
+    assert all(out[k] == f"own line {k}" for k in range(6))
