@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from . import decontamination, languages, lines, mixing, order_minhash, pitman_yor, pivots, secret_scan, toxicity, urls
 from .common import fold
 from ..session import tune
-from .sql import LINES_SQL, MIXING_SQL
+from .sql import LINES_BY_RATIO_SQL, LINES_SQL, MIXING_SQL
 
 QUERIES, ORACLES = {}, {}
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -30,12 +30,21 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def page_lines(spark, sf):
+    host = F.lower(F.regexp_extract("url", "://([^/?#]*)", 1))
+    return table(spark, sf, "pages").select("page_id", host.alias("host"), lines.html_lines(F.col("html")).alias("text"))
+
+
 @query("op6_line_dedup", LINES_SQL)
 def line_dedup(spark, sf):
     """Visible lines of every page without the boilerplate of its host."""
-    host = F.lower(F.regexp_extract("url", "://([^/?#]*)", 1))
-    pages = table(spark, sf, "pages").select("page_id", host.alias("host"), lines.html_lines(F.col("html")).alias("text"))
-    return lines.drop_boilerplate(pages, "host", "text", counts=True)
+    return lines.drop_boilerplate(page_lines(spark, sf), "host", "text", counts=True)
+
+
+@query("op6_line_dedup_by_ratio", LINES_BY_RATIO_SQL)
+def line_dedup_by_ratio(spark, sf):
+    """The same by the ratio alone, of lines on at least two pages, so that small hosts lose theirs too."""
+    return lines.drop_boilerplate(page_lines(spark, sf), "host", "text", min_pages=2, counts=True)
 
 
 @query("op10_mixing", MIXING_SQL)

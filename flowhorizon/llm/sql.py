@@ -23,6 +23,10 @@ FROM j
 """
 
 
+#: the ratio decides; a line on one page is no boilerplate
+LINES_BY_RATIO_SQL = LINES_SQL.replace("n >= 5 AND", "n >= 2 AND")
+
+
 def mixing_sql(documents: str = "documents") -> str:
     """Closed form: sources by limit over weight; the level is the first that leaves all later ones below theirs."""
     return rf"""

@@ -81,3 +81,10 @@ def test_mix_repeats_whole_rows(spark):
 def test_mix_of_an_empty_table(spark):
     assert mixing.mix_report(frame(spark, [])).count() == 0
     assert mixing.mix(frame(spark, [])).count() == 0
+
+
+def test_small_hosts_lose_their_lines(spark, tmp_path):
+    pages = [(k, f"http://h{k // 3}.net/{k}", f"<p>own {k}</p><p>menu</p>") for k in range(6)] + [(9, "http://one.net/", "<p>menu</p>")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    out = queries.QUERIES["op6_line_dedup_by_ratio"](spark, str(tmp_path)).collect()
+    assert {r.page_id: r.n_dropped for r in out} == {**dict.fromkeys(range(6), 1), 9: 0}
