@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.lookups import STAGE_ORDER, THRESHOLD_GRID
+from ..functions.lookups import LOG_FEATURES, STAGE_ORDER, THRESHOLD_GRID
 from ..operators import eda, joins, models, scaling
 from ..operators import evaluation as E
 from ..operators.splits import temporal_split
@@ -282,6 +282,38 @@ def q_persistence(spark, sf):
     return E.state_error(rows)
 
 
+NAMES_SQL = ", ".join(f"'{n}'" for n in MODEL_PRESENT)
+
+
+def input_sql(alias: str, name: str) -> str:
+    """A model input of a window in SQL; flags that the tables do not have count as none set."""
+    return "0.0::DOUBLE" if name in ("ack_ratio", "rst_ratio", "fin_ratio", "psh_ratio") else f"{alias}.{name}::FLOAT::DOUBLE"
+
+
+@query(
+    "persistence_error_all",
+    "M14",
+    with_("seqs", "numbered",
+          f="""SELECT s.sequence_id, s.host_id, s.last_idx, t.idx, row_number() OVER (PARTITION BY s.sequence_id ORDER BY t.window_idx) AS h
+            FROM seqs s JOIN numbered t ON t.host_id = s.host_id AND t.window_start > s.seq_end_time""",
+          e=f"""SELECT h, unnest([{NAMES_SQL}]) AS feature,
+            unnest([{", ".join(f"{input_sql('b', n)} - {input_sql('t', n)}" for n in MODEL_PRESENT)}]) AS e
+            FROM f JOIN numbered b ON b.host_id = f.host_id AND b.idx = f.last_idx JOIN numbered t ON t.host_id = f.host_id AND t.idx = f.idx WHERE h <= 3""")
+    + """SELECT CAST(h AS INT) AS horizon, feature, count(*) AS count, round(avg(abs(e)), 6) AS persistence_mae,
+    round(sqrt(avg(e * e)), 6) AS persistence_rmse FROM e GROUP BY h, feature""",
+)
+def q_persistence_all(spark, sf):
+    """The error of every model input, by horizon and feature."""
+    from ..operators import sequences as Q
+    from ..sinks.tables import stage
+
+    w = B.windows(spark, sf)
+    s = stage(Q.build_sequences(w, B.LENGTH, 1, 1, B.WINDOW, B.STRIDE, MODEL_PRESENT), "sequences")
+    m = Q.multi_horizon_targets(s, w, 3, window_seconds=B.WINDOW, stride_seconds=B.STRIDE, features=MODEL_PRESENT)
+    rows = m.select(F.element_at("sequence_features", -1).alias("last"), F.col("future_features").alias("future"))
+    return E.state_error(rows, names=MODEL_PRESENT)
+
+
 @query(
     "score_summary",
     "M18",
@@ -343,6 +375,24 @@ def q_robust(spark, sf):
     return scaling.fit_scaler(slim, names=wanted).select("name", "center", "scale")
 
 
+@query(
+    "robust_params_all",
+    "M1",
+    with_("split", "numbered",
+          v=f"""SELECT unnest([{NAMES_SQL}]) AS name,
+            unnest([{", ".join(f"ln(1 + {input_sql('m', n)})" if n in LOG_FEATURES else input_sql("m", n) for n in MODEL_PRESENT)}]) AS x
+            FROM split s JOIN numbered m ON m.host_id = s.host_id AND m.idx BETWEEN s.i AND s.last_idx WHERE s.split = 'train'""")
+    + """SELECT name, round(median(x), 4) + 0.0 AS center,
+    round(CASE WHEN quantile_cont(x, 0.75) - quantile_cont(x, 0.25) > 1e-15 THEN quantile_cont(x, 0.75) - quantile_cont(x, 0.25) ELSE 1 END, 4) AS scale
+    FROM v GROUP BY name""",
+    digits=4,
+)
+def q_robust_all(spark, sf):
+    """The parameters of every model input."""
+    train = model_rows(spark, sf).filter(F.col("split") == "train")
+    return scaling.fit_scaler(train, names=MODEL_PRESENT).select("name", "center", "scale")
+
+
 @query(
     "leakage_audit",
     "M19",

@@ -362,8 +362,9 @@ def majority_stage(train: DataFrame, stage: str = "stage") -> Column:
     return counts.agg(F.min_by(stage, F.struct(-F.col("n"), stage_rank(F.col(stage))))).scalar()
 
 
-def state_error(rows: DataFrame, predicted: str | None = None) -> DataFrame:
-    """Per horizon: count, MAE and RMSE of a prediction (optional) and of persistence.
+def state_error(rows: DataFrame, predicted: str | None = None, names: list[str] | None = None) -> DataFrame:
+    """Per horizon: count, MAE and RMSE of a prediction (optional) and of persistence; with the ``names`` of the
+    vectors' features, per horizon and feature.
 
     ``rows`` has ``future`` and optionally ``predicted`` as array of horizon vectors and ``last``
     as the last input vector; absent horizons are simply missing from ``future``.
@@ -373,17 +374,20 @@ def state_error(rows: DataFrame, predicted: str | None = None) -> DataFrame:
         F.posexplode("future").alias("h", "target"),
         *([F.col(predicted).alias("_pred")] if predicted else []),
     )
-    diff = F.explode(F.arrays_zip(F.zip_with("last", "target", lambda a, b: a.cast("double") - b.cast("double")).alias("e"),
+    diff = F.posexplode(F.arrays_zip(F.zip_with("last", "target", lambda a, b: a.cast("double") - b.cast("double")).alias("e"),
                                   *([F.zip_with(F.get("_pred", F.col("h")), "target", lambda a, b: a.cast("double") - b.cast("double")).alias("m")]
                                     if predicted else [])))
-    cells = h.select((F.col("h") + 1).alias("horizon"), F.array_size("target").alias("_w"), diff.alias("d"))
+    cells = h.select((F.col("h") + 1).alias("horizon"), F.array_size("target").alias("_w"), diff.alias("_f", "d"))
     aggs = [
-        (F.count(F.lit(1)) / F.max("_w")).cast("bigint").alias("count"),
+        (F.count(F.lit(1)) / (F.lit(1) if names else F.max("_w"))).cast("bigint").alias("count"),
         F.avg(F.abs("d.e")).alias("persistence_mae"),
         F.sqrt(F.avg(F.col("d.e") * F.col("d.e"))).alias("persistence_rmse"),
     ]
     if predicted:
         aggs += [F.avg(F.abs("d.m")).alias("mae"), F.sqrt(F.avg(F.col("d.m") * F.col("d.m"))).alias("rmse")]
+    if names:
+        feature = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_f") + 1)
+        return cells.groupBy("horizon", feature.alias("feature")).agg(*aggs)
     return cells.groupBy("horizon").agg(*aggs)
 
 

@@ -156,3 +156,12 @@ def test_state_error_with_prediction(spark):
     r = {x["horizon"]: x for x in E.state_error(df, "pred").collect()}
     assert (r[1]["count"], r[2]["count"]) == (2, 1)
     assert r[1]["persistence_mae"] == pytest.approx(3 / 4) and r[1]["mae"] == pytest.approx(1 / 4) and r[2]["rmse"] == pytest.approx(2**0.5)
+
+
+def test_all_model_inputs_are_reported(spark, sf):
+    from flowhorizon.catalog import load
+    from flowhorizon.catalog.evaluation_queries import MODEL_PRESENT
+
+    names = {r["name"] for r in load()[0]["robust_params_all"](spark, sf).collect()}
+    errors = {(r.horizon, r.feature) for r in load()[0]["persistence_error_all"](spark, sf).collect()}
+    assert names == set(MODEL_PRESENT) and errors == {(h, n) for h in (1, 2, 3) for n in MODEL_PRESENT}
