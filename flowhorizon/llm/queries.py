@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, languages, lines, mixing, order_minhash, pitman_yor, pivots, secret_scan, toxicity, urls
+from . import decontamination, divergence, languages, lines, mixing, order_minhash, pitman_yor, pivots, secret_scan, tokenization, toxicity, urls, vertical_scan
 from .common import fold
 from ..session import tune
-from .sql import LINES_BY_RATIO_SQL, LINES_SQL, MIXING_SQL
+from .sql import DIVERGENCE_SQL, LINES_BY_RATIO_SQL, LINES_SQL, MIXING_SQL, NEGATIVES_SQL
 
 QUERIES, ORACLES = {}, {}
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -110,6 +110,32 @@ def lm_scores(spark, sf):
     return pitman_yor.score_texts(table(spark, sf, "documents"))
 
 
+@query("op11_hard_negatives", NEGATIVES_SQL)
+def hard_negatives(spark, sf):
+    """Hard negatives of every anchor and positive; every seventh vector carries the next label."""
+    vectors = table(spark, sf, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return vertical_scan.hard_negatives(vectors.withColumn("label", label))
+
+
+@query("op12_source_divergence", DIVERGENCE_SQL)
+def source_divergence(spark, sf):
+    """How far every source is from the others of its language, and the terms it uses more than the language does."""
+    return divergence.audit(table(spark, sf, "documents"))
+
+
+@query("op13_tokenization")
+def tokenized(spark, sf):
+    """Digests of the token ids of every whole text and of what they decode to."""
+    import public_tokenizers
+
+    vocabulary = tokenization.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    encoded = tokenization.encode(table(spark, sf, "documents"), vocabulary, ["doc_id"])
+    decoded = tokenization.decode(encoded, vocabulary, ["doc_id", "n_tokens", "ids"])
+    return decoded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256")
+    )
+
 
 def load():
     """All queries and their SQL, the pipeline included."""
