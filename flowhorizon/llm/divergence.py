@@ -12,9 +12,9 @@ Rows go into a prefix tree whose nodes are (source, count) with the number of ro
 its ancestors stand for that many common terms at once, so the pair correction is computed once per such combination;
 the number of rows through the nodes of a (source, count) gives the sum for a side alone.
 
-Scale: counts are combined in the tasks before they are shuffled, equal rows are counted, and the distinct rows are
-range-partitioned in path order, so each task builds the part of the tree whose paths begin alike and keeps only
-the path it stands on. What leaves a task are sums per pair of sources and per (source, count). No step holds a
+Scale: counts are combined in the tasks before they are shuffled, equal rows are counted, and distinct rows that
+begin with the same nodes come into one task in path order, which builds its part of the tree and keeps only the
+path it stands on. What leaves a task are sums per pair of sources and per (source, count). No step holds a
 vocabulary or all pairs in one place. All arithmetic is in whole numbers.
 
 Defined results: null text, lang and source are empty strings; a source without kept terms has the share of an absent term
@@ -32,7 +32,7 @@ from .common import stored
 DOCUMENTS = 30  # documents of its lang that a kept term is in
 UNIT, PRIOR = 1_000_000_000, 5
 TOP = 50
-PIECE, HELD = 1 << 20, 200_000  # bytes of text read at once, counts a task holds before it sends them on
+PIECE, HELD = 1 << 20, 300_000  # bytes of text read at once, counts a task holds before it sends them on
 
 COUNTS = "lang string, source string, term string, n bigint, docs bigint"
 
@@ -51,7 +51,7 @@ def count_terms(docs: DataFrame, lang: str, source: str, text: str) -> DataFrame
 
         term = re.compile(rb"[a-z\x80-\xff]+")
         between = re.compile(rb"[^a-z\x80-\xff]")
-        groups: dict[tuple, dict] = {}
+        groups: dict[tuple, tuple] = {}
         held = 0
 
         def pieces(raw: bytes):
@@ -63,26 +63,28 @@ def count_terms(docs: DataFrame, lang: str, source: str, text: str) -> DataFrame
                 start = end
 
         def flush():
-            rows = [(*g, w, n, d) for g, (ns, ds) in groups.items() for w, n in ns.items() for d in (ds[w],)]
+            # both counters of a group got their terms in the same order
+            for (lang, source), (ns, ds) in groups.items():
+                words = pa.array(list(ns), pa.binary()).cast(pa.string())
+                counts = [pa.array(list(x.values()), pa.int64()) for x in (ns, ds)]
+                names = [pa.repeat(pa.scalar(x, pa.string()), len(words)) for x in (lang, source)]
+                yield pa.RecordBatch.from_arrays([*names, words, *counts], ["lang", "source", "term", "n", "docs"])
             groups.clear()
-            langs, sources, words, ns, ds = zip(*rows) if rows else ((), (), (), (), ())
-            words = pa.array(words, pa.binary()).cast(pa.string())
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(sources, pa.string()), words, pa.array(ns, pa.int64()), pa.array(ds, pa.int64())], ["lang", "source", "term", "n", "docs"])
 
         for batch in batches:
             for lang, source, text in zip(*(batch.column(i) for i in range(3))):
-                own: Counter = Counter()
-                for piece in pieces(text.as_py().encode("utf-8").lower()):
-                    own.update(term.findall(piece))
                 ns, ds = groups.setdefault((lang.as_py(), source.as_py()), (Counter(), Counter()))
-                before = len(ns)
-                ns.update(own)
-                ds.update(own.keys())
+                before, own = len(ns), {}
+                for piece in pieces(text.as_py().encode("utf-8").lower()):
+                    words = term.findall(piece)
+                    ns.update(words)
+                    own.update(dict.fromkeys(words))
+                ds.update(iter(own))
                 held += len(ns) - before
                 if held >= HELD:
-                    yield flush()
+                    yield from flush()
                     held = 0
-        yield flush()
+        yield from flush()
 
     parts = rows.mapInArrow(run, COUNTS)
     return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
@@ -102,28 +104,30 @@ def corrections(rows: DataFrame) -> DataFrame:
     with a null ``t`` the rows through all nodes of a source and share."""
 
     def run(batches):
+        from collections import defaultdict
         from decimal import Decimal
 
         import pyarrow as pa
 
-        lang, path = None, []  # path: nodes from the root down, as [source, n, p, z, rows through it]
-        pairs: dict[tuple, int] = {}
-        single: dict[tuple, int] = {}
+        # the nodes from the root down: (source, count), share, share of an absent term, rows through them
+        lang, names, shares, absent, through = None, [], [], [], []
+        pairs: dict[tuple, dict] = defaultdict(lambda: defaultdict(int))
+        single: dict[tuple, int] = defaultdict(int)
 
         def close(depth: int):
             """Leave the nodes below ``depth``; a node is complete when it is left."""
-            while len(path) > depth:
-                t, _, q, y, m = path.pop()
-                if path:
-                    path[-1][4] += m
-                single[lang, t, q, y] = single.get((lang, t, q, y), 0) + m
-                for s, _, p, z, _ in path:
-                    both = abs(p - q) - abs(p - y) - abs(q - z) + abs(z - y)
-                    if both:
-                        pairs[lang, s, t] = pairs.get((lang, s, t), 0) + m * both
+            while len(names) > depth:
+                (t, _), q, y, m = names.pop(), shares.pop(), absent.pop(), through.pop()
+                if through:
+                    through[-1] += m
+                single[lang, t, q, y] += m
+                sums = pairs[lang, t]
+                for (s, _), p, z in zip(names, shares, absent):
+                    sums[s] += m * (abs(p - q) - abs(p - y) - abs(q - z) + abs(z - y))
 
         def flush():
-            out = [(g, s, t, None, None, x) for (g, s, t), x in pairs.items()] + [(g, s, None, p, z, x) for (g, s, p, z), x in single.items()]
+            out = [(g, s, t, None, None, x) for (g, t), sums in pairs.items() for s, x in sums.items()]
+            out += [(g, s, None, p, z, x) for (g, s, p, z), x in single.items()]
             pairs.clear()
             single.clear()
             columns = list(zip(*out)) if out else [()] * 6
@@ -131,20 +135,27 @@ def corrections(rows: DataFrame) -> DataFrame:
             columns[5] = [Decimal(x) for x in columns[5]]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["lang", "s", "t", "p", "z", "amount"])
 
+        held = 0
         for batch in batches:
             for row in batch.to_pylist():
                 if row["lang"] != lang:
                     close(0)
                     lang = row["lang"]
-                items = [(x["source"], x["n"], x["p"], x["z"]) for x in row["path"]]
+                items = [(x["source"], x["n"]) for x in row["path"]]
                 same = 0
-                while same < min(len(path), len(items)) and tuple(path[same][:2]) == items[same][:2]:
+                while same < min(len(names), len(items)) and names[same] == items[same]:
                     same += 1
                 close(same)
-                path.extend([*x, 0] for x in items[same:])
-                path[-1][4] += row["m"]
-                if len(pairs) + len(single) >= HELD:
+                for x, name in zip(row["path"][same:], items[same:]):
+                    names.append(name)
+                    shares.append(x["p"])
+                    absent.append(x["z"])
+                    through.append(0)
+                through[-1] += row["m"]
+                held += len(items) - same
+                if held >= HELD:  # every sum held came from one of these nodes, as one of at most (sources) pairs
                     yield flush()
+                    held = 0
         close(0)
         yield flush()
 
@@ -172,7 +183,9 @@ def audit(docs: DataFrame, lang="lang", source="source", text="text", documents:
 
     paths = shares.groupBy("lang", "term").agg(F.array_sort(F.collect_list(F.struct("source", "n", "p", "z"))).alias("path"))
     rows = stored(paths.groupBy("lang", "path").agg(F.count("*").alias("m")), "audit-rows")
-    sums = stored(corrections(rows.repartitionByRange("lang", "path").sortWithinPartitions("lang", "path")), "audit-sums")
+    # rows that begin with the same three nodes meet; any other dealing gives the same sums from a tree with more nodes
+    begins = F.transform(F.slice("path", 1, 3), lambda x: F.struct(x["source"], x["n"]))
+    sums = stored(corrections(rows.repartition("lang", begins).sortWithinPartitions("lang", "path")), "audit-sums")
 
     own = groups.select("lang", "source", "z", "terms")
     other = own.select("lang", F.col("source").alias("item"), F.col("z").alias("y"))
