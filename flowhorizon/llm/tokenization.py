@@ -76,22 +76,38 @@ class Automaton:
     def __init__(self, ids: dict[bytes, int], merges: list[tuple[int, int, int]]):
         size = max(ids.values()) + 1
         self.left = np.full(size, -1)  # the arc a merged token's arc was made along
-        self.made = np.zeros(size, np.int64)  # and the merge that made it
+        self.made = np.full(size, -1)  # and the merge that made it, 0 for a byte; a token that no merge made has no arcs
+        self.made[[i for w, i in ids.items() if len(w) == 1]] = 0
         self.behind = np.zeros(size, np.int64)
         self.base, self.cut, self.when = [-1], [-1], [0]
+        self.arcs: dict[int, bool] = {}
+        self.cuts: dict[int, dict[int, int]] = {}
         for when, (a, b, ab) in enumerate(merges, 1):
             self.gadget(a, b, ab, when)
         self.label = {i: w for w, i in ids.items()}
         self.trie, self.ends = {}, [-1]
-        merged = set(np.flatnonzero(self.left >= 0).tolist())
         for word, i in ids.items():
-            if len(word) == 1 or i in merged:
+            if self.made[i] >= 0:
                 self.insert(word, i)
-        self.arcs: dict[int, bool] = {}
-        self.cuts: dict[int, dict[int, int]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop what was remembered of single arcs; all of it can be found again."""
+        self.arcs, self.cuts = {}, {}
+
+    @classmethod
+    def of(cls, tables: dict) -> Automaton:
+        """The automaton whose plain tables (its ``vars``) were sent."""
+        out = cls.__new__(cls)
+        vars(out).update(tables)
+        out.forget()
+        return out
 
     def gadget(self, a: int, b: int, ab: int, when: int) -> None:
-        """Bypass ``a b`` by ``ab``, which leads where ``b`` led, and split the state behind ``a``."""
+        """Bypass ``a b`` by ``ab``, which leads where ``b`` led, and split the state behind ``a``. Where ``b`` cannot
+        follow ``a``, because earlier merges never leave the two side by side, there is nothing to bypass."""
+        if self.made[a] < 0 or self.made[b] < 0 or not self.has_arc(int(self.behind[a]), b):
+            return
         self.left[ab], self.made[ab] = a, when
         self.behind[ab] = self.behind[b]
         self.base.append(int(self.behind[a]))
@@ -184,12 +200,12 @@ class Words(dict):
 
 
 class Tokenizer:
-    """Encoder and decoder of one vocabulary, as used inside a task."""
+    """Encoder and decoder of one compiled vocabulary, as used inside a task."""
 
     def __init__(self, vocabulary: dict):
         import regex
 
-        self.automaton = Automaton(vocabulary["ids"], vocabulary["merges"])
+        self.automaton = Automaton.of(vocabulary["automaton"])
         self.words, self.split = Words(self.automaton), regex.compile(WORDS)
         self.newer = regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in NEWER) + "]")
         older = WORDS
@@ -219,9 +235,14 @@ class Tokenizer:
         return b"".join([self.labels.get(i, unknown) for i in ids]).decode("utf-8", "replace")
 
 
+def compiled(vocabulary: dict) -> dict:
+    """Plain tables of the automaton and the added tokens, made once on the driver."""
+    return {"automaton": vars(Automaton(vocabulary["ids"], vocabulary["merges"])), "added": vocabulary["added"]}
+
+
 def mapped(df: DataFrame, vocabulary: dict, keep: list[str], source: str, columns: dict, work) -> DataFrame:
     """``keep`` columns and the columns that ``work(tokenizer, value)`` makes of ``source``, batch by batch."""
-    sent = df.sparkSession.sparkContext.broadcast(vocabulary)
+    sent = df.sparkSession.sparkContext.broadcast(compiled(vocabulary))
     fields = [df.schema[c] for c in keep] + [StructField(name, kind) for name, (kind, _) in columns.items()]
     kinds = [kind for _, kind in columns.values()]
 
