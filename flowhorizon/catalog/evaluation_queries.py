@@ -262,26 +262,6 @@ def q_stage_metrics(spark, sf):
     return E.stage_metrics(rows, E.majority_stage(rows))
 
 
-@query(
-    "persistence_error",
-    "M14",
-    with_("seqs", "numbered",
-          f="""SELECT s.sequence_id, s.last_flow_count, t.flow_count, row_number() OVER (PARTITION BY s.sequence_id ORDER BY t.window_idx) AS h
-            FROM seqs s JOIN numbered t ON t.host_id = s.host_id AND t.window_start > s.seq_end_time""")
-    + """SELECT CAST(h AS INT) AS horizon, count(*) AS count, round(avg(abs(last_flow_count - flow_count)), 6) AS persistence_mae,
-    round(sqrt(avg((last_flow_count - flow_count) * (last_flow_count - flow_count))), 6) AS persistence_rmse FROM f WHERE h <= 3 GROUP BY h""",
-)
-def q_persistence(spark, sf):
-    from ..operators import sequences as Q
-    from ..sinks.tables import stage
-
-    w = B.windows(spark, sf)
-    s = stage(Q.build_sequences(w, B.LENGTH, 1, 1, B.WINDOW, B.STRIDE, ["flow_count"]), "sequences")
-    m = Q.multi_horizon_targets(s, w, 3, window_seconds=B.WINDOW, stride_seconds=B.STRIDE, features=["flow_count"])
-    rows = m.select(F.element_at("sequence_features", -1).alias("last"), F.col("future_features").alias("future"))
-    return E.state_error(rows)
-
-
 NAMES_SQL = ", ".join(f"'{n}'" for n in MODEL_PRESENT)
 
 
@@ -291,7 +271,7 @@ def input_sql(alias: str, name: str) -> str:
 
 
 @query(
-    "persistence_error_all",
+    "persistence_error",
     "M14",
     with_("seqs", "numbered",
           f="""SELECT s.sequence_id, s.host_id, s.last_idx, t.idx, row_number() OVER (PARTITION BY s.sequence_id ORDER BY t.window_idx) AS h
@@ -302,7 +282,7 @@ def input_sql(alias: str, name: str) -> str:
     + """SELECT CAST(h AS INT) AS horizon, feature, count(*) AS count, round(avg(abs(e)), 6) AS persistence_mae,
     round(sqrt(avg(e * e)), 6) AS persistence_rmse FROM e GROUP BY h, feature""",
 )
-def q_persistence_all(spark, sf):
+def q_persistence(spark, sf):
     """The error of every model input, by horizon and feature."""
     from ..operators import sequences as Q
     from ..sinks.tables import stage
@@ -357,27 +337,6 @@ def model_rows(spark, sf, split: bool = True):
 @query(
     "robust_params",
     "M1",
-    with_("split", "numbered",
-          v="""SELECT ln(1 + m.flow_count) AS flow, m.destination_port_entropy AS ent, ln(1 + m.syn_count_sum) AS syn
-            FROM split s JOIN numbered m ON m.host_id = s.host_id AND m.idx BETWEEN s.i AND s.last_idx WHERE s.split = 'train'""")
-    + " UNION ALL ".join(
-        f"""SELECT '{name}' AS name, round(median({c}), 4) + 0.0 AS center,
-        round(CASE WHEN quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) > 0 THEN quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) ELSE 1 END, 4) AS scale FROM v"""
-        for name, c in (("flow_count", "flow"), ("destination_port_entropy", "ent"), ("syn_count_sum", "syn"))
-    ),
-    digits=4,
-)
-def q_robust(spark, sf):
-    train = model_rows(spark, sf).filter(F.col("split") == "train")
-    wanted = ["flow_count", "destination_port_entropy", "syn_count_sum"]
-    at = [MODEL_PRESENT.index(n) for n in wanted]
-    slim = train.select(F.transform("model_inputs", lambda v: F.array(*[v[i] for i in at])).alias("model_inputs"))
-    return scaling.fit_scaler(slim, names=wanted).select("name", "center", "scale")
-
-
-@query(
-    "robust_params_all",
-    "M1",
     with_("split", "numbered",
           v=f"""SELECT unnest([{NAMES_SQL}]) AS name,
             unnest([{", ".join(f"ln(1 + {input_sql('m', n)})" if n in LOG_FEATURES else input_sql("m", n) for n in MODEL_PRESENT)}]) AS x
@@ -387,9 +346,11 @@ def q_robust(spark, sf):
     FROM v GROUP BY name""",
     digits=4,
 )
-def q_robust_all(spark, sf):
+def q_robust(spark, sf):
     """The parameters of every model input."""
-    train = model_rows(spark, sf).filter(F.col("split") == "train")
+    from ..sinks.tables import stage
+
+    train = stage(model_rows(spark, sf).filter(F.col("split") == "train").select("model_inputs"), "train")
     return scaling.fit_scaler(train, names=MODEL_PRESENT).select("name", "center", "scale")
 
 

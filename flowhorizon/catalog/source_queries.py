@@ -200,26 +200,58 @@ def q_nfdump(spark, sf):
     )
 
 
-PACKET_SQL = {
-    "pk": """SELECT event_id, us / 1e6 AS ts, least(source_ip, destination_ip) AS a, greatest(source_ip, destination_ip) AS b, source_ip AS src, destination_ip AS dst,
-      k AS len, 50 + k % 5 AS ttl FROM flows""",
-    "gap": "SELECT *, lag(ts) OVER (PARTITION BY a, b ORDER BY ts, event_id) AS prev FROM pk",
-    "cut": """SELECT *, sum(CASE WHEN prev IS NULL OR ts - prev > 172800 THEN 1 ELSE 0 END) OVER (PARTITION BY a, b ORDER BY ts, event_id
-      ROWS UNBOUNDED PRECEDING) AS fl FROM gap""",
-    "fw": "SELECT *, first_value(src) OVER (PARTITION BY a, b, fl ORDER BY ts, event_id) AS head, lag(ts) OVER (PARTITION BY a, b, fl ORDER BY ts, event_id) AS lp FROM cut",
-}
+PACKET_OUT = [
+    *FLOW_OUT, "flow_duration", "packet_count", "byte_count", "fwd_packet_count", "bwd_packet_count", "fwd_byte_count", "bwd_byte_count",
+    "packet_size_mean", "packet_size_std", "packet_size_min", "packet_size_max", "iat_mean_s", "iat_std_s",
+    "syn_count", "ack_count", "rst_count", "fin_count", "psh_count", "urg_count", "ttl_mean", "ttl_std", "tcp_window_size", "retransmission_count",
+]
+
+
+def packet_out(flows):
+    """Every measure of a packet flow; times between packets in seconds."""
+    second = lambda c: F.col(c) / 1e6
+    return flows.withColumns({"iat_mean_s": second("inter_arrival_mean"), "iat_std_s": second("inter_arrival_std")}).select(*PACKET_OUT)
+
+
+#: flows by walking the packets of every conversation one by one; {proto}, {port}, {idle} and {active} are filled in
+PACKET_WALK = """SELECT make_timestamp(CAST(round(min(ts) * 1000000) AS BIGINT)) AS "timestamp", head AS source_ip, CASE WHEN head = a THEN b ELSE a END AS destination_ip,
+    {port} AS source_port, {port} AS destination_port, '{proto}' AS protocol,
+    round(max(ts) - min(ts), 4) AS flow_duration, count(*)::DOUBLE AS packet_count, sum(len)::DOUBLE AS byte_count,
+    (count(*) FILTER (WHERE src = head))::DOUBLE AS fwd_packet_count, (count(*) FILTER (WHERE src <> head))::DOUBLE AS bwd_packet_count,
+    coalesce(sum(len) FILTER (WHERE src = head), 0)::DOUBLE AS fwd_byte_count, coalesce(sum(len) FILTER (WHERE src <> head), 0)::DOUBLE AS bwd_byte_count,
+    round(avg(len), 4) AS packet_size_mean, round(coalesce(stddev_samp(len), 0), 4) AS packet_size_std, min(len)::DOUBLE AS packet_size_min, max(len)::DOUBLE AS packet_size_max,
+    round(coalesce(avg((ts - lp) * 1e6), 0) / 1e6, 4) AS iat_mean_s, round(coalesce(stddev_samp((ts - lp) * 1e6), 0) / 1e6, 4) AS iat_std_s,
+    {flags}, round(avg(ttl), 4) AS ttl_mean, round(coalesce(stddev_samp(ttl), 0), 4) AS ttl_std,
+    (first(win ORDER BY n) FILTER (WHERE src = head AND win IS NOT NULL))::DOUBLE AS tcp_window_size,
+    CASE WHEN '{proto}' = 'TCP' THEN (count(*) FILTER (WHERE len > 0) - count(DISTINCT (src, seq, len)) FILTER (WHERE len > 0))::DOUBLE END AS retransmission_count
+    FROM (SELECT o.*, w.flow, w.head, lag(o.ts) OVER (PARTITION BY o.a, o.b, w.flow ORDER BY o.n) AS lp FROM ordered o JOIN (
+      WITH RECURSIVE walk AS (
+        SELECT a, b, n, ts, ts AS began, 1 AS flow, src AS head, fin AS head_fin, false AS peer_fin, rst AS closed FROM ordered WHERE n = 1
+        UNION ALL
+        SELECT a, b, n, ts, CASE WHEN fresh THEN ts ELSE began END, flow + fresh::INT, CASE WHEN fresh THEN src ELSE head END,
+          CASE WHEN fresh THEN fin ELSE head_fin OR (fin AND src = head) END, CASE WHEN fresh THEN false ELSE peer_fin OR (fin AND src <> head) END,
+          rst OR (NOT fresh AND (head_fin OR (fin AND src = head)) AND (peer_fin OR (fin AND src <> head)))
+        FROM (SELECT p.a, p.b, p.n, p.ts, p.src, p.fin, p.rst, walk.began, walk.flow, walk.head, walk.head_fin, walk.peer_fin,
+            walk.closed OR p.ts - walk.ts > {idle} OR p.ts - walk.began > {active} AS fresh
+          FROM walk JOIN ordered p ON p.a = walk.a AND p.b = walk.b AND p.n = walk.n + 1))
+      SELECT a, b, n, flow, head FROM walk) w USING (a, b, n)) GROUP BY a, b, flow, head"""
+FLAG_SQL = ", ".join(f"sum(contains(flags, '{x}')::INT)::DOUBLE AS {n}_count" for n, x in packets.FLAG_LETTERS.items())
+PACKET_COLUMNS = """*, contains(flags, 'F') AS fin, contains(flags, 'R') AS rst, least(src, dst) AS a, greatest(src, dst) AS b,
+    row_number() OVER (PARTITION BY least(src, dst), greatest(src, dst) ORDER BY ts, event_id) AS n"""
+
+
+def packet_sql(rows: str, **fill) -> str:
+    return with_("flows", pk=rows, ordered=f"SELECT {PACKET_COLUMNS} FROM pk") + PACKET_WALK.format(flags=FLAG_SQL, **fill)
 
 
 @query(
     "packet_flows",
     "S12",
-    with_("flows", **PACKET_SQL)
-    + """SELECT make_timestamp(CAST(round(min(ts) * 1000000) AS BIGINT)) AS "timestamp", head AS source_ip, CASE WHEN head = a THEN b ELSE a END AS destination_ip,
-    count(*)::DOUBLE AS packet_count, sum(len)::DOUBLE AS byte_count, (count(*) FILTER (WHERE src = head))::DOUBLE AS fwd_packet_count,
-    round(max(ts) - min(ts), 3) AS flow_duration, round(avg(len), 3) AS packet_size_mean, round(coalesce(stddev_samp(len), 0), 3) AS packet_size_std,
-    round(coalesce(avg(ts - lp) * 1e3, 0), 0) AS iat_ms, round(avg(ttl), 3) AS ttl_mean FROM fw GROUP BY a, b, fl, head""",
-    digits=3,
-)
+    packet_sql(
+        "SELECT event_id, us / 1e6 AS ts, source_ip AS src, destination_ip AS dst, k AS len, 50 + k % 5 AS ttl, '' AS flags, NULL::INT AS win, NULL::BIGINT AS seq FROM flows",
+        proto="UDP", port=53, idle=172800, active=400 * 86400),
+    digits=4,
+)
 def q_packets(spark, sf):
     """Datagrams between hosts: flows end after two idle days, and the active timeout is out of reach."""
     f = B.table(spark, sf, "events")
@@ -232,14 +264,18 @@ def q_packets(spark, sf):
         F.lit("").alias("flags"), F.lit(None).cast("int").alias("window"), F.lit(None).cast("bigint").alias("seq"),
         F.col("event_id").alias("order_no"),
     )
-    out = packets.packets_to_flows(p, idle_timeout=2 * 86400, active_timeout=400 * 86400)
-    return out.select(
-        "timestamp", "source_ip", "destination_ip", "packet_count", "byte_count", "fwd_packet_count", "flow_duration",
-        "packet_size_mean", "packet_size_std", F.round(F.col("inter_arrival_mean") / 1e3, 0).alias("iat_ms"), "ttl_mean",
-    )
+    return packet_out(packets.packets_to_flows(p, idle_timeout=2 * 86400, active_timeout=400 * 86400))
 
 
-@query("packet_flows_tcp", "S12")
+@query(
+    "packet_flows_tcp",
+    "S12",
+    packet_sql(
+        """SELECT event_id, us / 1e6 AS ts, source_ip AS src, 'h' || ((user_id + k % 3 + 1) % 150) AS dst, k % 4 * 100 AS len, 64 AS ttl,
+          CASE WHEN k % 17 = 0 THEN 'FA' WHEN k % 29 = 0 THEN 'R' WHEN k % 5 = 0 THEN 'S' ELSE 'A' END AS flags, 1000 + k AS win, k % 6 AS seq FROM flows""",
+        proto="TCP", port=80, idle=3 * 86400, active=86400),
+    digits=4,
+)
 def q_packets_tcp(spark, sf):
     """The same table as TCP segments with teardown flags and an active timeout of a day."""
     e = B.table(spark, sf, "events")
@@ -252,7 +288,7 @@ def q_packets_tcp(spark, sf):
         F.lit(80).alias("sport"), F.lit(80).alias("dport"), F.lit(6).alias("proto"), (k % 4 * 100).alias("payload_len"), F.lit(64).alias("ttl"),
         flags.alias("flags"), (1000 + k).alias("window"), (k % 6).cast("bigint").alias("seq"), F.col("event_id").alias("order_no"),
     )
-    return packets.packets_to_flows(p, idle_timeout=3 * 86400, active_timeout=86400)
+    return packet_out(packets.packets_to_flows(p, idle_timeout=3 * 86400, active_timeout=86400))
 
 
 @query(

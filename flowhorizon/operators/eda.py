@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.quantiles import exact_quantiles, grid_quantiles
+from ..sinks.tables import stage
 from ..plans.scan import join_keys
 from ..schema import DERIVED, OPTIONAL, REQUIRED
 
@@ -187,6 +188,7 @@ def dataset_status(split: DataFrame) -> DataFrame:
 def score_summary(scored: DataFrame, groups: list[str], score: str = "p") -> DataFrame:
     """Per group: count, min, max, mean, population std and nine exact quantiles (long form)."""
     fractions = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0]
+    scored = stage(scored.select(*groups, score), "scores")
     stats = scored.groupBy(*groups).agg(
         F.min(score).alias("min"), F.max(score).alias("max"), F.avg(score).alias("mean"),
         F.stddev_pop(score).alias("std"),
@@ -196,8 +198,7 @@ def score_summary(scored: DataFrame, groups: list[str], score: str = "p") -> Dat
 
 def upper_tail_thresholds(scored: DataFrame, tails: list[float] = (0.1, 0.05, 0.01, 0.001, 0.0)) -> DataFrame:
     """Validation-score quantiles 1 - tail as alert-volume thresholds."""
-    base = scored.withColumn("_all", F.lit(1))
-    q = exact_quantiles(base, "p", [1.0 - t for t in tails], ["_all"])
+    q = exact_quantiles(stage(scored.select("p"), "scores"), "p", [1.0 - t for t in tails], [])
     return q.select(F.round(1 - F.col("fraction"), 6).alias("upper_tail"), F.col("quantile").alias("threshold"))
 
 

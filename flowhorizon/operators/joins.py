@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..plans.grid import MICROS
 from ..plans.intervals import interval_join
 from ..plans.scan import running, with_time_halo
+from ..plans.segments import FOREVER, first_at, pieces
 from ..sinks.tables import stage
 
 DAY_US = 86_400 * MICROS
@@ -27,28 +28,24 @@ def first_interval_match(
     end: str,
     order: str,
     payload: list[str],
-    base_seconds: int = 600,
 ) -> DataFrame:
     """Left-join to every flow the payload of the first rule (by ``order``) whose interval holds it.
 
     A match depends on (keys, timestamp) alone, so distinct points are matched and the result is
     joined back: no row identity is needed and copies of one flow are matched once. An open end
-    (NULL) reaches to the last flow.
+    (NULL) never closes. Overlapping rules are settled in a segment tree before points come in.
     """
-    points = flows.select(*[F.col(a).alias(f"_p_{a}") for a, _ in keys], _us("timestamp").alias("_pt")).filter(
-        F.col("_pt").isNotNull()
-    )
-    last = points.agg(F.max("_pt")).scalar()
+    names = [f"_p_{a}" for a, _ in keys]
+    points = flows.select(*[F.col(a).alias(f"_p_{a}") for a, _ in keys], _us("timestamp").alias("_pt"))
     ruled = rules.select(
-        *[F.col(b).alias(f"_r_{b}") for _, b in keys],
+        *[F.col(b).alias(f"_p_{a}") for a, b in keys],
         _us(start).alias("_rs"),
-        F.coalesce(_us(end), last).alias("_re"),
+        F.coalesce(_us(end), F.lit(FOREVER)).alias("_re"),
         F.struct(F.col(order).alias("o"), *[F.col(c) for c in payload]).alias("_rule"),
+        F.col(order).alias("_order"),
     )
-    matched = interval_join(
-        points.distinct(), ruled, [(f"_p_{a}", f"_r_{b}") for a, b in keys], "_pt", "_rs", "_re", base_seconds
-    )
-    first = matched.groupBy(*[f"_p_{a}" for a, _ in keys], "_pt").agg(F.min_by("_rule", F.col("_rule.o")).alias("_hit"))
+    found = pieces(ruled, names, "_rs", "_re", "_rule", "_order")
+    first = first_at(points.filter(F.col("_pt").isNotNull()).distinct(), found, names, "_pt")
     on = [F.col(a) == F.col(f"_p_{a}") for a, _ in keys] + [_us("timestamp") == F.col("_pt")]
     joined = flows.join(first, reduce(lambda x, y: x & y, on), "left")
     return joined.select(*[flows[c] for c in flows.columns], *[F.col(f"_hit.{c}").alias(c) for c in payload])
@@ -57,13 +54,19 @@ def first_interval_match(
 def interval_labels(flows: DataFrame, rules: DataFrame, table: DataFrame, default: str = "BENIGN") -> DataFrame:
     """Analyst label rules ``(rule_no, source_ip, start, end, label)``; first rule wins, else BENIGN.
 
-    A rule whose label the table does not know is an error.
+    A rule whose label the table does not know stops the job that reads the result.
     """
-    unknown = [r[0] for r in unknown_rule_labels(rules, table).orderBy("dataset_label").limit(20).collect()]
-    if unknown:
-        raise ValueError(f"rules with labels that have no mapping, first {unknown}")
+    named = table.select(F.col("dataset_label").alias("_known"))
+    checked = rules.join(named, F.col("label") == F.col("_known"), "left").withColumn(
+        "label",
+        F.when(F.col("_known").isNotNull(), F.col("label")).otherwise(
+            F.raise_error(F.concat(F.lit("rule with a label that has no mapping: "), F.coalesce("label", F.lit("NULL"))))
+        ),
+    )
     base = flows.drop("dataset_label", "normalized_attack_class", "attack_stage", "label_confidence")
-    hit = first_interval_match(base, rules, [("source_ip", "source_ip")], "start", "end", "rule_no", ["label"])
+    hit = first_interval_match(
+        base, checked.drop("_known"), [("source_ip", "source_ip")], "start", "end", "rule_no", ["label"]
+    )
     named = hit.withColumn("dataset_label", F.coalesce("label", F.lit(default))).drop("label")
     return named.join(table, "dataset_label", "left").select(
         *base.columns, "dataset_label", "normalized_attack_class", "attack_stage", "label_confidence"

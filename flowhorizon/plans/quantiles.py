@@ -2,13 +2,21 @@
 
 ``percentile`` keeps every distinct value of a group in one buffer. For grid-valued columns
 (window times, gaps) that is fine after counting equal values first: :func:`grid_quantiles`.
-For free doubles :func:`exact_quantiles` brackets each wanted rank with the quantile sketch,
-whose rank error is bounded, and looks only at the values inside the brackets.
+For free doubles :func:`select_ranks` finds order statistics by radix selection: a double becomes
+a whole number in the same order, values are counted by its highest 16 bits, only the bucket that holds
+a wanted rank is opened and counted by the next 16, and after four rounds the bucket is one value.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from ..sinks.tables import stage
+from .scan import join_keys
+
+DIGIT, ROUNDS = 16, 4
 
 
 def grid_quantiles(df: DataFrame, value: str, fractions: list[float], groups: list[str] = ()) -> DataFrame:
@@ -18,54 +26,78 @@ def grid_quantiles(df: DataFrame, value: str, fractions: list[float], groups: li
     return counted.groupBy(*groups).agg(q.alias("quantiles"))
 
 
-def exact_quantiles(
-    df: DataFrame, value: str, fractions: list[float], groups: list[str], accuracy: int = 10000
-) -> DataFrame:
-    """One row per (group, fraction): ``fraction``, ``quantile``, ``n``.
+def ordered_key(x: Column) -> Column:
+    """A 64-bit whole number in the order of the double ``x``: exponent above mantissa, sign in front; both zeros are 0
+    and NaN is above infinity, as Spark sorts it.
 
-    The values are counted once per (group, value), which is the only data-sized shuffle; the
-    bracket rows that meet in one window are about ``8 / accuracy`` of the distinct values. A wanted
-    rank is within ``2 / n`` of its fraction and the sketch is off by at most ``1 / accuracy``, so
-    ``4 / accuracy`` on both sides holds it once a group has more than ``accuracy`` rows; smaller
-    groups are taken whole.
+    The exponent from the logarithm may be off by one and is set right by the mantissa, which the division by a power of
+    two leaves exact.
     """
-    have = df.filter(F.col(value).isNotNull())
-    vc = have.groupBy(*groups, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    eps = 4.0 / accuracy
-    low = F.array(*[F.lit(max(0.0, f - eps)) for f in fractions])
-    high = F.array(*[F.lit(min(1.0, f + eps)) for f in fractions])
-    bounds = have.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx(value, low, accuracy).alias("lo"),
-        F.percentile_approx(value, high, accuracy).alias("hi"),
-        F.min(value).alias("_min"),
-        F.max(value).alias("_max"),
-    )
-    wanted = F.array(*[F.lit(float(f)) for f in fractions]).alias("f")
-    marks = bounds.withColumn("f", wanted).withColumn("_m", F.explode(F.arrays_zip("f", "lo", "hi")))
-    marks = marks.select(
-        *[F.col(g).alias(f"_g_{g}") for g in groups],
-        "_n",
-        F.col("_m.f").alias("fraction"),
-        F.when(F.col("_n") <= accuracy, F.col("_min")).otherwise(F.col("_m.lo")).alias("_lo"),
-        F.when(F.col("_n") <= accuracy, F.col("_max")).otherwise(F.col("_m.hi")).alias("_hi"),
+    size = F.abs(x.cast("double"))
+    near = F.least(F.greatest(F.floor(F.log2(size)), F.lit(-1022)), F.lit(1023)).cast("int")
+    scaled = size / F.pow(F.lit(2.0), near)
+    step = F.when(scaled >= 2, 1).when((scaled < 1) & (near > -1022), -1).otherwise(0)
+    exponent = near + step
+    mantissa = (size / F.pow(F.lit(2.0), exponent) * F.lit(2.0**52)).cast("bigint")
+    key = F.shiftleft((exponent + 1022).cast("bigint"), 52) + mantissa
+    key = F.when(size == 0, F.lit(0).cast("bigint")).when(size == float("inf"), F.lit(2047 << 52)).otherwise(key)
+    return F.when(F.isnan(size), F.lit((1 << 63) - 1)).when(x < 0, -key).otherwise(key)
+
+
+def same(left: DataFrame, right: DataFrame, keys: list[str], *more: Column) -> Column:
+    """Join condition on equal keys, NULL being equal to NULL."""
+    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys] + list(more), F.lit(True))
+
+
+def select_ranks(df: DataFrame, value: str, ranks: DataFrame, groups: list[str]) -> DataFrame:
+    """Stored order statistics: for every row (``groups``, ``rank``) of ``ranks``, with ranks from 0, the ``value`` of
+    that rank among the group's values, how many are ``below`` it and how many are ``equal`` to it.
+
+    Ranks outside the group have no row. ``df`` is read four times. Each round combines its counts
+    before they are shuffled; a group's buckets of one round are at most 65,536 rows, however many values there are.
+    """
+    rows = df.filter(F.col(value).isNotNull()).select(
+        *groups, F.col(value).cast("double").alias("_x"), ordered_key(F.col(value)).alias("_key")
     )
-    on = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups]
-    near = vc.join(marks, on + [F.col("_v") <= F.col("_hi")], "inner")
-    # what lies below a bracket collapses to one row with a NULL value, which sorts first
-    rows = near.groupBy(
-        *groups, "fraction", "_n", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v")
-    ).agg(F.sum("_c").alias("_c"))
-    w = W.partitionBy(*groups, "fraction").orderBy(F.col("_v").asc_nulls_first())
-    position = (F.col("_n") - 1) * F.col("fraction")
-    walked = rows.withColumn("_end", F.sum("_c").over(w.rowsBetween(W.unboundedPreceding, 0)))
-
-    def at(rank):
-        return F.min(F.when(F.col("_v").isNotNull() & (F.col("_end") > rank), F.col("_v")))
-
-    picked = walked.groupBy(*groups, "fraction", F.col("_n").alias("n")).agg(
-        at(F.floor(position)).alias("_a"), at(F.ceil(position)).alias("_b")
+    opened = ranks.select(*groups, F.col("rank"), F.lit(0).cast("bigint").alias("_prefix"), F.lit(0).cast("bigint").alias("_base")).distinct()
+    for k in range(ROUNDS):
+        shift = 64 - DIGIT * (k + 1)
+        above = F.shiftright("_key", shift + DIGIT) if k else F.lit(0).cast("bigint")
+        known = rows.withColumns({"_above": above, "_bucket": F.shiftright("_key", shift)})
+        wanted = opened.select(*groups, "_prefix").distinct()
+        inside = known.join(wanted, same(known, wanted, groups, known["_above"] == wanted["_prefix"]), "left_semi")
+        counts = inside.groupBy(*groups, "_above", "_bucket").agg(F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_least"))
+        order = W.partitionBy(*groups, "_above").orderBy("_bucket")
+        counts = counts.withColumn("_end", F.sum("_c").over(order.rowsBetween(W.unboundedPreceding, 0)))
+        opened = opened.drop("_c", "_least")
+        on = same(opened, counts, groups, opened["_prefix"] == counts["_above"])
+        place = opened["rank"] - opened["_base"]
+        hit = opened.join(counts, on).filter((place < counts["_end"]) & (place >= counts["_end"] - counts["_c"]))
+        keep = [opened[g].alias(g) for g in groups] + [opened["rank"], counts["_bucket"].alias("_prefix")]
+        opened = stage(
+            hit.select(*keep, (opened["_base"] + counts["_end"] - counts["_c"]).alias("_base"), "_c", "_least"), "ranks"
+        )
+    return opened.select(
+        *groups, "rank", F.col("_least").alias("value"), F.col("_base").alias("below"), F.col("_c").alias("equal")
     )
-    place = (F.col("n") - 1) * F.col("fraction")
-    between = F.col("_a") + (F.col("_b") - F.col("_a")) * (place - F.floor(place))
-    return picked.select(*groups, "fraction", between.alias("quantile"), "n")
+
+
+def exact_quantiles(df: DataFrame, value: str, fractions: list[float], groups: list[str]) -> DataFrame:
+    """One row per (group, fraction): ``fraction``, ``quantile``, ``n``. ``df`` is read five times, so give it stored."""
+    sizes = df.filter(F.col(value).isNotNull()).groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
+    wanted = sizes.withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
+    wanted = stage(wanted.withColumn("place", (F.col("n") - 1) * F.col("fraction")), "fractions")
+    ends = F.explode(F.array(F.floor("place"), F.ceil("place"))).alias("rank")
+    found = select_ranks(df, value, wanted.select(*groups, ends), groups)
+    return between(wanted, found, groups).select(*groups, "fraction", "quantile", "n")
+
+
+def between(wanted: DataFrame, found: DataFrame, groups: list[str], place: str = "place", out: str = "quantile") -> DataFrame:
+    """Add the linear interpolation at ``place`` of the order statistics around it."""
+    low = found.select(*groups, F.col("rank").alias("_r"), F.col("value").alias("_a"))
+    high = found.select(*groups, F.col("rank").alias("_s"), F.col("value").alias("_b"))
+    ends = wanted.withColumns({"_r": F.floor(place), "_s": F.ceil(place)})
+    both = join_keys(join_keys(ends, low, [*groups, "_r"]), high, [*groups, "_s"])
+    part = F.col(place) - F.floor(F.col(place))
+    between = F.when(part == 0, F.col("_a")).otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * part)
+    return both.withColumn(out, between).drop("_r", "_s", "_a", "_b")

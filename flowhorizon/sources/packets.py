@@ -1,21 +1,19 @@
 """Decoded packets to bidirectional flows.
 
-Idle gaps cut a conversation at places that depend on the packets just before only, so they are
-found with windows over time spans with a halo. The active timeout and TCP teardown depend on where the flow
-began, so those packets are walked in order; only the flow number comes out of Python and all flow
-measures are ordinary aggregates.
+A flow ends on an idle gap or a RST, wherever it began; those cuts are found with windows over time spans with a halo and
+give stretches. Inside a stretch the active timeout and a close by FIN of both sides depend on where the flow
+began: each packet learns where a flow that began there would end, from ordered scans, and the flows are the packets
+reached from the first one (:mod:`flowhorizon.plans.jumps`), block by block. Flow measures are ordinary aggregates
+per side; which side is forward is known when they meet.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.scalars import protocol_name
-from ..plans.scan import running, with_time_halo
+from ..plans.jumps import reached
+from ..plans.scan import join_keys, row_index, running, with_time_halo
 from ..schema import coerce_flows
 from ..sinks.tables import stage
 
@@ -49,177 +47,125 @@ ORDER = ["ts", "order_no", "src", "seq", "payload_len", "flags"]
 SEGMENT_SECONDS = 900
 
 
-def split_idle(keyed: DataFrame, idle_timeout: float, segment_seconds: float = SEGMENT_SECONDS) -> DataFrame:
-    """Add ``burst``, the number of the idle-free stretch of the packet's conversation.
+def split_hard(keyed: DataFrame, idle_timeout: float, segment_seconds: float = SEGMENT_SECONDS) -> DataFrame:
+    """Add ``burst``, the number of the packet's stretch in its conversation: a new one begins behind an idle gap and
+    behind a RST; and ``_prev``, the time of the stretch's packet before.
 
-    Whether a packet opens a stretch depends on the ``idle_timeout`` before it only, which a time
-    halo answers without a join; numbering the stretches is one segmented running sum.
+    Both depend on the packet before, if it is within ``idle_timeout``, which a time halo answers without a
+    join; numbering the stretches is one segmented running sum.
     """
     back = round(idle_timeout * 1_000_000)
     span = max(round(segment_seconds * 1_000_000), 8 * back)
-    timed = keyed.withColumn("_us", F.round(F.col("ts") * 1e6).cast("bigint"))
-    halo = with_time_halo(timed, "_us", back, span)
+    halo = with_time_halo(keyed, "_us", back, span)
     w = W.partitionBy(*KEY, "_span").orderBy(*ORDER)
     gap = F.col("ts") - F.lag("ts").over(w)
-    cut = halo.withColumn("_cut", F.coalesce(gap > idle_timeout, F.lit(True)).cast("bigint")).filter("_own")
-    slim = cut.drop("_us", "_span", "_own")
+    ended = (F.col("proto") == 6) & F.contains(F.coalesce("flags", F.lit("")), F.lit("R"))
+    cut = F.coalesce((gap > idle_timeout) | F.lag(ended).over(w), F.lit(True))
+    cut = halo.withColumns({"_cut": cut.cast("bigint"), "_prev": F.when(~cut, F.lag("ts").over(w))}).filter("_own")
+    slim = cut.drop("_span", "_own")
     segment = F.floor(F.col("ts") / segment_seconds).cast("bigint")
     numbered = running(stage(slim, "packets"), KEY, ORDER, [("_seg", segment)], {"_b": ("sum", "_cut")})
     return numbered.withColumn("burst", F.col("_b") + F.col("_cut")).drop("_cut", "_b")
 
 
-class _Conversation:
-    """Where the current flow of one burst began, and which sides have sent FIN."""
-
-    def __init__(self, active_timeout: float):
-        self.active, self.number, self.first, self.sides, self.fresh = active_timeout, -1, 0.0, set(), True
+RUN = ["proto", "ai", "ap", "bi", "bp", "burst"]
+SEGMENT_ROWS = 4096
 
-    def starts_flow(self, ts: float, tcp: bool, rst: bool, fin: bool, from_a: bool) -> bool:
-        new = self.fresh or ts - self.first > self.active
-        if new:
-            self.number, self.first, self.sides, self.fresh = self.number + 1, ts, set(), False
-        if tcp:
-            if fin:
-                self.sides.add(from_a)
-            self.fresh = rst or len(self.sides) == 2
-        return new
 
+def flow_ends(rows: DataFrame, active_us: int) -> DataFrame:
+    """(stretch, ``_i``, ``_next``): the packet behind the flow that begins at packet ``_i``.
 
-WALK_KEYS = ["proto", "ai", "ap", "bi", "bp", "burst"]
-WALK_DDL = (
-    "proto int, ai string, ap int, bi string, bp int, burst bigint, ts double, order_no bigint, src string, "
-    "seq bigint, payload_len int, flags string, flow_no bigint"
-)
+    That is the first one later than the active timeout, or the one behind the close if both sides have sent FIN from
+    ``_i`` on. The next FIN of a side is a running minimum from the end; how many packets lie within the timeout is a
+    running count over packets and questions in one order.
+    """
+    side = lambda own: F.when(F.col("_fin") & (F.col("from_a") == F.lit(own)), F.col("_i"))
+    fins = rows.withColumns({"_fa": side(True), "_fb": side(False), "_back": -F.col("_i")})
+    segment = F.floor(F.col("_back") / SEGMENT_ROWS)
+    ahead = running(fins, RUN, ["_back"], [("_seg", segment)], {"_na": ("min", "_fa"), "_nb": ("min", "_fb")})
+    close = F.least("_fa", "_na"), F.least("_fb", "_nb")
+    both = F.when(close[0].isNotNull() & close[1].isNotNull(), F.greatest(*close) + 1).alias("_closed")
+    known = stage(ahead.select(*RUN, "_i", "_us", both), "teardown")
+    none = F.lit(None).cast("bigint")
+    packets = known.select(*RUN, "_us", F.lit(0).alias("_kind"), none.alias("_i"), none.alias("_closed"), F.lit(1).cast("bigint").alias("_one"))
+    asks = known.select(*RUN, (F.col("_us") + active_us).alias("_us"), F.lit(1).alias("_kind"), "_i", "_closed", F.lit(0).cast("bigint").alias("_one"))
+    span = F.floor(F.col("_us") / (SEGMENT_SECONDS * 1_000_000))
+    met = running(packets.union(asks), RUN, ["_us", "_kind", "_i"], [("_seg", span)], {"_within": ("sum", "_one")})
+    return met.filter("_kind = 1").select(*RUN, "_i", F.least("_within", "_closed").alias("_next"))
 
 
 def number_flows(bursts: DataFrame, active_timeout: float) -> DataFrame:
-    """Add ``flow_no`` inside each (conversation, burst).
+    """Add ``flow_no`` inside each (conversation, stretch).
 
-    Bursts that cannot be cut again (within the active timeout, no RST, no FIN) keep number 0 and
-    never reach Python; this holds for almost all traffic that is not TCP. The others stream through
-    sorted partitions with constant memory, and only the first packet of each flow comes back.
+    Stretches that cannot be cut again (within the active timeout, not closed by FIN of both sides) keep number 0; this
+    holds for almost all traffic that is not TCP.
     """
-    flags = F.coalesce("flags", F.lit(""))
-    ending = F.contains(flags, F.lit("R")) | F.contains(flags, F.lit("F"))
-    per = bursts.groupBy(*KEY, "burst").agg(
-        (F.max("ts") - F.min("ts")).alias("_len"), F.max(ending.cast("int")).alias("_end")
-    )
-    again = (F.col("_len") > active_timeout) | ((F.col("proto") == 6) & (F.col("_end") == 1))
-    joined = bursts.join(per.select(*KEY, "burst", again.alias("_again")), [*KEY, "burst"])
-    plain = joined.filter(~F.col("_again")).drop("_again").withColumn("flow_no", F.lit(0).cast("bigint"))
-    rest = joined.filter("_again").drop("_again")
-    slim = rest.select(
-        "proto", F.col("ep_a.ip").alias("ai"), F.col("ep_a.port").alias("ap"), F.col("ep_b.ip").alias("bi"),
-        F.col("ep_b.port").alias("bp"), "burst", *ORDER, "from_a",
+    active = round(active_timeout * 1_000_000)
+    flat = bursts.withColumns(
+        {
+            "ai": F.col("ep_a.ip"), "ap": F.col("ep_a.port"), "bi": F.col("ep_b.ip"), "bp": F.col("ep_b.port"),
+            "_fin": (F.col("proto") == 6) & F.contains(F.coalesce("flags", F.lit("")), F.lit("F")),
+        }
     )
-    ordered = slim.repartition(*WALK_KEYS).sortWithinPartitions(*WALK_KEYS, *ORDER)
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, talk = None, None
-        for pdf in batches:
-            marks = pdf["flags"].fillna("")
-            keys = list(zip(*[pdf[c] for c in WALK_KEYS]))
-            columns = zip(keys, pdf["ts"], marks.str.contains("R"), marks.str.contains("F"), pdf["from_a"])
-            begins, numbers = np.zeros(len(pdf), dtype=bool), np.zeros(len(pdf), dtype=np.int64)
-            for i, (k, ts, rst, fin, from_a) in enumerate(columns):
-                if k != key:
-                    key, talk = k, _Conversation(active_timeout)
-                begins[i] = talk.starts_flow(ts, k[0] == 6, rst, fin, from_a)
-                numbers[i] = talk.number
-            yield pdf.assign(flow_no=numbers)[begins][[*WALK_KEYS, *ORDER, "flow_no"]]
-
-    starts = stage(ordered.mapInPandas(walk, WALK_DDL), "flow-starts")  # one row per flow
-    marks = starts.select(
-        "proto",
-        F.struct(F.col("ai").alias("ip"), F.col("ap").alias("port")).alias("ep_a"),
-        F.struct(F.col("bi").alias("ip"), F.col("bp").alias("port")).alias("ep_b"),
-        "burst", *ORDER, "flow_no",
+    per = flat.groupBy(*RUN).agg(
+        (F.max("_us") - F.min("_us")).alias("_len"),
+        F.count_if(F.col("_fin") & F.col("from_a")).alias("_a"), F.count_if(F.col("_fin") & ~F.col("from_a")).alias("_b"),
     )
-    # equal packets of one instant share a mark, which is harmless: the flow number is a maximum
-    names = [*KEY, "burst", *ORDER]
-    found = marks.groupBy(*[F.col(c).alias(f"_m_{c}") for c in names]).agg(F.max("flow_no").alias("flow_no"))
-    met = rest.join(found, _same(names), "left").drop(*[f"_m_{c}" for c in names])
-    # a packet belongs to the last flow that began at or before it
+    again = (F.col("_len") > active) | ((F.col("_a") > 0) & (F.col("_b") > 0))
+    joined = stage(join_keys(flat, per.select(*RUN, again.alias("_again")), RUN), "stretches")
+    plain = joined.filter(~F.col("_again")).withColumn("flow_no", F.lit(0).cast("bigint"))
     segment = F.floor(F.col("ts") / SEGMENT_SECONDS).cast("bigint")
-    before = running(met, [*KEY, "burst"], ORDER, [("_seg", segment)], {"_last": ("max", "flow_no")})
-    numbered = before.withColumn("flow_no", F.greatest("flow_no", "_last"))
+    rest = stage(row_index(joined.filter("_again"), RUN, ORDER, segment, "_i"), "numbered")
+    begins = reached(flow_ends(rest.select(*RUN, "_i", "_us", "_fin", "from_a"), active), RUN)
+    marked = join_keys(rest, begins.withColumn("_begin", F.lit(1).cast("bigint")), [*RUN, "_i"], "left")
+    place = F.floor(F.col("_i") / SEGMENT_ROWS)
+    before = running(marked.fillna(0, ["_begin"]), RUN, ["_i"], [("_seg", place)], {"_n": ("sum", "_begin")})
+    numbered = before.withColumn("flow_no", F.col("_n") + F.col("_begin") - 1)
+    numbered = numbered.withColumn("_prev", F.when(F.col("_begin") == 0, F.col("_prev")))
     return plain.unionByName(numbered.select(*plain.columns))
 
 
-def _same(names):
-    on = None
-    for c in names:
-        term = F.col(c).eqNullSafe(F.col(f"_m_{c}"))
-        on = term if on is None else on & term
-    return on
-
-
 def packets_to_flows(packets: DataFrame, idle_timeout: float = 120.0, active_timeout: float = 3600.0) -> DataFrame:
     """Canonical flows. The first packet sets the forward direction; a flow ends on an idle gap,
-    after the active timeout, on RST, or once FIN was seen from both sides."""
+    after the active timeout, on RST, or once FIN was seen from both sides. The active timeout is told to the microsecond."""
     if idle_timeout <= 0 or active_timeout <= 0:
         raise ValueError("timeouts must be positive")
-    bursts = stage(split_idle(conversation_key(packets), idle_timeout), "bursts")
-    numbered = number_flows(bursts, active_timeout)
-    flow = [*KEY, "burst", "flow_no"]
-    part = W.partitionBy(*flow)
-    ordered = part.orderBy(*ORDER)
-    head = F.struct("src", "sport", "dst", "dport")
-    rows = numbered.withColumns(
-        {
-            "_head": F.first(head).over(ordered.rowsBetween(W.unboundedPreceding, 0)),
-            "_iat": (F.col("ts") - F.lag("ts").over(ordered)) * 1e6,
-        }
-    ).withColumn("fwd", (F.col("src") == F.col("_head.src")) & F.col("sport").eqNullSafe(F.col("_head.sport")))
-    fwd, size = F.col("fwd"), F.col("payload_len").cast("double")
-    segment = F.when((F.col("proto") == 6) & (F.col("payload_len") > 0) & F.col("seq").isNotNull(), 1)
-    rank = F.struct(*ORDER)
+    keyed = conversation_key(packets).withColumn("_us", F.round(F.col("ts") * 1e6).cast("bigint"))
+    numbered = number_flows(split_hard(keyed, idle_timeout), active_timeout)
+    flow = [*RUN, "flow_no"]
+    size, a = F.col("payload_len").cast("double"), F.col("from_a")
+    rows = stage(numbered.withColumn("_iat", (F.col("ts") - F.col("_prev")) * 1e6), "flow-packets")
     flags = F.coalesce("flags", F.lit(""))
-    # equal (direction, seq, length) segments are counted first: repeats are retransmissions
-    per_segment = rows.groupBy(
-        *flow, "_head", F.when(segment == 1, fwd).alias("_d"), F.when(segment == 1, F.col("seq")).alias("_q"),
-        F.when(segment == 1, F.col("payload_len")).alias("_l"),
-    ).agg(
-        F.min("ts").alias("lo"), F.max("ts").alias("hi"),
-        F.count(F.when(fwd, 1)).alias("fp"), F.count(F.when(~fwd, 1)).alias("bp"),
-        F.sum(F.when(fwd, size).otherwise(0.0)).alias("fb"), F.sum(F.when(~fwd, size).otherwise(0.0)).alias("bb"),
-        F.sum(size * size).alias("s2"), F.min(size).alias("smin"), F.max(size).alias("smax"),
-        F.sum("_iat").alias("i1"), F.count("_iat").alias("ic"), F.sum(F.col("_iat") * F.col("_iat")).alias("i2"),
-        F.sum(F.col("ttl").cast("double")).alias("t1"), F.count("ttl").alias("tc"),
-        F.sum(F.col("ttl").cast("double") * F.col("ttl")).alias("t2"),
+    window = lambda side: F.min(F.when(side & F.col("window").isNotNull(), F.struct(*ORDER, "window")))
+    total = F.count(F.lit(1)).cast("double")
+    found = rows.groupBy(*flow).agg(
+        F.min(F.struct(*ORDER, "sport", "dst", "dport", "from_a")).alias("_head"),
+        F.min("ts").alias("_t"),
+        (F.max("ts") - F.min("ts")).alias("flow_duration"),
+        total.alias("packet_count"),
+        F.sum(size).alias("byte_count"),
+        F.count_if(a).cast("double").alias("_pa"),
+        F.coalesce(F.sum(F.when(a, size)), F.lit(0.0)).alias("_ba"),
+        F.avg(size).alias("packet_size_mean"),
+        F.coalesce(F.stddev_samp(size), F.lit(0.0)).alias("packet_size_std"),
+        F.min(size).alias("packet_size_min"),
+        F.max(size).alias("packet_size_max"),
+        F.coalesce(F.avg("_iat"), F.lit(0.0)).alias("inter_arrival_mean"),
+        F.coalesce(F.stddev_samp("_iat"), F.lit(0.0)).alias("inter_arrival_std"),
         *[F.sum(F.contains(flags, F.lit(x)).cast("double")).alias(f"{n}_count") for n, x in FLAG_LETTERS.items()],
-        F.min(F.when(fwd & F.col("window").isNotNull(), F.struct(rank.alias("r"), "window"))).alias("w"),
-        F.greatest(F.count(segment) - 1, F.lit(0)).alias("again"),
+        window(a).alias("_wa"), window(~a).alias("_wb"),
+        F.avg("ttl").alias("ttl_mean"),
+        F.when(F.count("ttl") > 0, F.coalesce(F.stddev_samp("ttl"), F.lit(0.0))).alias("ttl_std"),
     )
-
-    def std(n, s1, s2):
-        """Sample deviation from moments: 0 for one value, NULL for none."""
-        var = (F.sum(s2) - F.sum(s1) * F.sum(s1) / F.sum(n)) / (F.sum(n) - 1)
-        return F.when(F.sum(n) > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).when(F.sum(n) == 1, 0.0)
-
-    n, s1 = F.col("fp") + F.col("bp"), F.col("fb") + F.col("bb")
-    total = F.sum(n).cast("double")
-    flows = per_segment.groupBy(*flow, "_head").agg(
-        F.min("lo").alias("_t"),
-        (F.max("hi") - F.min("lo")).alias("flow_duration"),
-        total.alias("packet_count"),
-        F.sum(s1).alias("byte_count"),
-        F.sum("fp").cast("double").alias("fwd_packet_count"),
-        F.sum("bp").cast("double").alias("bwd_packet_count"),
-        F.sum("fb").alias("fwd_byte_count"),
-        F.sum("bb").alias("bwd_byte_count"),
-        (F.sum(s1) / total).alias("packet_size_mean"),
-        std(n, s1, F.col("s2")).alias("packet_size_std"),
-        F.min("smin").alias("packet_size_min"),
-        F.max("smax").alias("packet_size_max"),
-        F.coalesce(F.sum("i1") / F.nullif(F.sum("ic"), F.lit(0)), F.lit(0.0)).alias("inter_arrival_mean"),
-        F.coalesce(std(F.col("ic"), F.col("i1"), F.col("i2")), F.lit(0.0)).alias("inter_arrival_std"),
-        *[F.sum(f"{x}_count").alias(f"{x}_count") for x in FLAG_LETTERS],
-        F.min("w").alias("_w"),
-        (F.sum("t1") / F.nullif(F.sum("tc"), F.lit(0))).alias("ttl_mean"),
-        std(F.col("tc"), F.col("t1"), F.col("t2")).alias("ttl_std"),
-        F.sum("again").cast("double").alias("_again"),
-    )
+    # equal (side, seq, length) segments are counted first: repeats are retransmissions
+    segments = rows.filter((F.col("proto") == 6) & (F.col("payload_len") > 0) & F.col("seq").isNotNull())
+    segments = segments.groupBy(*flow, "from_a", "seq", "payload_len").agg((F.count(F.lit(1)) - 1).alias("_more"))
+    again = segments.groupBy(*flow).agg(F.sum("_more").cast("double").alias("_again"))
+    flows = join_keys(found, again, flow, "left")
+    forward = F.col("_head.from_a")
+    of_side = lambda x, y: F.when(forward, x).otherwise(y)
+    packets_b, bytes_b = F.col("packet_count") - F.col("_pa"), F.col("byte_count") - F.col("_ba")
+    made = (*flow, "_head", "_t", "_wa", "_wb", "_again", "_pa", "_ba")
     out = flows.select(
         F.timestamp_micros(F.round(F.col("_t") * 1e6).cast("bigint")).alias("timestamp"),
         F.col("_head.src").alias("source_ip"),
@@ -228,9 +174,13 @@ def packets_to_flows(packets: DataFrame, idle_timeout: float = 120.0, active_tim
         F.col("_head.dport").alias("destination_port"),
         protocol_name(F.col("proto"), "packets").alias("protocol"),
         F.lit(UNLABELED).alias("dataset_label"),
-        F.col("_w.window").cast("double").alias("tcp_window_size"),
-        F.when(F.col("proto") == 6, F.col("_again")).alias("retransmission_count"),
-        *[c for c in flows.columns if c not in (*flow, "_head", "_t", "_w", "_again")],
+        of_side(F.col("_wa.window"), F.col("_wb.window")).cast("double").alias("tcp_window_size"),
+        F.when(F.col("proto") == 6, F.coalesce("_again", F.lit(0.0))).alias("retransmission_count"),
+        of_side(F.col("_pa"), packets_b).alias("fwd_packet_count"),
+        of_side(packets_b, F.col("_pa")).alias("bwd_packet_count"),
+        of_side(F.col("_ba"), bytes_b).alias("fwd_byte_count"),
+        of_side(bytes_b, F.col("_ba")).alias("bwd_byte_count"),
+        *[c for c in flows.columns if c not in made],
         F.lit("pcap").alias("source_dataset"),
     )
     return coerce_flows(out)

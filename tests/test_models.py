@@ -162,6 +162,6 @@ def test_all_model_inputs_are_reported(spark, sf):
     from flowhorizon.catalog import load
     from flowhorizon.catalog.evaluation_queries import MODEL_PRESENT
 
-    names = {r["name"] for r in load()[0]["robust_params_all"](spark, sf).collect()}
-    errors = {(r.horizon, r.feature) for r in load()[0]["persistence_error_all"](spark, sf).collect()}
+    names = {r["name"] for r in load()[0]["robust_params"](spark, sf).collect()}
+    errors = {(r.horizon, r.feature) for r in load()[0]["persistence_error"](spark, sf).collect()}
     assert names == set(MODEL_PRESENT) and errors == {(h, n) for h in (1, 2, 3) for n in MODEL_PRESENT}

@@ -1,3 +1,4 @@
+import math
 import random
 from collections import defaultdict
 
@@ -6,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowhorizon.plans.intervals import interval_join
-from flowhorizon.plans.quantiles import exact_quantiles, grid_quantiles
+from flowhorizon.plans.quantiles import exact_quantiles, grid_quantiles, ordered_key, select_ranks
 from flowhorizon.plans.scan import row_index, running, spread_small, with_halo
+from flowhorizon.plans.segments import FOREVER, first_at, pieces
 
 
 @pytest.fixture(scope="module")
@@ -85,10 +87,11 @@ def test_exact_quantiles(spark):
     rows = [(g, float(v)) for g, vs in data.items() for v in vs] + [("a", None)]
     df = spark.createDataFrame(rows, "g string, v double").repartition(5)
     fractions = [0.0, 0.1, 0.25, 0.5, 0.9, 0.999, 1.0]
-    for accuracy in (10000, 50):  # a coarse sketch must not change the result
-        for r in exact_quantiles(df, "v", fractions, ["g"], accuracy).collect():
-            assert r["quantile"] == pytest.approx(np.quantile(data[r["g"]], r["fraction"]), abs=1e-12)
-            assert r["n"] == len(data[r["g"]])
+    got = exact_quantiles(df, "v", fractions, ["g"]).collect()
+    assert len(got) == 3 * len(fractions)
+    for r in got:
+        assert r["quantile"] == pytest.approx(np.quantile(data[r["g"]], r["fraction"]), abs=1e-12)
+        assert r["n"] == len(data[r["g"]])
     tiny = spark.createDataFrame([("t", float(v)) for v in (1, 2, 2.5, 2.5, 2.5, 3, 10)], "g string, v double")
     r = {x["fraction"]: x["quantile"] for x in exact_quantiles(tiny, "v", [0.25, 0.75], ["g"]).collect()}
     assert r == {0.25: 2.25, 0.75: 2.75}
@@ -96,6 +99,60 @@ def test_exact_quantiles(spark):
     assert got == pytest.approx(list(np.quantile(data["b"], [0.3, 0.5])))
 
 
+def test_ordered_key_is_in_the_order_of_doubles(spark):
+    rng = np.random.default_rng(3)
+    x = np.frombuffer(rng.bytes(8 * 3000), np.float64)
+    powers = [s * 2.0**e * f for e in (-1074, -1073, -1023, -1022, -1, 0, 1, 52, 53, 1022, 1023) for f in (1.0, 1 + 2**-52, 1.5) for s in (1, -1)]
+    values = [*x[np.isfinite(x)].tolist(), *powers, 0.0, 1.7976931348623157e308, 5e-324, float("inf"), -float("inf"), 2.0, 1.9999999999999998]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").withColumn("k", ordered_key(F.col("v"))).collect()
+    bits = lambda v: np.float64(v).view(np.int64)
+    for r in rows:
+        assert r["k"] == (bits(r["v"]) if r["v"] >= 0 else -bits(-r["v"]))
+    nan = spark.createDataFrame([(float("nan"),), (-0.0,), (None,)], "v double").select(ordered_key(F.col("v"))).collect()
+    assert [r[0] for r in nan][:2] == [(1 << 63) - 1, 0]
+
+
+def test_ranks_count_what_is_below_and_equal(spark):
+    df = spark.createDataFrame([("t", v) for v in (3.0, 1.0, 3.0, float("nan"), 3.0, -2.0)] + [(None, 5.0)], "g string, v double")
+    ranks = spark.createDataFrame([("t", 0), ("t", 2), ("t", 4), ("t", 5), ("t", 6), (None, 0)], "g string, rank bigint")
+    got = {(r["g"], r["rank"]): (r["value"], r["below"], r["equal"]) for r in select_ranks(df, "v", ranks, ["g"]).collect()}
+    assert math.isnan(got.pop(("t", 5))[0])
+    assert got == {("t", 0): (-2.0, 0, 1), ("t", 2): (3.0, 2, 3), ("t", 4): (3.0, 2, 3), (None, 0): (5.0, 0, 1)}
+
+
+def first_by_hand(points, rules):
+    out = {}
+    for key, t in points:
+        held = [o for o, k, s, e in rules if k == key and s <= t and (e is None or t <= e)]
+        if held:
+            out[key, t] = min(held)
+    return out
+
+
+def test_segment_tree_first_match(spark):
+    """One key with ten thousand rules, many of them open, and keys with few; every point by hand."""
+    rng = np.random.default_rng(8)
+    rules = [(int(o), "hot", int(s), None if o % 3 == 0 else int(s + rng.integers(0, 50))) for o, s in enumerate(rng.integers(0, 5000, 10_000))]
+    rules += [(20_000 + o, k, int(s), int(s + n)) for o, (k, s, n) in enumerate(zip("ab" * 20, rng.integers(0, 300, 40), rng.integers(-3, 60, 40)))]
+    rng.shuffle(rules)
+    rules = [(int(o), k, int(s), None if e is None else int(e)) for o, k, s, e in rules]
+    points = {(k, int(t)) for k, t in zip(["hot"] * 400 + ["a", "b", "none"] * 100, rng.integers(-20, 5100, 700))} | {(None, 5)}
+    ruled = spark.createDataFrame(rules, "o int, k string, s bigint, e bigint").withColumn("e", F.coalesce("e", F.lit(FOREVER)))
+    ruled = ruled.withColumn("rule", F.struct("o"))
+    asked = spark.createDataFrame(sorted(points, key=str), "k string, t bigint")
+    found = pieces(ruled, ["k"], "s", "e", "rule", "o")
+    bounds = {(k, x) for _, k, s, e in rules if e is None or e >= s for x in (s, (FOREVER if e is None else e) + 1)}
+    assert found.count() == len(bounds)  # one row per bound, not per covering rule
+    got = {(r["k"], r["t"]): r["_hit"]["o"] for r in first_at(asked, found, ["k"], "t").collect()}
+    assert got == first_by_hand(points, rules)
+
+
+def test_segment_tree_of_nothing(spark):
+    ruled = spark.createDataFrame([], "o int, k string, s bigint, e bigint").withColumn("rule", F.struct("o"))
+    asked = spark.createDataFrame([("a", 1)], "k string, t bigint")
+    assert first_at(asked, pieces(ruled, ["k"], "s", "e", "rule", "o"), ["k"], "t").count() == 0
+
+
 def test_spread_small(spark):
     df = spark.range(100).coalesce(1)
     assert spread_small(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism

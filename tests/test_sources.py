@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from flowhorizon.functions.lookups import label_table
 from flowhorizon.operators import joins
+from flowhorizon.plans import jumps
 from flowhorizon.sinks import tables
 from flowhorizon.sources import argus, authlog, ecar, flowmeter, packets, push, records
 
@@ -226,7 +227,10 @@ def walked(rows, idle, active):
     return con.execute(WALK.format(idle=idle, active=active)).fetchall()
 
 
-def test_random_packets_match_the_recursive_query(spark):
+@pytest.mark.parametrize("block", [16_384, 4])
+def test_random_packets_match_the_recursive_query(spark, monkeypatch, block):
+    """Every conversation in blocks: with four packets a block none is seen whole by a task."""
+    monkeypatch.setattr(jumps, "BLOCK", block)
     rng = random.Random(11)
     rows, t = [], T
     for _ in range(900):
@@ -241,6 +245,31 @@ def test_random_packets_match_the_recursive_query(spark):
     assert mine == walked(rows, 400, 900)
 
 
+def orbit(jumps_of_key):
+    out, i = [], 0
+    while i < len(jumps_of_key):
+        out.append(i)
+        i = jumps_of_key[i]
+    return out
+
+
+@pytest.mark.parametrize("block", [1, 3, 8, 1000])
+def test_jumps_composed_over_blocks(spark, monkeypatch, block):
+    """One key with most rows, one row keys, jumps of one row and over many blocks."""
+    monkeypatch.setattr(jumps, "GROUP", 50)
+    rng = random.Random(block)
+    keys = {"hot": 333, "one": 1, None: 40, "even": 64, "b": 7}
+    to = {k: [min(n, i + rng.choice([1, 1, 2, 5, 40])) for i in range(n)] for k, n in keys.items()}
+    rows = [(k, 1, i, j) for k, xs in to.items() for i, j in enumerate(xs)]
+    df = spark.createDataFrame(rows, "k string, p int, _i bigint, _next bigint").repartition(5)
+    got = jumps.reached(df, ["k", "p"], block).collect()
+    assert sorted((str(r["k"]), r["_i"]) for r in got) == sorted((str(k), i) for k, xs in to.items() for i in orbit(xs))
+
+
+def test_jumps_of_nothing(spark):
+    assert jumps.reached(spark.createDataFrame([], "k string, _i bigint, _next bigint"), ["k"]).count() == 0
+
+
 def test_interval_rules(spark):
     flows = packets.packets_to_flows(spark.createDataFrame(segments(T, 0.1, CHAT) + segments(T + 10, 0.1, CHAT), packets.PACKET_DDL))
     rules = spark.createDataFrame(
@@ -251,8 +280,8 @@ def test_interval_rules(spark):
     table = label_table(spark, "cic_ids2017")
     out = joins.interval_labels(flows, rules, table).orderBy("timestamp").collect()
     assert [r["dataset_label"] for r in out] == ["BENIGN", "PortScan"] and out[1]["attack_stage"] == "Reconnaissance"
-    with pytest.raises(ValueError):
-        joins.interval_labels(flows, rules.withColumn("label", F.lit("Teleport")), table)
+    with pytest.raises(Exception, match="no mapping: Teleport"):
+        joins.interval_labels(flows, rules.withColumn("label", F.lit("Teleport")), table).collect()
     assert joins.unknown_rule_labels(rules.withColumn("label", F.lit("Teleport")), table).first()[0] == "Teleport"
 
 
