@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 DIM = 1024
 SLICE_CHARS = 400_000
+GRAMS = 4096  # different trigrams whose vectors are held at once
 UNKNOWN = "und"
 
 
@@ -28,7 +29,7 @@ def letter_vector(code: int) -> np.ndarray:
 
 
 class Encoder:
-    """Trigram counts of texts, and the vectors of the trigrams that occur in a slice of them."""
+    """Bundles of texts."""
 
     def __init__(self):
         self.letters: dict[int, np.ndarray] = {}
@@ -40,33 +41,64 @@ class Encoder:
                 self.letters[c] = letter_vector(c)
         return np.stack([self.letters[c] for c in codes.tolist()])
 
-    def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """texts x trigrams counts, trigram vectors, and which texts have a letter."""
-        low = [" " + t.lower() + " " for t in texts]
-        codes = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        doc = np.repeat(np.arange(len(low)), [len(t) for t in low])
+    def letters_of(self, text: str, after_mark: bool = False):
+        """Code points with every run of other characters as one blank, which of the raw ones are letters, and which
+        raw ones are kept; after a mark, leading others belong to that run."""
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         met = np.flatnonzero(np.bincount(codes, minlength=1))
         for c in met[self.is_letter[met] < 0].tolist():
             self.is_letter[c] = chr(c).isalpha()
         letter = self.is_letter[codes] == 1
-        keep = letter | np.append(True, letter[:-1])  # the first of every run of other characters
+        keep = letter | np.append(not after_mark, letter[:-1])  # the first of every run of other characters
+        return np.where(letter, codes, 32), letter, keep
+
+    def bundles(self, texts: list[str], rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Sum of the trigram vectors of each text, exact whole numbers, and which texts have a letter. Texts of one of
+        ``rows`` are summed into that row. A long text is read in pieces that carry on the last two letters."""
+        rows = np.arange(len(texts)) if rows is None else rows
+        total, some = np.zeros((int(rows.max()) + 1 if len(rows) else 0, DIM)), np.zeros(len(texts), bool)
+        if len(texts) == 1 and len(texts[0]) > SLICE_CHARS:
+            low = f" {texts[0].lower()} "
+            carry, after = np.zeros(0, np.int64), False
+            for at in range(0, len(low), SLICE_CHARS):
+                codes, letter, keep = self.letters_of(low[at : at + SLICE_CHARS], after)
+                run = np.concatenate([carry, codes[keep]])
+                self.add(total, run[:-2], run[1:-1], run[2:], np.full(max(0, len(run) - 2), rows[0]))
+                carry, after, some[0] = run[-2:], not letter[-1], some[0] or letter.any()
+            return total, some
+        low = [f" {t.lower()} " for t in texts]
+        codes, letter, keep = self.letters_of("".join(low))
+        doc = np.repeat(np.arange(len(low)), [len(t) for t in low])
         keep |= np.append(True, doc[1:] != doc[:-1])
-        codes, doc, letter = np.where(letter, codes, 32)[keep], doc[keep], letter[keep]
         some = np.bincount(doc[letter], minlength=len(low)) > 0
-        alphabet = np.flatnonzero(np.bincount(codes, minlength=33))
-        small = np.zeros(int(alphabet[-1]) + 1 if len(alphabet) else 1, np.int64)
-        small[alphabet] = np.arange(len(alphabet))
-        n, k = small[codes], len(alphabet)
-        gram = (n[:-2] * k + n[1:-1]) * k + n[2:]
+        codes, doc = codes[keep], doc[keep]
         inside = doc[:-2] == doc[2:]
-        gram, doc = gram[inside], doc[:-2][inside]
+        self.add(total, codes[:-2][inside], codes[1:-1][inside], codes[2:][inside], rows[doc[:-2][inside]])
+        return total, some
+
+    def add(self, total: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, row: np.ndarray) -> None:
+        """Add trigrams (a, b, c) to their rows, in blocks of different trigrams, so that memory does not grow with their
+        number. A block's sums are below 2 ** 24 and thus exact in single precision."""
+        if not len(a):
+            return
+        alphabet = np.flatnonzero(np.bincount(np.concatenate([a, b[-1:], c[-1:]])))
+        small = np.zeros(int(alphabet[-1]) + 1, np.int64)
+        small[alphabet] = np.arange(len(alphabet))
+        k, v = len(alphabet), self.vectors(alphabet)
+        gram = (small[a] * k + small[b]) * k + small[c]
         grams, at = np.unique(gram, return_inverse=True) if k**3 > 5_000_000 else self.dense(gram, k**3)
-        counts = np.bincount(doc * len(grams) + at, minlength=len(low) * len(grams)).reshape(len(low), len(grams))
-        if not len(grams):
-            return counts, np.zeros((0, DIM), np.int8), some
-        v = self.vectors(alphabet)
-        bound = np.roll(v, 2, axis=1)[grams // (k * k)] * np.roll(v, 1, axis=1)[grams // k % k] * v[grams % k]
-        return counts, bound, some
+        if len(grams) <= GRAMS:
+            blocks = [(0, slice(None))]
+        else:
+            order = np.argsort(at, kind="stable")
+            at, row = at[order], row[order]
+            edges = np.searchsorted(at, range(0, len(grams) + GRAMS, GRAMS))
+            blocks = [(i * GRAMS, slice(lo, hi)) for i, (lo, hi) in enumerate(zip(edges, edges[1:]))]
+        for first, part in blocks:
+            own = grams[first : first + GRAMS]
+            bound = np.roll(v, 2, axis=1)[own // (k * k)] * np.roll(v, 1, axis=1)[own // k % k] * v[own % k]
+            counts = np.bincount(row[part] * len(own) + at[part] - first, minlength=len(total) * len(own))
+            total += counts.reshape(len(total), len(own)).astype(np.float32) @ bound.astype(np.float32)
 
     @staticmethod
     def dense(gram: np.ndarray, size: int):
@@ -98,10 +130,10 @@ def prototypes(docs: DataFrame) -> dict[str, np.ndarray]:
         for batch in batches:
             texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
             for lo, hi in slices(texts):
-                counts, bound, _ = enc.counts(texts[lo:hi])
-                for lang in set(langs[lo:hi]):
-                    own = counts[[i for i in range(hi - lo) if langs[lo + i] == lang]].sum(axis=0)
-                    sums[lang] = sums.get(lang, 0) + own @ bound.astype(np.int64)
+                own, rows = np.unique(np.array(langs[lo:hi], object), return_inverse=True)
+                total, _ = enc.bundles(texts[lo:hi], rows)
+                for lang, v in zip(own.tolist(), total):
+                    sums[lang] = sums.get(lang, 0) + v.astype(np.int64)
         names = sorted(sums)
         yield pa.RecordBatch.from_arrays(
             [pa.array(names, pa.string()), pa.array([sums[n].tolist() for n in names], pa.list_(pa.int64()))], ["lang", "v"]
@@ -120,7 +152,6 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], keep: list[str])
     """``keep`` columns of every row with lang_pred and score."""
     names = sorted(n for n, v in profiles.items() if np.any(v))
     unit = np.stack([profiles[n] / np.linalg.norm(profiles[n]) for n in names], axis=1) if names else np.zeros((DIM, 0))
-    unit = unit.astype(np.float32)
 
     def predict(batches):
         import pyarrow as pa
@@ -130,8 +161,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], keep: list[str])
             texts = [t or "" for t in batch.column("text").to_pylist()]
             langs, scores = [], []
             for lo, hi in slices(texts):
-                counts, bound, some = enc.counts(texts[lo:hi])
-                vec = counts.astype(np.float32) @ bound.astype(np.float32)
+                vec, some = enc.bundles(texts[lo:hi])
                 size = np.linalg.norm(vec, axis=1)
                 cos = (vec @ unit) / np.maximum(size, 1e-9)[:, None]
                 for i in range(hi - lo):
