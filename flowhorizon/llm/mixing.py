@@ -7,8 +7,8 @@ fraction, the documents that come first in a seeded random order of the source,
 differ from the target by at most half a document.
 
 Defined results: a null text has no words; a null source is a source of its own and comes last; sources
-without words have target 0; rows that repeat one id share its random number, so they are taken alike; an
-empty table gives an empty result. Columns of the input other than the named ones are carried through.
+without words have target 0; the order of rows that repeat one id follows their texts, and equal rows are
+numbered, so that a repeated id is spread like any other; an empty table gives an empty result. Columns of the input other than the named ones are carried through.
 """
 
 from __future__ import annotations
@@ -23,12 +23,41 @@ MAX_EPOCHS = 2
 SEED = 17
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Add ``_nth``, the number of a row among those of equal ``_same``, from 0.
+
+    Most rows are alone and are not moved. The others are counted per partition of a stored table first, so that the
+    rows of one ``_same``, however many, are numbered in the partitions in which they lie.
+    """
+    many = stored(rows.groupBy("_same").agg(F.count("*").alias("_n")).filter("_n > 1").select("_same"), "mix-repeats")
+    if many.isEmpty():
+        return rows.withColumn("_nth", F.lit(0).cast("bigint"))
+    single = rows.join(many, "_same", "left_anti").withColumn("_nth", F.lit(0).cast("bigint"))
+    again = stored(rows.join(many, "_same", "left_semi").withColumn("_part", F.spark_partition_id()), "mix-repeated")
+    counts = again.groupBy("_same", "_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("_same").orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    counts = counts.select("_same", "_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = again.withColumn("_row", F.row_number().over(W.partitionBy("_same", "_part").orderBy("_same")))
+    nth = inside.join(counts, ["_same", "_part"]).withColumn("_nth", F.col("_before") + F.col("_row") - 1)
+    return single.unionByName(nth.select(*single.columns))
+
+
+def ordered(rows: DataFrame, seed: int) -> DataFrame:
+    """Rows with ``_u``, a random order by ``_id``, ``_md5`` of the text and number among equal rows; it tells all rows of
+    a source apart."""
+    name = F.concat(F.coalesce(F.col("_id").cast("string"), F.lit("null")), F.lit(":"), F.col("_md5"))
+    told = numbered(rows.withColumn("_same", F.struct(name.alias("n"), F.col("_source").alias("s"))))
+    u = F.md5(F.concat(F.lit(f"{seed}:"), F.col("_same.n"), F.lit(":"), F.col("_nth").cast("string")))
+    return told.withColumn("_u", u).drop("_same", "_nth", "_md5")
+
+
 def with_sizes(docs: DataFrame, id_col: str, source: str, text: str, seed: int) -> DataFrame:
-    """Narrow rows: source, words, and the random order ``u`` of the id."""
-    u = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    return docs.select(
-        F.col(id_col).alias("_id"), F.col(source).alias("_source"), word_count(F.col(text)).alias("_size"), u.alias("_u")
-    )
+    """Narrow rows: id, source, words, and the random order ``_u``."""
+    own = docs.select(
+        F.col(f"`{id_col}`").alias("_id"), F.col(f"`{source}`").alias("_source"), word_count(F.col(f"`{text}`")).alias("_size"),
+        F.md5(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("_md5"),
+    )
+    return ordered(stored(own, "mix-sizes"), seed)
 
 
 def weigh_sources(rows: DataFrame, weights=WEIGHTS) -> DataFrame:
@@ -141,7 +170,9 @@ def mix(docs: DataFrame, id_col="doc_id", source="source", text="text", seed=SEE
     """The mixed table itself: every document as often as it is taken, with all its columns."""
     _, plan = mix_plan(docs, id_col, source, text, seed=seed, **options)
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
-    u = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"_doc.`{id_col}`").cast("string"), F.lit("null"))))
-    rows = own.withColumns({"_source": F.col(f"_doc.`{source}`"), "_u": u})
-    taken = repetitions(rows, plan).filter(F.col("_copies") > 0)
+    rows = own.select(
+        "_doc", F.col(f"_doc.`{id_col}`").alias("_id"), F.col(f"_doc.`{source}`").alias("_source"),
+        F.md5(F.coalesce(F.col(f"_doc.`{text}`"), F.lit(""))).alias("_md5"),
+    )
+    taken = repetitions(ordered(rows, seed), plan).filter(F.col("_copies") > 0)
     return taken.select(F.explode(F.array_repeat("_doc", F.col("_copies").cast("int"))).alias("_doc")).select("_doc.*")
