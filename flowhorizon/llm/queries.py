@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import decontamination, divergence, languages, lines, mixing, order_minhash, pitman_yor, pivots, secret_scan, tokenization, toxicity, urls, vertical_scan
-from .common import fold
+from .common import fold, stored
 from ..session import tune
-from .sql import DIVERGENCE_SQL, LINES_BY_RATIO_SQL, LINES_SQL, MIXING_SQL, NEGATIVES_SQL
+from .sql import DIVERGENCE_SQL, LINES_SQL, MIXING_SQL, NEGATIVES_SQL
 
 QUERIES, ORACLES = {}, {}
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -38,13 +38,7 @@ def page_lines(spark, sf):
 @query("op6_line_dedup", LINES_SQL)
 def line_dedup(spark, sf):
     """Visible lines of every page without the boilerplate of its host."""
-    return lines.drop_boilerplate(page_lines(spark, sf), "host", "text", counts=True)
-
-
-@query("op6_line_dedup_by_ratio", LINES_BY_RATIO_SQL)
-def line_dedup_by_ratio(spark, sf):
-    """The same by the ratio alone, of lines on at least two pages, so that small hosts lose theirs too."""
-    return lines.drop_boilerplate(page_lines(spark, sf), "host", "text", min_pages=2, counts=True)
+    return lines.drop_boilerplate(stored(page_lines(spark, sf), "page-lines"), "host", "text", counts=True)
 
 
 @query("op10_mixing", MIXING_SQL)

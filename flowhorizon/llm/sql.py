@@ -13,7 +13,7 @@ l AS (SELECT page_id, host, unnest(list_distinct(list_filter(list_transform(stri
 c AS (SELECT host, line, count(*) AS n FROM l GROUP BY host, line),
 t AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
 d AS (SELECT c.host, list(line) AS drops FROM c JOIN t ON c.host IS NOT DISTINCT FROM t.host
-      WHERE n >= 5 AND n / pages > 0.1 GROUP BY c.host),
+      WHERE n > 1 AND n / pages > 0.1 GROUP BY c.host),
 j AS (SELECT p.*, coalesce(drops, []) AS drops, string_split(text, chr(10)) AS parts
       FROM p LEFT JOIN d ON p.host IS NOT DISTINCT FROM d.host)
 SELECT page_id, host, array_to_string(list_filter(parts, lambda x: NOT list_contains(drops, trim(x))), chr(10)) AS text,
@@ -23,15 +23,12 @@ FROM j
 """
 
 
-#: the ratio decides; a line on one page is no boilerplate
-LINES_BY_RATIO_SQL = LINES_SQL.replace("n >= 5 AND", "n >= 2 AND")
-
-
 def mixing_sql(documents: str = "documents") -> str:
     """Closed form: sources by limit over weight; the level is the first that leaves all later ones below theirs."""
     return rf"""
 WITH r AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-    md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS u FROM {documents}),
+    md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, '')) || ':' ||
+      (row_number() OVER (PARTITION BY doc_id, source, coalesce(text, '')) - 1)) AS u FROM {documents}),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM r GROUP BY source),
 w AS (SELECT *, CASE (k - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS weight, source_size * 2.0::DOUBLE AS cap FROM s),
 o AS (SELECT *, coalesce(sum(cap) OVER before, 0) AS capped, sum(weight) OVER (ORDER BY cap / weight DESC, k DESC) AS open,
