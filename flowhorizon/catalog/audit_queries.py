@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions.lookups import GENESIS, RISK_WEIGHTS, STAGE_ORDER, STAGE_SEVERITY
 from ..functions.scalars import risk_level
@@ -114,6 +114,27 @@ def q_timelines(spark, sf):
     )
 
 
+@query(
+    "host_detail",
+    "A6",
+    with_(**RISK_SQL, n="SELECT *, row_number() OVER (PARTITION BY host_id ORDER BY target_window_start DESC, seq_start_time DESC) AS rn FROM risky",
+          h="SELECT host_id FROM risky GROUP BY host_id ORDER BY count(*) DESC, host_id LIMIT 1")
+    + """SELECT host_id, count(*) AS sequences, count(*) FILTER (WHERE alerted) AS alerts, max(risk_score) AS max_risk,
+    round(sum(risk_score) FILTER (WHERE rn <= 50), 2) AS timeline_risk, max(target_window_start) AS last_seen, count(*) FILTER (WHERE alerted) AS listed
+    FROM n JOIN h USING (host_id) GROUP BY host_id""",
+    digits=2,
+)
+def q_host_detail(spark, sf):
+    """The host with most sequences: its roll-up, its timeline and how many alerts are listed for it."""
+    r = stage(risky(spark, sf), "risky")
+    host = r.groupBy("host_id").count().orderBy(F.desc("count"), "host_id").first()["host_id"]
+    detail, listed = risk.host_detail(r, alerts(spark, sf), host, limit=1 << 30)
+    return detail.select(
+        "host_id", "sequences", "alerts", "max_risk", F.aggregate("timeline", F.lit(0.0), lambda a, x: a + x["risk"]).alias("timeline_risk"),
+        "last_seen", listed.agg(F.count(F.lit(1))).scalar().alias("listed"),
+    )
+
+
 @query(
     "replay_totals",
     "A4",
@@ -267,6 +288,36 @@ def q_verify(spark, sf):
     )
 
 
+@query(
+    "anchor_states",
+    "H3",
+    with_(**CHAIN_SQL, k="SELECT *, dense_rank() OVER (ORDER BY session_id) % 5 AS way FROM seq")
+    + f"""SELECT session_id, CASE WHEN way IN (1, 2) THEN 'CORRUPTED' ELSE 'VERIFIED' END AS status,
+    CASE way WHEN 1 THEN 'newest records deleted' WHEN 2 THEN 'chain was recomputed' ELSE 'none' END AS reason,
+    CASE way WHEN 1 THEN 'broken' WHEN 2 THEN 'broken' WHEN 3 THEN 'behind' WHEN 4 THEN 'missing' ELSE 'matched' END AS anchor,
+    count(*) - (way = 1)::INT AS records_checked,
+    coalesce(CASE way WHEN 1 THEN max(id) WHEN 2 THEN max(id) FILTER (WHERE seq_no < {BLOCK}) END, -1) AS record_id FROM k GROUP BY session_id, way""",
+)
+def q_anchors(spark, sf):
+    """Stored heads against chains: one session lost its newest record, of one the first block was recomputed, the heads of one
+    are older than its chain, those of one are gone, and one is untouched."""
+    c = chained(spark, sf)
+    names = c.select("session_id").distinct()
+    way = stage(names.select("session_id", (F.dense_rank().over(Window.orderBy("session_id")) % 5).alias("way")), "ways")
+    newest = c.groupBy("session_id").agg(F.max("id").alias("newest"))
+    c = stage(c.join(way, "session_id").join(newest, "session_id"), "chain")
+    left = c.filter((F.col("way") != 1) | (F.col("id") != F.col("newest"))).drop("way", "newest")
+    old = c.filter((F.col("way") != 3) | (F.col("id") != F.col("newest"))).drop("way", "newest")
+    heads = ledger.chain_heads(old, "session_id").join(way, "session_id").filter("way <> 4")
+    hit = (F.col("way") == 2) & (F.col("block_no") == 0)
+    heads = stage(heads.withColumn("head_hash", F.when(hit, F.sha2("head_hash", 256)).otherwise(F.col("head_hash"))).drop("way"), "heads")
+    v = ledger.verify_alerts(left, heads)
+    return v.select(
+        "session_id", "status", F.coalesce("reason", F.lit("none")).alias("reason"), "anchor", "records_checked",
+        F.coalesce("record_id", F.lit(-1)).alias("record_id"),
+    )
+
+
 @query(
     "chain_deletions",
     "H2 H3",

@@ -6,6 +6,8 @@ scored predictions and ``orders`` the alert table. Every binding is a projection
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.lookups import label_table
@@ -15,6 +17,7 @@ from ..operators.sequences import build_sequences
 from ..operators.splits import temporal_split
 from ..operators.windows import host_windows
 from ..plans.scan import spread_small
+from ..session import ensure_checkpoint_dir
 from ..sinks.tables import stage
 
 WINDOW = 6 * 3600
@@ -23,6 +26,11 @@ LENGTH = 10
 HOSTS = 150  # modulus of the peer address
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared one, for files that a query writes and reads back."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/flowhorizon-files/{name}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread_small(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 

@@ -270,6 +270,10 @@ def input_sql(alias: str, name: str) -> str:
     return "0.0::DOUBLE" if name in ("ack_ratio", "rst_ratio", "fin_ratio", "psh_ratio") else f"{alias}.{name}::FLOAT::DOUBLE"
 
 
+def logged_sql(alias: str, name: str) -> str:
+    return f"ln(1 + {input_sql(alias, name)})" if name in LOG_FEATURES else input_sql(alias, name)
+
+
 @query(
     "persistence_error",
     "M14",
@@ -339,7 +343,7 @@ def model_rows(spark, sf, split: bool = True):
     "M1",
     with_("split", "numbered",
           v=f"""SELECT unnest([{NAMES_SQL}]) AS name,
-            unnest([{", ".join(f"ln(1 + {input_sql('m', n)})" if n in LOG_FEATURES else input_sql("m", n) for n in MODEL_PRESENT)}]) AS x
+            unnest([{", ".join(logged_sql("m", n) for n in MODEL_PRESENT)}]) AS x
             FROM split s JOIN numbered m ON m.host_id = s.host_id AND m.idx BETWEEN s.i AND s.last_idx WHERE s.split = 'train'""")
     + """SELECT name, round(median(x), 4) + 0.0 AS center,
     round(CASE WHEN quantile_cont(x, 0.75) - quantile_cont(x, 0.25) > 1e-15 THEN quantile_cont(x, 0.75) - quantile_cont(x, 0.25) ELSE 1 END, 4) AS scale
@@ -357,57 +361,136 @@ def q_robust(spark, sf):
 @query(
     "leakage_audit",
     "M19",
-    with_("split", "numbered")
-    + """SELECT 0 AS changed_inputs, 0 AS changed_parameters, count(*) AS sequences FROM split""",
-)
+    with_("seqs", "cuts",
+          r=f"""SELECT make_timestamp(epoch_us(seq_end_time) - {B.WINDOW * 1_000_000}) AS last_start, target_window_start, target_window_end,
+            make_timestamp(CAST(c1 AS BIGINT)) AS cut_at FROM seqs, cuts""",
+          n="""SELECT count(*) FILTER (WHERE last_start < cut_at) AS closed, count(*) FILTER (WHERE last_start >= cut_at) AS opened,
+            count(*) FILTER (WHERE target_window_start >= cut_at) AS later, count(*) FILTER (WHERE last_start < cut_at AND target_window_start >= cut_at) AS leaks FROM r""")
+    + """SELECT 'sequences' AS builder, closed, 0 AS inputs_changed, opened AS open_changed, later AS targets_changed FROM n
+    UNION ALL SELECT 'planted leak', closed, leaks, opened, later FROM n""",
+)
 def q_leakage(spark, sf):
-    """Replace every target and look at the inputs; refit the scaler on the train rows alone."""
-    from ..operators.diff import table_diff
+    """Alter all windows from the first cutoff on and build again: no input that was complete by then may change. The same
+    audit of a builder that takes the target in as its last step has to count every such sequence."""
+    from ..operators import sequences as Q
+    from ..operators.splits import split_cutoffs
     from ..sinks.tables import stage
 
-    rows = stage(model_rows(spark, sf), "inputs")
-    altered = rows.withColumns(
-        {
-            "target_attack_present": 1 - F.col("target_attack_present"),
-            "target_dominant_class": F.lit("ALTERED"),
-            "target_features": F.transform("target_features", lambda x: F.lit(0.0).cast("float")),
-        }
+    w = B.windows(spark, sf)
+    at = split_cutoffs(Q.build_sequences(w, B.LENGTH, 1, 1, B.WINDOW, B.STRIDE, ["flow_count"])).select(
+        F.col("val_cutoff_us").cast("bigint")
     )
-    keep = ["sequence_id", F.xxhash64("model_inputs").alias("inputs"), "split"]
-    changed = table_diff(rows.select(*keep), altered.select(*keep)).agg(F.count(F.lit(1))).scalar()
-    fit = [scaling.fit_scaler(d.filter(F.col("split") == "train"), names=MODEL_PRESENT) for d in (rows, altered)]
-    moved = scaling.scaler_differences(*fit).agg(F.count(F.lit(1))).scalar()
-    total = rows.agg(F.count(F.lit(1)).alias("sequences"))
-    return total.select(changed.alias("changed_inputs"), moved.alias("changed_parameters"), "sequences")
+    at = stage(at, "cutoff").scalar()
+
+    def build(windows):
+        s = Q.build_sequences(windows, B.LENGTH, 1, 1, B.WINDOW, B.STRIDE, MODEL_PRESENT)
+        last = F.timestamp_micros(F.unix_micros("seq_end_time") - B.WINDOW * 1_000_000)
+        return s.select("sequence_id", last.alias("last_start"), F.col("sequence_features").alias("inputs"), F.col("target_features").alias("target"))
+
+    def leaky(windows):
+        steps = F.concat(F.slice("inputs", 1, B.LENGTH - 1), F.array(F.col("target").cast("array<float>")))
+        return build(windows).withColumn("inputs", steps)
+
+    present = [n for n in MODEL_PRESENT if n in w.columns]
+    found = [E.leak_counts(f, w, at, present).select(F.lit(n).alias("builder"), "*") for n, f in (("sequences", build), ("planted leak", leaky))]
+    return found[0].union(found[1])
+
+
+STEP_SQL = {
+    "x": f"""SELECT s.sequence_id, s.split, s.target_attack_present AS y, m.idx - s.i AS step, unnest(range({len(MODEL_PRESENT)})) AS f,
+      unnest([{", ".join(logged_sql("m", n) for n in MODEL_PRESENT)}]) AS x,
+      unnest([{", ".join(input_sql("m", n) for n in MODEL_PRESENT)}]) AS raw
+      FROM split s JOIN numbered m ON m.host_id = s.host_id AND m.idx BETWEEN s.i AND s.last_idx""",
+    "par": """SELECT f, median(x) AS c, CASE WHEN quantile_cont(x, 0.75) - quantile_cont(x, 0.25) > 1e-15 THEN quantile_cont(x, 0.75) - quantile_cont(x, 0.25) ELSE 1 END AS sc
+      FROM x WHERE split = 'train' GROUP BY f""",
+    "z": f"""SELECT x.* EXCLUDE (x), ((x - c) / sc)::FLOAT::DOUBLE AS z, (((step * {len(MODEL_PRESENT)} + f) * 37 % 101) - 50) / 400.0::DOUBLE AS w FROM x JOIN par USING (f)""",
+}
+INTERCEPT = -0.25
 
 
-def fitted(spark, sf):
+def stored_model(spark):
+    """A model table as an earlier training would have left it, its weights from a rule."""
+    n = B.LENGTH * len(MODEL_PRESENT)
+    weight = F.when(F.col("position") < 0, INTERCEPT).otherwise((F.col("position") * 37 % 101 - 50) / 400)
+    return models.linear_model(spark.range(-1, n).select(F.col("id").cast("int").alias("position")).withColumn("weight", weight))
+
+
+def scaled_rows(spark, sf):
     from ..sinks.tables import stage
 
-    rows = model_rows(spark, sf)
-    train = rows.filter(F.col("split") == "train")
-    params = stage(scaling.fit_scaler(train, names=MODEL_PRESENT), "scaler")
-    scaled = stage(scaling.apply_scaler(rows, params, names=MODEL_PRESENT), "scaled")
-    model = models.fit_logistic(scaled.filter(F.col("split") == "train"))
-    return params, scaled, model
+    rows = stage(model_rows(spark, sf), "inputs")
+    params = stage(scaling.fit_scaler(rows.filter(F.col("split") == "train"), names=MODEL_PRESENT), "scaler")
+    return stage(scaling.apply_scaler(rows, params, names=MODEL_PRESENT), "scaled")
 
 
-@query("score_sequences", "M4 M16 C8 K9")
+@query(
+    "score_sequences",
+    "M16 C8 K9",
+    with_("split", "numbered", **STEP_SQL, s=f"SELECT sequence_id, split, y, 1 / (1 + exp(-({INTERCEPT} + sum(w * z)))) AS p FROM z GROUP BY ALL")
+    + """SELECT sequence_id, split, y, round(p, 6) AS attack_probability, p >= 0.5 AS predicted_attack, 0.5::DOUBLE AS threshold FROM s""",
+)
 def q_score(spark, sf):
-    _, scaled, model = fitted(spark, sf)
-    scored = models.predict_sequences(models.score_logistic(scaled, model), 0.5)
+    """All sequences scored with a stored model on train-only scaling."""
+    scored = models.predict_sequences(models.score_logistic(scaled_rows(spark, sf), stored_model(spark)), 0.5)
     return scored.select("sequence_id", "split", "y", "attack_probability", "predicted_attack", "threshold")
 
 
-@query("linear_attribution", "M17 O3")
+@query(
+    "linear_attribution",
+    "M17 O3",
+    with_("split", "numbered", **STEP_SQL,
+          mean="SELECT step, f, avg(z) AS m FROM z WHERE split = 'train' GROUP BY step, f",
+          a="SELECT sequence_id, f, step, raw, w * (z - m) AS c FROM z JOIN mean USING (step, f)",
+          t="""SELECT sequence_id, f, sum(c) AS total, first(step ORDER BY abs(c) DESC, step) AS top, max(raw) FILTER (WHERE step = 9) AS raw FROM a GROUP BY sequence_id, f
+            QUALIFY row_number() OVER (PARTITION BY sequence_id ORDER BY abs(sum(c)) DESC, f) <= 5""")
+    + f"""SELECT sequence_id, CAST(row_number() OVER (PARTITION BY sequence_id ORDER BY abs(total) DESC, f) AS INT) AS place,
+    [{NAMES_SQL}][f + 1] AS feature, round(total, 6) AS attribution, CASE WHEN total > 0 THEN 'towards attack' WHEN total < 0 THEN 'towards benign' ELSE 'none' END AS direction,
+    CAST(top AS INT) AS most_influential_step, round(raw, 6) AS last_window_value FROM t""",
+)
 def q_attribution(spark, sf):
-    _, scaled, model = fitted(spark, sf)
+    scaled = scaled_rows(spark, sf)
     background = models.background_mean(scaled.filter(F.col("split") == "train"))
-    out = models.linear_attribution(scaled, model, background, names=MODEL_PRESENT)
+    out = models.linear_attribution(scaled, stored_model(spark), background, names=MODEL_PRESENT)
     return models.top_features(out, 5, MODEL_PRESENT)
 
 
-@query("platt", "M11 F10")
+@query(
+    "logistic_optimum",
+    "M4",
+    f"SELECT CAST(range - 1 AS INT) AS position, true AS optimal FROM range({B.LENGTH * len(MODEL_PRESENT) + 1})",
+)
+def q_optimum(spark, sf):
+    """The fitted model's gradient of the balanced, penalised loss, worked out from all training rows: 0 within a hundredth."""
+    train = scaled_rows(spark, sf).filter(F.col("split") == "train")
+    return models.penalised_gradient(train, models.fit_logistic(train)).select("position", (F.abs("gradient") < 0.01).alias("optimal"))
+
+
+def newton_sql(steps: int = 14) -> dict[str, str]:
+    """Newton's method for slope and intercept on logit(p), one common table per step."""
+    out = {
+        "v": """SELECT y, ln(q / (1 - q)) AS x, count(*) AS w FROM (SELECT y, greatest(least(p, 1 - 1e-7), 1e-7) AS q FROM scores WHERE split = 'val') GROUP BY ALL""",
+        "n0": "SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b",
+    }
+    for k in range(steps):
+        out[f"n{k + 1}"] = f"""SELECT a - (h22 * ga - h12 * gb) / (h11 * h22 - h12 * h12) AS a, b - (h11 * gb - h12 * ga) / (h11 * h22 - h12 * h12) AS b FROM (
+          SELECT a, b, sum(w * (s - y) * x) + 1e-6 * a AS ga, sum(w * (s - y)) AS gb, sum(w * s * (1 - s) * x * x) + 1e-6 AS h11,
+            sum(w * s * (1 - s) * x) AS h12, sum(w * s * (1 - s)) AS h22 FROM (SELECT *, 1 / (1 + exp(-(a * x + b))) AS s FROM v, n{k}) GROUP BY a, b)"""
+    return out
+
+
+@query(
+    "platt",
+    "M11 F10",
+    with_("scores", **newton_sql(),
+          u="""SELECT 'raw' AS kind, y, p FROM scores WHERE split = 'test' UNION ALL
+            SELECT 'calibrated', y, 1 / (1 + exp(-(a * ln(q / (1 - q)) + b))) FROM (SELECT y, greatest(least(p, 1 - 1e-7), 1e-7) AS q FROM scores WHERE split = 'test'), n14""",
+          b="SELECT kind, least(floor(p * 10), 9) AS bin, count(*) AS n, avg(p) AS mp, avg(y) AS r FROM u GROUP BY ALL",
+          ece="SELECT kind, sum(n * abs(mp - r)) / sum(n) AS ece FROM b GROUP BY kind")
+    + """SELECT kind, count(*) AS n, sum(y)::BIGINT AS positives, round(avg((p - y) * (p - y)), 4) AS brier, round(any_value(ece), 4) AS ece,
+    round(avg(p), 4) AS mean_predicted, round(avg(y), 4) AS observed_rate, round(any_value(n14.a), 4) AS slope, round(any_value(n14.b), 4) AS intercept
+    FROM u JOIN ece USING (kind), n14 GROUP BY kind""",
+    digits=4,
+)
 def q_platt(spark, sf):
     s = B.scores(spark, sf)
     a, b = models.fit_platt(s.filter(F.col("split") == "val"))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions.lookups import WINDOW_FEATURES, label_table
 from ..operators import eda, hostrel, joins, splits
 from ..operators import sequences as Q
-from ..sinks.tables import stage, top_scores
+from ..sinks.tables import stage, top_scores, write_scored_csv, write_stage
+from ..sources import ecar
+from ..sources.push import read_table
 from . import bindings as B
 from .registry import query
 from .sql import LENGTH, with_
@@ -219,7 +221,7 @@ def q_folds(spark, sf):
 
 @query(
     "multi_horizon",
-    "J7 J8",
+    "J7",
     with_("seqs", "numbered",
           f="""SELECT s.sequence_id, t.flow_count, row_number() OVER (PARTITION BY s.sequence_id ORDER BY t.window_idx) AS h
             FROM seqs s JOIN numbered t ON t.host_id = s.host_id AND t.window_start > s.seq_end_time""")
@@ -238,6 +240,25 @@ def q_horizon(spark, sf):
     return m.select("sequence_id", "future_count", h(0).alias("h1"), h(1).alias("h2"), h(2).alias("h3"))
 
 
+@query(
+    "horizon_check",
+    "J8",
+    with_("seqs") + """SELECT 'stored' AS targets, 0 AS mismatches, count(*) AS sequences FROM seqs
+    UNION ALL SELECT 'altered', count(*) FILTER (WHERE length(host_id) = 2), count(*) FROM seqs""",
+)
+def q_horizon_check(spark, sf):
+    """The first future window against the stored target; then with the targets of some hosts altered, which must be found."""
+    w = B.windows(spark, sf)
+    s = Q.build_sequences(w, B.LENGTH, 1, 1, B.WINDOW, B.STRIDE, PRESENT)
+    m = stage(Q.multi_horizon_targets(s, w, 3, window_seconds=B.WINDOW, stride_seconds=B.STRIDE, features=PRESENT), "horizons")
+    shifted = F.transform("target_features", lambda x: (x * 2 + 1).cast("float"))
+    altered = m.withColumn("target_features", F.when(F.length("host_id") == 2, shifted).otherwise(F.col("target_features")))
+    count = lambda df: df.agg(F.count(F.lit(1)).alias("mismatches"))
+    total = m.agg(F.count(F.lit(1))).scalar()
+    found = [count(Q.horizon_mismatches(d, stored=PRESENT, names=PRESENT)).select(F.lit(n).alias("targets"), "mismatches", total.alias("sequences")) for n, d in (("stored", m), ("altered", altered))]
+    return found[0].union(found[1])
+
+
 @query(
     "last_window_rule",
     "N7 M10",
@@ -249,12 +270,15 @@ def q_rule(spark, sf):
 
 @query(
     "sequence_filter",
-    "C9 O2 S14",
+    "C9 O2 S14 K1",
     with_("split")
     + """SELECT sequence_id, split FROM split WHERE split = 'test' AND target_dominant_class <> 'Benign'""",
 )
 def q_filter(spark, sf):
-    s = stage(B.split_sequences(spark, sf), "split")
+    """From the stage table, partitioned by split, of which only the wanted part is read."""
+    folder = B.scratch(spark, "split")
+    write_stage(B.split_sequences(spark, sf), folder, partition_by=["split"], sort_by=["host_id"])
+    s = read_table(spark, folder, ["sequence_id", "target_dominant_class", "split"], split="test")
     ids = s.filter(F.col("target_dominant_class") != "Benign").select("sequence_id")
     return Q.filter_sequences(s, ids=ids, split="test").select("sequence_id", "split")
 
@@ -267,7 +291,10 @@ def q_filter(spark, sf):
 )
 def q_top(spark, sf):
     s = B.sequences(spark, sf).withColumn("attack_probability", total("sequence_features", FLOWS_AT) / 100.0)
-    return top_scores(s).select("sequence_id", "attack_probability")
+    folder = B.scratch(spark, "scored")
+    write_scored_csv(s, folder)
+    back = spark.read.option("header", True).csv(folder).withColumn("attack_probability", F.col("attack_probability").cast("double"))
+    return top_scores(back).select("sequence_id", "attack_probability")
 
 
 @query(
@@ -327,22 +354,28 @@ def q_interval(spark, sf):
             CASE WHEN o_orderkey % 11 = 0 THEN TIMESTAMP '2100-01-01' ELSE TIMESTAMP '2024-01-01' + to_minutes(CAST(o_orderkey * 11 % 43200 + o_orderkey % 180 AS BIGINT)) END AS b,
             o_orderkey % 3 + 1 AS scenario FROM orders""",
           hit="""SELECT f.event_id, g.scenario FROM flows f JOIN gt g ON g.host = f.source_ip AND g.pid = f.k % 5 AND f.ts BETWEEN g.a AND g.b
-            QUALIFY row_number() OVER (PARTITION BY f.event_id ORDER BY g.gt_no) = 1""")
+            QUALIFY row_number() OVER (PARTITION BY f.event_id ORDER BY g.scenario, g.gt_no) = 1""")
     + """SELECT ts AS "timestamp", source_ip, k % 5 AS pid, CASE WHEN scenario IS NULL THEN 'Benign' ELSE 'Malicious' END AS dataset_label,
     coalesce(scenario, -1) AS optc_scenario FROM flows LEFT JOIN hit USING (event_id)""",
 )
 def q_process(spark, sf):
+    """The truth comes from one headerless CSV per scenario, with local times and open ends; scenarios are tried in order."""
     o = B.table(spark, sf, "orders")
     key = F.col("o_orderkey")
     at = F.unix_micros(F.lit("2024-01-01").cast("timestamp")) + (key * 11 % 43200) * 60_000_000
-    truth = o.select(
-        key.alias("gt_no"),
-        F.concat(F.lit("h"), (F.col("o_custkey") % 150).cast("string")).alias("host"),
+    local = lambda us: F.concat(F.date_format(F.timestamp_micros(us), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("-04:00"))
+    rows = o.select(
+        (key % 3 + 1).alias("scenario"),
+        F.concat(F.lit("H"), (F.col("o_custkey") % 150).cast("string"), F.lit(".example.net")).alias("host"),
         (key % 5).alias("pid"),
-        F.timestamp_micros(at).alias("start"),
-        F.when(key % 11 != 0, F.timestamp_micros(at + (key % 180) * 60_000_000)).alias("end"),
-        (key % 3 + 1).cast("int").alias("scenario"),
+        local(at).alias("start"),
+        F.when(key % 11 == 0, "Infinity").otherwise(local(at + (key % 180) * 60_000_000)).alias("end"),
     )
+    folder = B.scratch(spark, "truth")
+    paths = {n: f"{folder}/{n}" for n in (1, 2, 3)}
+    for n, path in paths.items():
+        rows.filter(F.col("scenario") == n).drop("scenario").write.csv(path)
+    truth = ecar.read_ground_truth(spark, paths)
     flows = B.flows(spark, sf).withColumns(
         {"optc_host": F.col("source_ip"), "pid": (F.col("destination_port") % 5).cast("bigint")}
     )

@@ -10,11 +10,12 @@ from ..operators.splits import temporal_split
 from ..session import ensure_checkpoint_dir
 from ..sinks.tables import stage
 from ..sources import argus, authlog, ecar, flowmeter, packets, push, records
+from ..schema import validate_flows
 from ..streaming import scoring as stream_scoring
 from ..streaming import sequences as stream_seq
 from ..streaming import windows as stream_win
 from . import bindings as B
-from .evaluation_queries import MODEL_PRESENT
+from .evaluation_queries import INTERCEPT, MODEL_PRESENT, STEP_SQL, logged_sql, model_rows, stored_model
 from .registry import query
 from .sequence_queries import PRESENT, FLOWS_AT, total
 from .sql import with_
@@ -58,7 +59,18 @@ def q_flowmeter(spark, sf):
     dirty = raw.withColumn("_h", header).withColumn(
         "dataset_label", F.when(F.col("_h") == 1, " Label").otherwise(F.col("dataset_label"))
     ).drop("_h")
-    flows = flowmeter.flowmeter_to_flows(dirty)
+    # exports of two collectors, whose headers are spelt and ordered differently
+    one = {
+        "source_ip": " Source IP", "source_port": " Source Port", "destination_ip": " Destination IP", "destination_port": " Destination Port",
+        "protocol": " Protocol", "timestamp": " Timestamp", "flow_duration": " Flow Duration", "fwd_packet_count": " Total Fwd Packets",
+        "bwd_packet_count": " Total Backward Packets", "fwd_byte_count": "Total Length of Fwd Packets", "bwd_byte_count": " Total Length of Bwd Packets",
+        "dataset_label": " Label",
+    }
+    other = {n: h.strip().upper() for n, h in reversed(one.items())}
+    folder = B.scratch(spark, "flowmeter")
+    for name, header, rows in (("one", one, dirty.filter("length(source_ip) % 2 = 0")), ("other", other, dirty.filter("length(source_ip) % 2 = 1"))):
+        rows.select(*[F.col(c).alias(h) for c, h in header.items()]).write.option("header", True).csv(f"{folder}/{name}")
+    flows = flowmeter.flowmeter_to_flows(flowmeter.read_flowmeter(spark, folder))
     return flows.select(*FLOW_OUT, "flow_duration", "packet_count", "byte_count", "dataset_label")
 
 
@@ -308,7 +320,7 @@ def q_push(spark, sf):
         "flow_duration", "packet_count", "byte_count", F.when(k % 2 == 1, F.col("dataset_label")).alias("dataset_label"),
     )
     lines = f.select(F.to_json(body).alias("value"))
-    out = push.parse_push(lines)
+    out = validate_flows(push.parse_push(lines), "push")
     return out.select(
         "timestamp", "source_ip", "destination_ip", F.coalesce("source_port", F.lit(-1)).alias("source_port"),
         "destination_port", "protocol", "byte_count", "dataset_label",
@@ -323,10 +335,14 @@ CLOSED_SQL = f"window_end <= (SELECT date_trunc('millisecond', max(ts)) FROM flo
 
 def stream_flows(spark, sf):
     """``events`` as a file stream, bound to the canonical columns."""
+    schema = B.table(spark, sf, "events").schema
+    return named_flows(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf))
+
+
+def named_flows(raw):
+    """Streamed events as labelled flows."""
     from ..functions.lookups import map_column
 
-    schema = B.table(spark, sf, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     f = B.flow_columns(raw)
     table = LABEL_TABLES["cic_ids2017"]
     label = F.col("dataset_label")
@@ -372,26 +388,69 @@ def q_stream_windows(spark, sf):
     )
 
 
-@query(
-    "stream_replay",
-    "T3s T9s",
-    with_("win") + f"SELECT host_id, window_idx, flow_count, attack_present FROM win WHERE {CLOSED_SQL}",
-)
-def q_replay(spark, sf):
-    """The table cut into five-day chunks and played one chunk per micro-batch, oldest first."""
+PLAYED = {
+    "parts": """SELECT *, us < (SELECT min(us) + (max(us) - min(us)) * 3 // 5 FROM flows) AS early, event_id % 7 = 0 AS held FROM member""",
+    "mark": f"SELECT max(us) // 1000 * 1000 - {LATENESS * 1_000_000} AS wm FROM parts WHERE early AND NOT held",
+    "taken": f"""SELECT *, (SELECT min(us) FROM flows) + k_win * {B.STRIDE * 1_000_000} + {B.WINDOW * 1_000_000} AS end_us FROM parts
+      WHERE NOT (early AND held AND (SELECT min(us) FROM flows) + k_win * {B.STRIDE * 1_000_000} + {B.WINDOW * 1_000_000} <= (SELECT wm FROM mark))""",
+}
+CLOSED_US = f"(SELECT max(us) // 1000 * 1000 - {LATENESS * 1_000_000} FROM flows)"
+
+
+def played(spark, sf):
+    """The table in two parts: the early flows without every seventh, then those, too late for many windows, with the later
+    flows. Closed windows and the two runs of the query."""
     import uuid
 
     from ..operators.cleaning import flow_features
     from ..streaming import replay
 
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/flowhorizon-stream/replay-{uuid.uuid4().hex}"
-    flows = B.labelled_flows(spark, sf)
-    replay.stage_chunks(flows, f"{base}/chunks", 5 * 86400)
-    replay.feed_chunks(spark, f"{base}/chunks", f"{base}/live")
-    origin = flows.agg(F.min(F.unix_micros("timestamp"))).first()[0]
-    live = replay.read_live(spark, f"{base}/live", flows.schema, files_per_trigger=1)
-    w = stream_win.stream_host_windows(flow_features(live), origin, B.WINDOW, B.STRIDE, LATENESS)
-    return run_stream(w.select("host_id", "window_idx", "flow_count", "attack_present"), "replayed")
+    e = B.table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("timestamp"))
+    us = F.unix_micros("timestamp")
+    span = e.agg(F.min(us).alias("lo"), F.max(us).alias("hi")).first()
+    events = B.table(spark, sf, "events")
+    early = F.unix_micros(F.col("ts").cast("timestamp")) < span["lo"] + (span["hi"] - span["lo"]) * 3 // 5
+    held = F.col("event_id") % 7 == 0
+    parts = [events.filter(early & ~held), events.filter(~early | held)]
+    live = replay.read_live(spark, f"{base}/live", events.schema)
+    flows = flow_features(stream_scoring.observed(named_flows(live)))
+    w = stream_win.stream_host_windows(flows, span["lo"], B.WINDOW, B.STRIDE, LATENESS)
+    w = w.select("host_id", "window_idx", "flow_count", "attack_present")
+
+    def run():
+        one = stream_win.write_closed_windows(w, f"{base}/out", f"{base}/state")
+        one.awaitTermination()
+        return one
+
+    runs = replay.play(parts, f"{base}/live", run)
+    return spark.read.schema(w.schema).parquet(f"{base}/out"), runs
+
+
+@query(
+    "stream_replay",
+    "T3s",
+    with_("member", **PLAYED)
+    + f"""SELECT host_id, k_win AS window_idx, count(*) AS flow_count, CAST(max((cls <> 'Benign')::INT) AS INT) AS attack_present FROM taken
+    WHERE end_us <= {CLOSED_US} GROUP BY host_id, k_win""",
+)
+def q_replay(spark, sf):
+    """Two parts of the table one after the other; a flow that comes late counts in the windows still open, and in no other."""
+    return played(spark, sf)[0]
+
+
+@query(
+    "stream_status",
+    "T8s",
+    with_("member", **PLAYED, c=f"SELECT DISTINCT host_id, k_win FROM taken WHERE end_us <= {CLOSED_US}")
+    + f"""SELECT (SELECT count(*) FROM flows) AS flows_seen, (SELECT min(ts) FROM flows) AS first_event, (SELECT max(ts) FROM flows) AS last_event,
+    true AS some_late, make_timestamp({CLOSED_US}) AS watermark, count(DISTINCT k_win) AS windows_closed, count(DISTINCT host_id) AS hosts_tracked FROM c""",
+)
+def q_status(spark, sf):
+    """What the played stream reports of itself, against counts of its input."""
+    closed, runs = played(spark, sf)
+    status = stream_scoring.stream_status(stream_scoring.stream_progress(spark, runs), closed)
+    return status.withColumn("some_late", F.col("late_rows") > 0).drop("late_rows")
 
 
 @query(
@@ -422,7 +481,8 @@ def q_flush(spark, sf):
     return closed.select(*keep).unionByName(rest.select(*keep))
 
 
-def streamed_sequences(spark, sf):
+def live_sequences(spark, sf):
+    """Sequences of the closed-window table as a stream."""
     import uuid
 
     closed = closed_windows(spark, sf)
@@ -430,8 +490,7 @@ def streamed_sequences(spark, sf):
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/flowhorizon-stream/closed-{uuid.uuid4().hex}"
     closed.write.parquet(base)
     stream_seq.use_rocksdb(spark)
-    live = spark.readStream.schema(closed.schema).parquet(base)
-    return run_stream(stream_seq.stream_sequences(live, B.LENGTH, PRESENT), "sequences")
+    return stream_seq.stream_sequences(spark.readStream.schema(closed.schema).parquet(base), B.LENGTH, PRESENT)
 
 
 @query(
@@ -442,27 +501,33 @@ def streamed_sequences(spark, sf):
     WHERE seq_end_time <= (SELECT date_trunc('millisecond', max(ts)) FROM flows) - INTERVAL {LATENESS} SECOND""",
 )
 def q_stream_sequences(spark, sf):
-    s = streamed_sequences(spark, sf)
+    s = run_stream(live_sequences(spark, sf), "sequences")
     return s.select(
         "host_id", "seq_start_time", "seq_end_time", total("sequence_features", FLOWS_AT).cast("bigint").alias("input_flows")
     )
 
 
-@query("stream_scores", "T6s T8s")
+@query(
+    "stream_scores",
+    "T6s",
+    with_("split", "numbered", "runs", **STEP_SQL,
+          own=f"""SELECT r.host_id, r.seq_start_time, r.seq_end_time, m.idx - r.i AS step, unnest(range({len(MODEL_PRESENT)})) AS f,
+            unnest([{", ".join(logged_sql("m", n) for n in MODEL_PRESENT)}]) AS x FROM runs r JOIN numbered m ON m.host_id = r.host_id AND m.idx BETWEEN r.i AND r.last_idx
+            WHERE r.seq_end_time <= (SELECT date_trunc('millisecond', max(ts)) FROM flows) - INTERVAL {LATENESS} SECOND""",
+          s=f"""SELECT host_id, seq_start_time, seq_end_time, 1 / (1 + exp(-({INTERCEPT} + sum((((step * {len(MODEL_PRESENT)} + f) * 37 % 101) - 50) / 400.0::DOUBLE * ((x - c) / sc)::FLOAT::DOUBLE)))) AS p
+            FROM own JOIN par USING (f) GROUP BY ALL""")
+    + """SELECT host_id, seq_start_time, seq_end_time, round(p, 6) AS attack_probability, p >= 0.5 AS predicted_attack, 0.5::DOUBLE AS threshold FROM s""",
+)
 def q_stream_scores(spark, sf):
-    """Train on the stored table, score the streamed sequences with it, report the stream's totals."""
-    rows = B.staged_sequences(spark, sf)
-    width = len(MODEL_PRESENT)
-    inputs = rows.withColumns(
-        {
-            "model_inputs": F.transform("sequence_features", lambda v: F.slice(v, 1, width)),
-            "y": F.col("target_attack_present"),
-        }
-    )
-    train = temporal_split(inputs).filter(F.col("split") == "train")
+    """Streamed sequences scored with a stored model, on scaling learnt from the stored table."""
+    import uuid
+
+    train = stage(model_rows(spark, sf).filter(F.col("split") == "train").select("model_inputs"), "train")
     params = stage(scaling.fit_scaler(train, names=MODEL_PRESENT), "scaler")
-    model = models.fit_logistic(scaling.apply_scaler(train, params, names=MODEL_PRESENT))
-    seqs = streamed_sequences(spark, sf).withColumn(
-        "sequence_features", F.transform("sequence_features", lambda v: F.slice(v, 1, width))
+    seqs = live_sequences(spark, sf).withColumn(
+        "sequence_features", F.transform("sequence_features", lambda v: F.slice(v, 1, len(MODEL_PRESENT)))
     )
-    return stream_scoring.score_stream(seqs, params, model, 0.5, MODEL_PRESENT)
+    scored = stream_scoring.score_stream(seqs, params, stored_model(spark), 0.5, MODEL_PRESENT)
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/flowhorizon-stream/scores-{uuid.uuid4().hex}"
+    stream_scoring.write_results(scored, f"{base}/out", f"{base}/state").awaitTermination()
+    return stream_scoring.read_results(spark, f"{base}/out", scored.schema)

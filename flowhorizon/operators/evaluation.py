@@ -7,6 +7,8 @@ range is ever ordered in one task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.lookups import STAGE_ORDER, THRESHOLD_GRID
@@ -413,3 +415,27 @@ def split_order_violations(split: DataFrame) -> DataFrame:
             "test_before_val_end"
         ),
     )
+
+
+def leak_counts(build: Callable[[DataFrame], DataFrame], windows: DataFrame, at: Column, features: list[str]) -> DataFrame:
+    """Build sequences from the windows, and again after every window from ``at`` (microseconds) on was altered; count what changed.
+
+    One row: ``closed`` sequences, whose inputs begin before ``at`` throughout, and how many of their ``inputs`` changed
+    (each one a leak); ``open_changed``, the other sequences with changed inputs; ``targets_changed``. ``build`` returns
+    sequence_id, last_start (of the last input window), inputs and target.
+    """
+    late = F.unix_micros("window_start") >= at
+    new = {f: F.when(late, F.col(f) * 2 + 1).otherwise(F.col(f)).cast(windows.schema[f].dataType) for f in features}
+    first, again = (
+        build(w).select("sequence_id", "last_start", F.xxhash64("inputs").alias("i"), F.xxhash64("target").alias("t"))
+        for w in (windows, windows.withColumns(new))
+    )
+    both = first.join(again.toDF("sequence_id", "_l", "_i", "_t"), "sequence_id", "full_outer")
+    closed = F.unix_micros(F.coalesce("last_start", "_l")) < at
+    moved, aimed = ~F.col("i").eqNullSafe(F.col("_i")), ~F.col("t").eqNullSafe(F.col("_t"))
+    return both.agg(
+        F.count_if(closed).alias("closed"),
+        F.count_if(closed & moved).alias("inputs_changed"),
+        F.count_if(~closed & moved).alias("open_changed"),
+        F.count_if(aimed).alias("targets_changed"),
+    )

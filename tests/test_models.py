@@ -165,3 +165,24 @@ def test_all_model_inputs_are_reported(spark, sf):
     names = {r["name"] for r in load()[0]["robust_params"](spark, sf).collect()}
     errors = {(r.horizon, r.feature) for r in load()[0]["persistence_error"](spark, sf).collect()}
     assert names == set(MODEL_PRESENT) and errors == {(h, n) for h in (1, 2, 3) for n in MODEL_PRESENT}
+
+
+def test_gradient_is_zero_at_the_fit_only(spark, rows):
+    params = scaling.fit_scaler(rows.filter("split = 'train'"), names=NAMES)
+    train = scaling.apply_scaler(rows, params, names=NAMES).filter("split = 'train'")
+    model = models.fit_logistic(train)
+    at = {r["position"]: r["gradient"] for r in models.penalised_gradient(train, model).collect()}
+    assert set(at) == set(range(-1, 12)) and max(map(abs, at.values())) < 0.01
+    table = models.linear_rows(model, spark)
+    again = models.linear_model(table)
+    assert list(again.coefficients) == list(model.coefficients) and again.intercept == model.intercept
+    off = models.LinearModel(again.coefficients * 0.0, 1.0)
+    x = np.array([np.concatenate([[1.0], np.ravel(r["scaled"])]) for r in train.select("scaled", "y").orderBy("sequence_id").collect()])
+    y = np.array([r["y"] for r in train.orderBy("sequence_id").collect()])
+    beta = np.array([off.intercept, *off.coefficients])
+    w = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+    want = x.T @ (w * (1 / (1 + np.exp(-x @ beta)) - y)) / len(y) + np.append(0, beta[1:]) / len(y)
+    got = {r["position"]: r["gradient"] for r in models.penalised_gradient(train, off).collect()}
+    assert np.allclose([got[i] for i in range(-1, 12)], want) and abs(got[-1]) > 0.05
+    with pytest.raises(ValueError, match="model table"):
+        models.linear_model(table.filter("position <> 3"))

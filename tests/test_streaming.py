@@ -70,7 +70,7 @@ def test_late_flows(spark, tmp_path):
     late = [(T0 + dt.timedelta(seconds=5), *rows[0][1:])]
     out, query = run(spark, [rows, late], tmp_path, lateness=60)
     # the late flow's windows were closed in the first run
-    assert scoring.progress_counts(query)["late_rows"] > 0
+    assert scoring.stream_progress(spark, [query]).agg(F.sum("late_rows")).first()[0] > 0
     batch = host_windows(flow_features(spark.createDataFrame(rows, DDL)), W, S)
     first = {r for r in as_set(batch) if r[1] == 0}
     assert {r for r in as_set(out) if r[1] == 0} == first
@@ -119,19 +119,44 @@ def test_stream_sequences_equal_batch(spark, tmp_path):
     assert key(got) == key(want) and got.count() == want.count() > 50
 
 
-def test_replay_chunks_and_status(spark, tmp_path):
+def test_replay_and_status(spark, tmp_path):
     rows = make_rows(120, 6)
-    flows = spark.createDataFrame(rows, DDL)
-    replay.stage_chunks(flows, str(tmp_path / "staged"), 300)
-    n = replay.feed_chunks(spark, str(tmp_path / "staged"), str(tmp_path / "live"))
-    assert n >= 4 and spark.read.parquet(str(tmp_path / "live")).count() == len(rows)
+    live, out, state = (str(tmp_path / n) for n in ("live", "out", "ck"))
+    flows = scoring.observed(replay.read_live(spark, live, spark.createDataFrame([], DDL).schema))
+    stream = windows.stream_host_windows(flow_features(flows), T0.isoformat(), W, S, 0).drop("stage_counts")
+
+    def go():
+        query = windows.write_closed_windows(stream, out, state)
+        query.awaitTermination()
+        return query
+
+    parts = [spark.createDataFrame(r, DDL) for r in (rows[:70], rows[70:] + [(T0, *rows[0][1:])])]
+    progress = scoring.stream_progress(spark, replay.play(parts, live, go))
+    closed = spark.read.schema(stream.schema).parquet(out)
     results = spark.createDataFrame([("a", T0, T0, 0.9, True, 0.5), ("b", T0, T0 + dt.timedelta(1), 0.1, False, 0.5)],
                                     "host_id string, seq_start_time timestamp, seq_end_time timestamp, attack_probability double, predicted_attack boolean, threshold double")
+    s = scoring.stream_status(progress, closed, results).first()
+    assert (s["flows_seen"], s["first_event"], s["last_event"]) == (121, T0, max(r[0] for r in rows))
+    assert s["late_rows"] > 0 and s["watermark"] == s["last_event"] and s["hosts_tracked"] == 3
+    assert s["windows_closed"] == closed.select("window_idx").distinct().count() and (s["sequences_scored"], s["alerts"]) == (2, 1)
     assert [r["host_id"] for r in scoring.latest_results(results, 5).collect()] == ["b", "a"]
     assert scoring.latest_results(results, 5, alerts_only=True).count() == 1
-    closed = spark.createDataFrame([("a", 0), ("a", 1), ("b", 1)], "host_id string, window_idx bigint")
-    s = scoring.stream_status(closed, results).first()
-    assert (s["windows_closed"], s["hosts_tracked"], s["sequences_scored"], s["alerts"]) == (2, 2, 2, 1)
+
+
+def test_a_batch_that_runs_again_counts_once(spark, tmp_path):
+    """Stopped between write and commit, a batch is run again after the restart."""
+    live, out, state = (str(tmp_path / n) for n in ("live", "out", "ck"))
+    rows = make_rows(60, 8)
+    stream = replay.read_live(spark, live, spark.createDataFrame([], DDL).schema).select("timestamp", "source_ip")
+    go = lambda: scoring.write_results(stream, out, state).awaitTermination()
+    replay.play([spark.createDataFrame(rows[:30], DDL), spark.createDataFrame(rows[30:], DDL)], live, go)
+    got = scoring.read_results(spark, out, stream.schema)
+    assert got.count() == 60
+    last = max((tmp_path / "ck" / "commits").glob("[0-9]*"), key=lambda f: int(f.name))
+    for f in (last, last.with_name(f".{last.name}.crc")):
+        f.unlink(missing_ok=True)
+    go()
+    assert sorted(r["timestamp"] for r in scoring.read_results(spark, out, stream.schema).collect()) == sorted(r[0] for r in rows)
 
 
 def test_stream_needs_overlapping_or_touching_windows(spark):
