@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sinks.tables import stage
@@ -43,6 +45,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return stage(df, f"llm-{name}")
 
 
+@contextmanager
+def short_shuffles(spark):
+    """Within this block a shuffle's files go as soon as the query that made them has ended."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def block_pairs(df: DataFrame, keys: list[str], n: str, by: str, block: int) -> DataFrame:
     """Deal lists of rows out so that every two rows of a list meet in a group of at most about two blocks.
 

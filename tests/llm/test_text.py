@@ -124,7 +124,7 @@ def test_languages_odd(spark):
 
 def test_cosine_is_of_the_bundles():
     texts = ["Ein Hund, ein Haus.", "the house"]
-    counts, bound, _ = languages.Encoder().counts(texts)
+    bundles, some = languages.Encoder().bundles(texts)
 
     def brute(t):
         low, v = re.sub(r"[^a-zäöü]+", " ", f" {t.lower()} "), np.zeros(languages.DIM)
@@ -133,7 +133,30 @@ def test_cosine_is_of_the_bundles():
             v += np.roll(a, 2) * np.roll(b, 1) * c
         return v
 
-    assert (counts @ bound.astype(int) == np.stack([brute(t) for t in texts])).all()
+    assert (bundles == np.stack([brute(t) for t in texts])).all() and some.all()
+
+
+def test_long_texts_in_pieces_and_blocks(monkeypatch):
+    """Pieces of a text and blocks of trigrams give the sums of the whole."""
+    rng = np.random.default_rng(4)
+    text = "".join(rng.choice(list("abcdefghij äöü  ..,"), 3000))
+    whole, _ = languages.Encoder().bundles([text])
+    monkeypatch.setattr(languages, "GRAMS", 7)
+    assert (languages.Encoder().bundles([text])[0] == whole).all()
+    for most in (1, 2, 50, 999):
+        monkeypatch.setattr(languages, "SLICE_CHARS", most)
+        assert (languages.Encoder().bundles([text])[0] == whole).all()
+
+
+def test_long_text_of_many_letters_stays_small():
+    import tracemalloc
+
+    letters = [chr(0x4E00 + i) for i in range(5000)]
+    text = "".join(np.random.default_rng(1).choice(letters, 600_000))
+    tracemalloc.start()
+    languages.Encoder().bundles([text])
+    assert tracemalloc.get_traced_memory()[1] < 500 << 20
+    tracemalloc.stop()
 
 
 # ---- secrets ----
@@ -232,30 +255,144 @@ def test_lm_odd(spark):
 def test_lm_is_a_distribution():
     """Probabilities of all known words and the unknown one sum to one in every context."""
     rng = np.random.default_rng(0)
-    owner, topic = np.repeat(np.arange(200), 3), np.tile([0, 1, 2], 200)
-    n = rng.integers(1, 90, len(owner))
-    customers = np.bincount(topic, n, minlength=pitman_yor.CLASSES + 1)
-    totals = pitman_yor.Totals(customers, np.bincount(topic, minlength=pitman_yor.CLASSES + 1), 200, 200, 0.6, 0.5)
-    for seed in range(5):
-        below, own, _ = totals.seat(owner, topic, n, 200, np.random.default_rng(seed))
-        totals = pitman_yor.Totals(customers, np.bincount(topic, below, minlength=pitman_yor.CLASSES + 1), own.sum(), 200, 0.6, 0.5)
-    dish = np.bincount(owner, below, minlength=200)
-    p = np.maximum(dish - totals.d0 * own, 0) / (pitman_yor.THETA + totals.parent) + totals.parent_rest()
-    assert abs(p.sum() + totals.parent_rest() - 1) < 1e-9
+    word, context = np.repeat(np.arange(200), 3), np.tile([0, 1, 2], 200)
+    n = rng.integers(1, 90, len(word))
+    c, kept, states, shared = np.bincount(context, n), 3, [], pitman_yor.Shared(600, 200, 200, 0.6, 0.5)
+    t, k, o = np.full(3, 200), np.full(200, 3), np.ones(200)
+    total, used = np.zeros(len(n)), []
+    for sweep in range(5):
+        tables = shared.seat_pairs(n, t[context], shared.parent(k, o)[word], rng)
+        t, k = np.bincount(context, tables), np.bincount(word, tables)
+        o = shared.seat_parent(k, rng)
+        shared = pitman_yor.Shared(k.sum(), o.sum(), 200, 0.6, 0.5)
+        if sweep >= 2:
+            states += [t, k, o]
+            used.append(shared)
+            total += tables
+    here = pitman_yor.predicted(n, total, c, states, context, word, used)
+    nothing = np.mean([x.rest(c, t) * x.base() for x, t in zip(used, states[::3])], axis=0)
     for u in range(3):
-        here = topic == u
-        q = (n[here] - totals.d * below[here]) / (pitman_yor.THETA + customers[u]) + totals.rest()[u] * p
-        assert abs(q.sum() + totals.rest()[u] * totals.parent_rest() - 1) < 1e-9
+        assert abs(here[context == u].sum() + nothing[u] - 1) < 1e-9
+    parent = [x.parent(k, o).sum() + x.base() for x, k, o in zip(used, states[1::3], states[2::3])]
+    assert np.allclose(parent, 1)
 
 
 def test_seating_matches_one_by_one():
+    """Mean and spread of the tables, at small and large counts, against seating one customer after the other."""
     rng = np.random.default_rng(1)
-    a, d, c, runs = 3.0, 0.5, 400, 3000
-    fast = pitman_yor.reseat(np.full(runs, c), np.full(runs, a), d, rng)
-    slow = np.ones(runs)
-    for j in range(1, c):
-        slow += rng.random(runs) * (a + j - d * slow) < a
-    assert abs(fast.mean() - slow.mean()) < 0.03 * slow.mean()
+    for a, d, c in [(3.0, 0.5, 400), (0.2, 0.8, 2), (0.05, 0.3, 63), (40.0, 0.6, 130), (1e-9, 0.5, 50), (0.7, 0.05, 1)]:
+        runs = 4000
+        fast = pitman_yor.reseat(np.full(runs, c), np.full(runs, a), d, rng)
+        slow = np.ones(runs)
+        for j in range(1, c):
+            slow += rng.random(runs) * (a + j - d * slow) < a
+        assert abs(fast.mean() - slow.mean()) < 0.03 * slow.mean() and abs(fast.std() - slow.std()) < 0.1 * slow.std() + 0.02
+        assert fast.min() >= 1 and fast.max() <= c
+
+
+def test_seating_in_spans_and_batches(monkeypatch):
+    """Whatever is seated at once, the customers' own numbers decide as one by one."""
+    rng = np.random.default_rng(5)
+    count, a = rng.integers(0, 60, 300), 10 ** rng.uniform(-3, 2, 300)
+    monkeypatch.setattr(pitman_yor, "SPAN", 1 << 40)
+    monkeypatch.setattr(pitman_yor, "SEATED", 1 << 40)
+    got = pitman_yor.reseat(count, a, 0.7, np.random.default_rng(9))
+    u = np.random.default_rng(9).random(int(np.maximum(count - 1, 0).sum()))
+    want, k = [], 0
+    for n, b in zip(count, a):
+        t = min(n, 1)
+        for j in range(1, n):
+            t += u[k] * (b + j - 0.7 * t) < b
+            k += 1
+        want.append(t)
+    assert got.tolist() == want
+    for span, seated in ((7, 50), (1, 10), (100, 3)):
+        monkeypatch.setattr(pitman_yor, "SPAN", span)
+        monkeypatch.setattr(pitman_yor, "SEATED", seated)
+        again = pitman_yor.reseat(count, a, 0.7, np.random.default_rng(9))
+        assert (again >= np.minimum(count, 1)).all() and (again <= count).all() and abs(again.sum() - got.sum()) < 0.05 * got.sum()
+
+
+class OneByOne:
+    """The sampler that moves one customer at a time between explicit tables."""
+
+    def __init__(self, seats, words, d, d0, rng):
+        self.seats, self.words, self.d, self.d0, self.rng = seats, words, d, d0, rng
+        self.tables, self.parent = {}, {}
+
+    def base(self):
+        return (1 + self.d0 * sum(map(len, self.parent.values()))) / (1 + sum(map(sum, self.parent.values()))) / (self.words + 1)
+
+    def below(self, w):
+        own = self.parent.get(w, [])
+        return (sum(own) - self.d0 * len(own)) / (1 + sum(map(sum, self.parent.values()))) + self.base()
+
+    def rest(self, u):
+        own = [x for (c, _), x in self.tables.items() if c == u]
+        return (1 + self.d * sum(map(len, own))) / (1 + sum(map(sum, own)))
+
+    def p(self, u, w):
+        own = self.tables.get((u, w), [])
+        customers = sum(sum(x) for (c, _), x in self.tables.items() if c == u)
+        return (sum(own) - self.d * len(own)) / (1 + customers) + self.rest(u) * self.below(w)
+
+    def put(self, at, d, fresh):
+        weights = [x - d for x in at] + [fresh]
+        k = self.rng.choices(range(len(weights)), weights)[0]
+        if k < len(at):
+            at[k] += 1
+        else:
+            at.append(1)
+        return k == len(weights) - 1
+
+    def take(self, at):
+        k = self.rng.choices(range(len(at)), at)[0]
+        at[k] -= 1
+        if not at[k]:
+            del at[k]
+            return True
+        return False
+
+    def sweep(self, first):
+        for u, w in self.seats:
+            if not first and self.take(self.tables[u, w]):
+                self.take(self.parent[w])
+            opens = (1 + self.d * sum(len(x) for (c, _), x in self.tables.items() if c == u)) * self.below(w)
+            if self.put(self.tables.setdefault((u, w), []), self.d, opens):
+                self.put(self.parent.setdefault(w, []), self.d0, (1 + self.d0 * sum(map(len, self.parent.values()))) / (self.words + 1))
+
+
+def test_lm_mean_equals_one_by_one(spark):
+    """The query's whole path on a tiny corpus against the mean of the sequential sampler."""
+    import random
+
+    rng, rows = random.Random(7), []
+    for i in range(40):
+        w = [rng.choice("abcdefgh")]
+        while len(w) < 9:
+            w.append(rng.choice([w[-1], chr(ord(w[-1]) % 8 + 97), rng.choice("abcdefgh")]))
+        rows.append((i, " ".join(w), "en"))
+    rows += [(100 + i, t, "en") for i, t in enumerate(["a b c", "h a never", "never", "q q q", "d e f g h"])]
+    seats = [(u, w) for i, t, _ in rows if fold(i, 5) != 1 for u, w in zip([None] + tokens(t), tokens(t))]
+    n = Counter(seats)
+    share = lambda counts: min(0.95, max(0.05, counts[1] / max(1, counts[1] + 2 * counts[2])))
+    d, d0 = share(Counter(n.values())), share(Counter(Counter(w for _, w in n).values()))
+    sampler, sums, kept = OneByOne(seats, len({w for _, w in seats}), d, d0, rng), Counter(), 60
+    asked = {(u, w) for _, t, _ in rows for u, w in zip([None] + tokens(t), tokens(t))}
+    for sweep in range(20 + kept):
+        sampler.sweep(sweep == 0)
+        if sweep >= 20:
+            sums.update({pair: sampler.p(*pair) / kept for pair in asked})
+    got = {r.doc_id: r for r in pitman_yor.score_texts(frame(spark, rows)).collect()}
+    for i, t, _ in rows:
+        want = sum(math.log10(sums[u, w]) for u, w in zip([None] + tokens(t), tokens(t)))
+        assert abs(got[i].score - want) / got[i].n_tokens < 0.05
+
+
+def test_lm_keeps_ids_as_they_are(spark):
+    docs = spark.createDataFrame([("a-1", "x y", 1), ("a-1", "x y", 2), (None, None, 3)], "doc_id string, text string, score int")
+    got = pitman_yor.score_texts(docs).collect()
+    assert sorted((r.doc_id or "", r.n_tokens) for r in got) == [("", 1), ("a-1", 3), ("a-1", 3)]
 
 
 def test_lm_knows_word_order(spark):
