@@ -153,14 +153,17 @@ def pack(docs: DataFrame) -> tuple[DataFrame, int]:
     schema = arrow(ddl)
 
     def run(batches):
+        import itertools
         import uuid
+        from collections import defaultdict
 
         import xxhash
 
         state: dict = {}
 
         def fresh():
-            state.update(index={b"": 0}, parts=[], sizes=[], ids=[], held=[], bytes=0)
+            index = defaultdict(itertools.count(1).__next__, {b"": 0})  # a word's number, given when first asked for
+            state.update(index=index, parts=[], sizes=[], ids=[], held=[], bytes=0)
 
         def flush():
             hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in state["index"]), np.uint64, len(state["index"]))
@@ -180,8 +183,8 @@ def pack(docs: DataFrame) -> tuple[DataFrame, int]:
         fresh()
         for batch in batches:
             for i, text, held in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "held"))):
-                words, index = tokens_of(text), state["index"]
-                state["parts"].append(np.array([index.setdefault(w, len(index)) for w in words], np.int32))
+                words = tokens_of(text)
+                state["parts"].append(np.fromiter(map(state["index"].__getitem__, words), np.int32, len(words)))
                 state["sizes"].append(len(words))
                 state["ids"].append(i)
                 state["held"].append(held)
@@ -251,7 +254,8 @@ def counted(blocks: DataFrame, places: DataFrame, n_parts: int) -> DataFrame:
 
     def merge(key, table):
         rows = table.to_pylist()
-        c, w, trained = (joined(rows, x, read) for x, read in (("context", risen), ("word", whole), ("trained", whole)))
+        contexts = [risen(r["context"]) for r in rows]
+        c, w, trained = np.concatenate(contexts), joined(rows, "word", whole), joined(rows, "trained", whole)
         words, numbers = np.unique(np.concatenate([c, w]), return_inverse=True)
         size, (context, word) = len(words), numbers.reshape(2, -1)
         pairs, at = np.unique(context * size + word, return_inverse=True)
@@ -259,15 +263,15 @@ def counted(blocks: DataFrame, places: DataFrame, n_parts: int) -> DataFrame:
         context, word = pairs // size, pairs % size
         often, once, known = n > 1, n == 1, n > 0
         rank = np.cumsum(often) - 1
-        asks, ends = [], np.cumsum([len(risen(r["context"])) for r in rows])
+        asks, ends = [], np.cumsum([len(x) for x in contexts])
         for r, x in zip(rows, np.split(at, ends[:-1])):
             asks.append({"block": r["block"], "codes": squeeze(np.minimum(n[x], 2).astype(np.uint8)), "at": rising(rank[x][often[x]])})
         ends_with = lambda b: sums_of(word, b, size)
         begins_with = lambda b: sums_of(context, b, size)
         active = ends_with(often) + begins_with(often) > 0
-        told = []
+        told, sums = [], [(ends_with(b), begins_with(b)) for b in (once, known)]
         for k, x in cut_at(words >> 32):
-            one, every = (squeeze(np.concatenate([ends_with(b)[x], begins_with(b)[x]])) for b in (once, known))
+            one, every = (squeeze(np.concatenate([a[x], b[x]])) for a, b in sums)
             told.append({"part": k, "at": rising(words[x] & 0xFFFFFFFF), "active": squeeze(active[x].astype(np.uint8)), "once": one, "all": every})
         number = np.cumsum(active) - 1
         packed = [squeeze(x.astype("<i8")) for x in (number[context[often]], number[word[often]], n[often])]
