@@ -11,8 +11,9 @@ learning folds and two windows of each (the one whose words speak most for the l
 Everything else runs over all rows, in tasks that hold one slice of documents at a time.
 
 Defined results: null and empty texts are scored as a window without words; repeated rows get equal
-scores; rows of ``labels`` with a null label or id teach nothing, and of several labels of one id the
-highest counts; without any label every score is 0.5. Other columns of the input are not looked at.
+scores; rows of ``labels`` with a null label or id teach nothing, of several labels of one id the highest counts and of
+several texts the first in order; words of equal weight come in order; a text of any length is cut into windows
+like the others; without any label every score is 0.5; an empty table gives an empty result. Other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import fold, stored
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 SAMPLE = 6000
 HIDDEN, WORD_DIM, CHAR_DIM, TRIGRAMS = 12, 12, 12, 1 << 15
 PREFIXES = (3, 4, 5)
@@ -293,6 +294,8 @@ def training_windows(docs: DataFrame, odds: dict[str, float]) -> tuple[list[list
     """Two windows per sampled document, chosen in the tasks."""
 
     def pick(batches):
+        import zlib
+
         import pandas as pd
 
         for pdf in batches:
@@ -303,11 +306,11 @@ def training_windows(docs: DataFrame, odds: dict[str, float]) -> tuple[list[list
                 worth = {w: max(odds.get(m, 0.0) for m in (w, *(f"{w[:n]}*" for n in PREFIXES))) for w in set(words)}
                 gain = [sum(worth[w] for w in set(words[s : s + WINDOW])) for s in at]
                 best = max(range(len(at)), key=gain.__getitem__)
-                for k in {best, int(i) % len(at)} if not toxic else {best}:
-                    rows.append((int(i), k, " ".join(words[at[k] : at[k] + WINDOW]), int(toxic)))
+                for k in {best, zlib.crc32(i.encode()) % len(at)} if not toxic else {best}:
+                    rows.append((i, k, " ".join(words[at[k] : at[k] + WINDOW]), int(toxic)))
             yield pd.DataFrame(rows, columns=["doc_id", "k", "words", "toxic"])
 
-    got = docs.select("doc_id", "text", "toxic").mapInPandas(pick, "doc_id long, k int, words string, toxic int")
+    got = docs.select("doc_id", "text", "toxic").mapInPandas(pick, "doc_id string, k int, words string, toxic int")
     rows = sorted((r.doc_id, r.k, r.words, r.toxic) for r in got.collect())
     return [r[2].split() for r in rows], [r[3] for r in rows]
 
@@ -357,7 +360,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
     drawn = known.filter(fold(F.col("doc_id"), folds) != held).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # at most ``sample`` ids, so the hint has a fixed bound
-    learn = stored(own.join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"]), "toxicity-sample")
+    learn = own.join(F.broadcast(drawn), "doc_id").groupBy(F.col("doc_id").cast("string").alias("doc_id"))
+    # of several texts of one id the first in order teaches, in every run
+    learn = stored(learn.agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")), "toxicity-sample")
     # a fifth of the sample only calibrates, so that what the network learnt by heart does not count
     rest = F.xxhash64(F.lit("calibrate"), "doc_id") % 5 == 0
     windows, y = training_windows(learn.filter(~rest), telling_words(learn.filter(~rest)))
