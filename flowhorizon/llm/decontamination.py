@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame, functions as F
 from .common import plain_words, stored
 
 SIMILARITY = 0.8
-KINDS = {"bigint": "int64", "int": "int32", "string": "string"}
 BLOCK_WORDS = 1_000_000
 
 
@@ -109,22 +108,27 @@ class Matcher:
         return out
 
 
-def blocks(benchmark: DataFrame, item_id: str, text: str, most: int = BLOCK_WORDS):
-    """Lists of (item id, plain text) of at most about ``most`` words each, read one block at a time."""
+def known_items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
+    """Stored test items (item, words, key); equal texts have one key."""
     plain = benchmark.select(F.col(item_id).alias("item"), plain_words(F.col(text)).alias("words")).filter("words <> ''")
-    plain = stored(plain, "benchmark-items")
-    total = plain.agg(F.sum(F.size(F.split("words", " ")))).first()[0] or 0
+    return stored(plain.withColumn("key", F.md5("words")), "benchmark-items")
+
+
+def blocks(items: DataFrame, most: int = BLOCK_WORDS):
+    """Lists of (key, plain text) of at most about ``most`` words each, read one block at a time; equal texts once."""
+    texts = stored(items.select("key", "words").distinct(), "benchmark-texts")
+    total = texts.agg(F.sum(F.size(F.split("words", " ")))).first()[0] or 0
     n = -(-int(total) * 2 // most) if total > most else 1
     for b in range(n):
-        part = plain.filter(F.pmod(F.xxhash64("item", "words"), F.lit(n)) == b) if n > 1 else plain
-        yield sorted(((r.item, r.words) for r in part.collect()), key=lambda x: (x[1], str(x[0])))
+        part = texts.filter(F.pmod(F.xxhash64("key"), F.lit(n)) == b) if n > 1 else texts
+        yield sorted(((r.key, r.words) for r in part.collect()), key=lambda x: x[1])
 
 
 def passages(docs: DataFrame, benchmark: DataFrame, keep=("doc_id",), text="text", item_id="item_id", item_text="text", similarity=SIMILARITY) -> DataFrame:
     """One row per document and item found in it: ``keep`` columns, item_id, distance in words, last_word."""
     keep = list(keep)
-    kinds, kind = dict(docs.dtypes), dict(benchmark.dtypes)[item_id]
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"item_id {kind}", "distance int", "last_word int"])
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "_key string, distance int, last_word int"])
     plain = docs.select(*keep, plain_words(F.col(text)).alias("_words"))
 
     def search(packed):
@@ -135,21 +139,24 @@ def passages(docs: DataFrame, benchmark: DataFrame, keep=("doc_id",), text="text
             for batch in batches:
                 hits = [(i, *hit) for i, t in enumerate(batch.column("_words").to_pylist()) for hit in matcher.match(t)]
                 rows = batch.select(keep).take(pa.array([h[0] for h in hits], pa.int64()))
-                found = [pa.array([h[1] for h in hits], KINDS[kind])] + [pa.array([h[k] for h in hits], pa.int32()) for k in (2, 3)]
-                yield pa.RecordBatch.from_arrays([*rows.columns, *found], [*keep, "item_id", "distance", "last_word"])
+                found = [pa.array([h[1] for h in hits], pa.string())] + [pa.array([h[k] for h in hits], pa.int32()) for k in (2, 3)]
+                yield pa.RecordBatch.from_arrays([*rows.columns, *found], [*keep, "_key", "distance", "last_word"])
 
         return run
 
     send = docs.sparkSession.sparkContext.broadcast
-    return reduce(DataFrame.union, [plain.mapInArrow(search(send(b)), schema) for b in blocks(benchmark, item_id, item_text)])
+    items = known_items(benchmark, item_id, item_text)
+    hits = reduce(DataFrame.union, [plain.mapInArrow(search(send(b)), schema) for b in blocks(items)])
+    named = items.select(F.col("key").alias("_of"), F.col("item").alias("item_id"))
+    return hits.join(named, hits["_key"] == named["_of"]).select(*[hits[c] for c in keep], named["item_id"], hits["distance"], hits["last_word"])
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text="text", item_id="item_id", item_text="text", similarity=SIMILARITY) -> DataFrame:
     """Documents in which no item stands, with all their columns."""
     columns, schema = docs.columns, docs.schema
     out = docs
-    for items in blocks(benchmark, item_id, item_text):
-        packed = docs.sparkSession.sparkContext.broadcast(items)
+    for texts in blocks(known_items(benchmark, item_id, item_text)):
+        packed = docs.sparkSession.sparkContext.broadcast(texts)
 
         def run(batches, packed=packed):
             import pyarrow as pa

@@ -204,12 +204,21 @@ def test_blocks_of_items_change_nothing(spark, monkeypatch):
     rows = [(i, f"a{i} b{i} c{i} d{i} e{i} f{i}") for i in range(60)]
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(rows, "item_id long, text string")
     monkeypatch.setattr(decontamination.blocks, "__defaults__", (40,))
-    assert len(list(decontamination.blocks(bench, "item_id", "text"))) > 3
+    assert len(list(decontamination.blocks(decontamination.known_items(bench, "item_id", "text")))) > 3
     got = decontamination.passages(docs, bench).collect()
     assert sorted((r.doc_id, r.item_id) for r in got) == [(i, i) for i in range(60)]
     assert decontamination.drop_contaminated(docs, bench).count() == 0
 
 
+def test_repeated_items_are_matched_once(spark):
+    """Equal items are one pattern, and still one row each."""
+    docs = spark.createDataFrame([(1, "x a b c d e f y"), (2, "nothing here")], "doc_id long, text string")
+    bench = spark.createDataFrame([(i % 3, "A b, c d e f!") for i in range(300)] + [(9, None)], "item_id long, text string")
+    assert [len(b) for b in decontamination.blocks(decontamination.known_items(bench, "item_id", "text"))] == [1]
+    got = decontamination.passages(docs, bench).groupBy("doc_id", "item_id").count().collect()
+    assert {(r.doc_id, r.item_id): r["count"] for r in got} == {(1, i): 100 for i in range(3)}
+
+
 def test_passages_without_a_benchmark(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     bench = spark.createDataFrame([], "item_id long, text string")
