@@ -29,7 +29,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that stand on over a thousandth of their source's documents and on five."""
+    """All documents, without the lines that repeat on over a thousandth of their source's documents."""
     tune(spark)
     return lines.drop_boilerplate(docs, "source", "text", max_ratio=SOURCE_RATIO)
 
