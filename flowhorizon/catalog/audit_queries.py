@@ -120,7 +120,7 @@ def q_timelines(spark, sf):
     with_(**RISK_SQL, n="SELECT *, row_number() OVER (PARTITION BY host_id ORDER BY target_window_start DESC, seq_start_time DESC) AS rn FROM risky",
           h="SELECT host_id FROM risky GROUP BY host_id ORDER BY count(*) DESC, host_id LIMIT 1")
     + """SELECT host_id, count(*) AS sequences, count(*) FILTER (WHERE alerted) AS alerts, max(risk_score) AS max_risk,
-    round(sum(risk_score) FILTER (WHERE rn <= 50), 2) AS timeline_risk, max(target_window_start) AS last_seen, count(*) FILTER (WHERE alerted) AS listed
+    round(sum(risk_score) FILTER (WHERE rn <= 500), 2) AS timeline_risk, max(target_window_start) AS last_seen, count(*) FILTER (WHERE alerted) AS listed
     FROM n JOIN h USING (host_id) GROUP BY host_id""",
     digits=2,
 )
