@@ -173,7 +173,9 @@ def interval_episodes(
     )
     # the second scan reads its input twice, so the first one is written down
     flagged = stage(flagged.select(*keys, "_s", "_e", "_new"), "episodes")
-    numbered = running(flagged, keys, ["_s", "_e"], [("_seg", segment)], {"_prior": ("sum", "_new")})
+    # of equal intervals the one that opens the episode comes first, or the others would count for the episode before
+    flagged = flagged.withColumn("_old", -F.col("_new"))
+    numbered = running(flagged, keys, ["_s", "_e", "_old"], [("_seg", segment)], {"_prior": ("sum", "_new")})
     return (
         numbered.groupBy(*keys, (F.col("_prior") + F.col("_new")).alias("episode"))
         .agg(

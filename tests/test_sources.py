@@ -296,3 +296,13 @@ def test_tables(spark, tmp_path):
     assert tables.read_ingest_summary(spark, str(tmp_path / "s"), 4).count() == 0
     tables.write_scored_csv(df.withColumn("a", F.array("id")), str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).columns == ["id", "split"]
+
+
+def test_equal_intervals_count_for_the_episode_they_open(spark, monkeypatch):
+    """Whatever the order in which the stored rows come back, here the worst one."""
+    monkeypatch.setattr(joins, "stage", lambda df, name="stage": df.orderBy("_new").coalesce(1).localCheckpoint())
+    t = dt.datetime(2024, 1, 1)
+    at = lambda h: t + dt.timedelta(hours=h)
+    rows = [("a", at(0), at(1)), *[("a", at(5), at(6))] * 3, *[("a", at(9), at(9))] * 2]
+    got = joins.interval_episodes(spark.createDataFrame(rows, "host string, s timestamp, e timestamp"), ["host"], "s", "e").orderBy("episode").collect()
+    assert [(r["episode"], r["episode_start"], r["intervals"]) for r in got] == [(1, at(0), 1), (2, at(5), 3), (3, at(9), 2)]
