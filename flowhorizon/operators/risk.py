@@ -54,7 +54,8 @@ def recent_alerts(
 ) -> DataFrame:
     """Add ``recent_alerts``: earlier alerts of the host no older than ``seconds``.
 
-    Rows are processed by (time, tie); a same-time row counts only what was processed before it.
+    Rows are processed by (time, tie); a same-time row counts only what came before it by ``tie``. Rows equal in both
+    do not count each other, so the count does not depend on the order in which they are read.
     The look-back is a fixed time, so a host's rows are spread over short spans with a halo.
     """
     back = seconds * MICROS
@@ -62,10 +63,10 @@ def recent_alerts(
     halo = with_time_halo(rows, "_t", back, max(HOUR_US, 4 * back))
     one = F.when(F.col(alerted), 1)
     earlier = F.count(one).over(W.partitionBy(host, "_span").orderBy("_t").rangeBetween(-back, -1))
-    same = F.count(one).over(
-        W.partitionBy(host, "_span", "_t").orderBy(*tie).rowsBetween(W.unboundedPreceding, -1)
-    )
-    return halo.withColumn("recent_alerts", earlier + same).filter("_own").drop("_t", "_span", "_own")
+    # the frame ends with the last row of an equal tie, whose own alerts are taken off again
+    up_to = F.count(one).over(W.partitionBy(host, "_span", "_t").orderBy(*tie).rangeBetween(W.unboundedPreceding, W.currentRow))
+    level = F.count(one).over(W.partitionBy(host, "_span", "_t", *tie))
+    return halo.withColumn("recent_alerts", earlier + up_to - level).filter("_own").drop("_t", "_span", "_own")
 
 
 def risk_components(
@@ -169,9 +170,14 @@ def assign_ids(alerts: DataFrame, after: int = 0) -> DataFrame:
 # --- views over scored rows and alerts -----------------------------------------------------
 
 
+def _tie(risky: DataFrame) -> list[str]:
+    """What orders rows of a host that are equal in both times, so that reruns agree."""
+    return [c for c in ("sequence_id",) if c in risky.columns]
+
+
 def host_rollup(risky: DataFrame) -> DataFrame:
     """Per host: sequences, alerts, latest and highest risk, last seen, level."""
-    latest = F.struct("target_window_start", "seq_start_time")
+    latest = F.struct("target_window_start", "seq_start_time", *_tie(risky))
     return (
         risky.groupBy("host_id")
         .agg(
@@ -195,7 +201,8 @@ def timelines(risky: DataFrame, points: int = TIMELINE_POINTS) -> DataFrame:
 
     ``row_number <= n`` is limited per task before the shuffle, so a busy host sends little.
     """
-    newest = W.partitionBy("host_id").orderBy(F.desc("target_window_start"), F.desc("seq_start_time"))
+    order = [F.desc(c) for c in ("target_window_start", "seq_start_time", *_tie(risky))]
+    newest = W.partitionBy("host_id").orderBy(*order)
     kept = risky.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= points)
     point = F.struct((-F.col("_n")).alias("o"), F.col("target_window_start").alias("t"), "risk_score", F.round("p", 4).alias("p"), "alerted")
     return kept.groupBy("host_id").agg(

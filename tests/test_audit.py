@@ -191,3 +191,21 @@ def test_export_text(spark, tmp_path):
     siem.export_text(make_alerts(spark, 10), "jsonl", str(tmp_path / "out"))
     lines = spark.read.json(str(tmp_path / "out"))
     assert lines.count() == 10 and lines.filter("event.severity = 2").count() > 0
+
+
+def test_equal_rows_do_not_count_each_other(spark):
+    t = dt.datetime(2024, 1, 1)
+    rows = [("h", t, t, True, f"q{i}") for i in range(4)] + [("h", t, t + dt.timedelta(minutes=1), True, "later")]
+    ddl = "host_id string, target_window_start timestamp, seq_start_time timestamp, alerted boolean, sequence_id string"
+    got = risk.recent_alerts(spark.createDataFrame(rows, ddl)).collect()
+    assert {r["sequence_id"]: r["recent_alerts"] for r in got} == {"q0": 0, "q1": 0, "q2": 0, "q3": 0, "later": 4}
+
+
+def test_equal_times_in_roll_up_and_timeline_follow_the_sequence(spark):
+    t = dt.datetime(2024, 1, 1)
+    ddl = "sequence_id string, host_id string, target_window_start timestamp, seq_start_time timestamp, risk_score double, p double, alerted boolean"
+    rows = [(f"q{i}", "h", t, t, float(i), i / 10, i % 2 == 0) for i in range(6)]
+    for part in (rows, rows[::-1], rows[3:] + rows[:3]):
+        df = spark.createDataFrame(part, ddl).coalesce(1)
+        assert risk.host_rollup(df).first()["latest_risk"] == 5.0
+        assert [x["risk"] for x in risk.timelines(df, 4).first()["timeline"]] == [2.0, 3.0, 4.0, 5.0]
