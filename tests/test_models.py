@@ -186,3 +186,9 @@ def test_gradient_is_zero_at_the_fit_only(spark, rows):
     assert np.allclose([got[i] for i in range(-1, 12)], want) and abs(got[-1]) > 0.05
     with pytest.raises(ValueError, match="model table"):
         models.linear_model(table.filter("position <> 3"))
+
+
+def test_equal_steps_are_taken_apart_once(spark):
+    df = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0]],), ([[3.0, 4.0], [1.0, 2.0]],)], "model_inputs array<array<float>>")
+    got = scaling.feature_values(df, "model_inputs", ["a", "b"]).collect()
+    assert sorted((r["feature"], r["value"], r["times"]) for r in got) == [(0, 1.0, 2), (0, 3.0, 2), (1, 2.0, 2), (1, 4.0, 2)]
