@@ -158,3 +158,17 @@ def test_spread_small(spark):
     assert spread_small(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     wide = spark.range(100).repartition(64)
     assert spread_small(wide) is wide
+
+
+def test_weighted_ranks_equal_repeated_rows(spark):
+    df = spark.createDataFrame([("a", 1.0, 3), ("a", 2.0, 1), ("a", 5.0, 2)], "g string, v double, n int")
+    ranks = spark.createDataFrame([("a", i) for i in range(7)], "g string, rank bigint")
+    got = {r["rank"]: (r["value"], r["below"], r["equal"]) for r in select_ranks(df, "v", ranks, ["g"], "n").collect()}
+    assert got == {**{i: (1.0, 0, 3) for i in range(3)}, 3: (2.0, 3, 1), 4: (5.0, 4, 2), 5: (5.0, 4, 2)}
+
+
+def test_spread_rows_bounds_the_rows_of_a_task(spark):
+    from flowhorizon.plans.scan import spread_rows
+
+    dealt = spread_rows(spark.range(1000).coalesce(1), 25)
+    assert dealt.rdd.getNumPartitions() == 40 and max(dealt.rdd.glom().map(len).collect()) <= 50
