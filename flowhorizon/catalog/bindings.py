@@ -17,12 +17,15 @@ from ..operators.sequences import build_sequences
 from ..operators.splits import temporal_split
 from ..operators.windows import host_windows
 from ..plans.scan import spread_rows, spread_small
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, size_shuffles
 from ..sinks.tables import stage
 
 WINDOW = 6 * 3600
 STRIDE = 3 * 3600
 LENGTH = 10
+#: a flow is five values in two windows, each a group of the merge behind a shuffle
+FLOWS_A_PARTITION = 20_000
+SHUFFLE_BYTES = "16m"
 HOSTS = 150  # modulus of the peer address
 
 
@@ -37,7 +40,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical unlabelled flows from ``events``."""
-    return flow_columns(spread_rows(spark.read.parquet(f"{sf_dir}/events.parquet")))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    size_shuffles(spark, events.count(), FLOWS_A_PARTITION, SHUFFLE_BYTES)
+    return flow_columns(spread_rows(events))
 
 
 def flow_columns(e: DataFrame) -> DataFrame:
