@@ -79,8 +79,8 @@ def q_risk(spark, sf):
     """SELECT vec_id, count(*) FILTER (WHERE abs(v) > 0.1) / count(*) AS share FROM (SELECT vec_id, unnest(embedding) AS v FROM embeddings) GROUP BY vec_id""",
 )
 def q_abnormality(spark, sf):
-    e = B.table(spark, sf, "embeddings")
-    return e.select("vec_id", risk.abnormality(F.col("embedding").cast("array<double>"), 0.1).alias("share"))
+    e = B.table(spark, sf, "embeddings").filter(F.size("embedding") > 0)
+    return e.select("vec_id", risk.abnormality(F.col("embedding"), F.lit(0.1).cast("float")).alias("share"))
 
 
 @query(

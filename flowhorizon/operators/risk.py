@@ -39,8 +39,9 @@ def max_reachable_risk(weights: dict[str, float] = RISK_WEIGHTS, stages: bool =
     return round(100 * (sum(v for k, v in w.items() if k != "stage_severity") + w["stage_severity"] * top), 2)
 
 
-def abnormality(last_scaled: Column, limit: float = 3.0) -> Column:
-    """Share of the last window's scaled inputs beyond ``limit``."""
+def abnormality(last_scaled: Column, limit: float | Column = 3.0) -> Column:
+    """Share of the last window's scaled inputs beyond ``limit``, a column where it has to be of the inputs' own type:
+    a float is widened to meet a number, so that the float nearest to 0.1 would be beyond 0.1."""
     return F.array_size(F.filter(last_scaled, lambda x: F.abs(x) > limit)) / F.array_size(last_scaled)
 
 

@@ -209,3 +209,14 @@ def test_equal_times_in_roll_up_and_timeline_follow_the_sequence(spark):
         df = spark.createDataFrame(part, ddl).coalesce(1)
         assert risk.host_rollup(df).first()["latest_risk"] == 5.0
         assert [x["risk"] for x in risk.timelines(df, 4).first()["timeline"]] == [2.0, 3.0, 4.0, 5.0]
+
+
+def test_abnormality_at_the_limit_equals_the_sql(spark, tmp_path):
+    """A component that is the float nearest to the limit is not beyond it; vectors without components have no share."""
+    import __spark_entry__ as entry
+    from compare import compare, connect
+
+    rows = [(1, [0.1, -0.1, 0.5, 0.0]), (2, [0.10000001, 0.2, float("nan"), None]), (3, []), (4, None)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "w"))
+    next((tmp_path / "w").glob("*.parquet")).rename(tmp_path / "embeddings.parquet")
+    assert compare(entry.queries()["abnormality"](spark, str(tmp_path)), connect(str(tmp_path)), entry.oracle_sql()["abnormality"]) is None
