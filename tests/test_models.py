@@ -192,3 +192,22 @@ def test_equal_steps_are_taken_apart_once(spark):
     df = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0]],), ([[3.0, 4.0], [1.0, 2.0]],)], "model_inputs array<array<float>>")
     got = scaling.feature_values(df, "model_inputs", ["a", "b"]).collect()
     assert sorted((r["feature"], r["value"], r["times"]) for r in got) == [(0, 1.0, 2), (0, 3.0, 2), (1, 2.0, 2), (1, 4.0, 2)]
+
+
+def test_fit_reaches_the_optimum_of_dependent_inputs(spark):
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(600, 1))
+    x = np.hstack([base + 0.001 * rng.normal(size=(600, 6)), 1000 * rng.gamma(0.1, 1, (600, 2))])
+    y = (rng.random(600) < 1 / (1 + np.exp(-3 * base[:, 0]))).astype(int)
+    train = spark.createDataFrame([([a[:4].tolist(), a[4:].tolist()], int(b)) for a, b in zip(x, y)], "scaled array<array<float>>, y int")
+    gradient = models.penalised_gradient(train, models.fit_logistic(train)).collect()
+    assert len(gradient) == 9 and max(abs(r["gradient"]) for r in gradient) < 1e-5
+
+
+def test_missing_and_short_steps_are_scaled_as_before(spark):
+    params = spark.createDataFrame([(0, "a", 2.0, 1.0, 4.0), (1, "flow_count", 0.5, 0.5, 0.25)], "feature int, name string, median double, center double, scale double")
+    rows = [(1, [[5.0, 0.0], [None, float("inf")]]), (2, []), (3, None), (4, [[1.0, 3.0], None])]
+    df = spark.createDataFrame(rows, "id int, model_inputs array<array<float>>")
+    got = {r["id"]: r["scaled"] for r in scaling.apply_scaler(df, params, names=["a", "flow_count"]).collect()}
+    assert got[1] == [[1.0, -2.0], [0.25, 0.0]] and got[2] == [] and got[3] is None
+    assert got[4] == [[0.0, pytest.approx((np.log1p(3) - 0.5) * 4)], [0.25, 0.0]]
