@@ -211,3 +211,33 @@ def test_missing_and_short_steps_are_scaled_as_before(spark):
     got = {r["id"]: r["scaled"] for r in scaling.apply_scaler(df, params, names=["a", "flow_count"]).collect()}
     assert got[1] == [[1.0, -2.0], [0.25, 0.0]] and got[2] == [] and got[3] is None
     assert got[4] == [[0.0, pytest.approx((np.log1p(3) - 0.5) * 4)], [0.25, 0.0]]
+
+
+def test_folds_share_their_passes_and_equal_single_rounds(spark):
+    import datetime as dt
+
+    from flowhorizon.operators.splits import assign_fold
+
+    rng = np.random.default_rng(5)
+    out = []
+    for i in range(320):
+        y, begin = int(rng.random() < 0.4), dt.datetime(2024, 1, 1 + i % 8, 12)
+        x = rng.gamma(2, 5, (2, 3)) * (1 + 2 * y)
+        x[0, 1] = np.nan if i % 9 == 0 else x[0, 1]
+        out.append((x.tolist(), y, begin, begin + dt.timedelta(hours=24 if i % 10 == 0 else 2)))
+    df = spark.createDataFrame(out, "model_inputs array<array<float>>, y int, seq_start_time timestamp, target_window_end timestamp")
+    df = df.repartition(4).cache()
+    folds = [(dt.date(2024, 1, d), dt.date(2024, 1, d - 1 or 2)) for d in range(1, 9)]
+
+    def last_job() -> int:
+        spark.sparkContext.setJobGroup("count", "")
+        spark.range(1).rdd.count()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return max(spark.sparkContext.statusTracker().getJobIdsForGroup("count"))
+
+    before = last_job()
+    got = {r["test_day"]: r.asDict() for r in models.run_folds(df, folds, names=NAMES).collect()}
+    assert len(got) == 8 and last_job() - before < 200
+    for fold in folds[:2]:
+        want = models.run_round(assign_fold(df, *fold), names=NAMES).first().asDict()
+        assert {k: pytest.approx(v, rel=1e-5) for k, v in want.items()} == {k: got[fold[0]][k] for k in want}
