@@ -247,16 +247,21 @@ def q_horizon(spark, sf):
     UNION ALL SELECT 'altered', count(*) FILTER (WHERE length(host_id) = 2), count(*) FROM seqs""",
 )
 def q_horizon_check(spark, sf):
-    """The first future window against the stored target; then with the targets of some hosts altered, which must be found."""
+    """The first future window against the stored target; then with the targets of some hosts altered, which must be found.
+
+    Both are counted in one pass over what the comparison needs, so that no sequence is written or shuffled with its inputs.
+    """
     w = B.windows(spark, sf)
-    s = Q.build_sequences(w, B.LENGTH, 1, 1, B.WINDOW, B.STRIDE, PRESENT)
-    m = stage(Q.multi_horizon_targets(s, w, 3, window_seconds=B.WINDOW, stride_seconds=B.STRIDE, features=PRESENT), "horizons")
+    s = Q.build_sequences(w, B.LENGTH, 1, 1, B.WINDOW, B.STRIDE, PRESENT).select("host_id", "seq_end_time", "target_features")
+    m = Q.multi_horizon_targets(s, w, 3, window_seconds=B.WINDOW, stride_seconds=B.STRIDE, features=PRESENT)
     shifted = F.transform("target_features", lambda x: (x * 2 + 1).cast("float"))
-    altered = m.withColumn("target_features", F.when(F.length("host_id") == 2, shifted).otherwise(F.col("target_features")))
-    count = lambda df: df.agg(F.count(F.lit(1)).alias("mismatches"))
-    total = m.agg(F.count(F.lit(1))).scalar()
-    found = [count(Q.horizon_mismatches(d, stored=PRESENT, names=PRESENT)).select(F.lit(n).alias("targets"), "mismatches", total.alias("sequences")) for n, d in (("stored", m), ("altered", altered))]
-    return found[0].union(found[1])
+    altered = F.when(F.length("host_id") == 2, shifted).otherwise(F.col("target_features"))
+    off = Q.horizon_off(stored=PRESENT, names=PRESENT)
+    counts = m.select(off.alias("stored"), "*").withColumn("target_features", altered).agg(
+        F.count_if("stored").alias("stored"), F.count_if(off).alias("altered"), F.count(F.lit(1)).alias("sequences")
+    )
+    each = F.array(*[F.struct(F.lit(n).alias("targets"), F.col(n).alias("mismatches")) for n in ("stored", "altered")])
+    return counts.select("sequences", F.inline(each)).select("targets", "mismatches", "sequences")
 
 
 @query(

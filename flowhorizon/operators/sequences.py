@@ -200,16 +200,21 @@ def multi_horizon_targets(sequences: DataFrame, windows: DataFrame, horizons: in
     return joined.withColumn("future_count", F.coalesce(F.array_size("future_features"), F.lit(0)))
 
 
-def horizon_mismatches(
-    with_future: DataFrame, rtol: float = 1e-4, atol: float = 1e-3, stored: list[str] = WINDOW_FEATURES, names: list[str] = MODEL_FEATURES
-) -> DataFrame:
-    """Sequences whose first future window (features ``names``) differs from their own target (features ``stored``)."""
+def horizon_off(rtol: float = 1e-4, atol: float = 1e-3, stored: list[str] = WINDOW_FEATURES, names: list[str] = MODEL_FEATURES) -> Column:
+    """True where the first future window (features ``names``) differs from the row's own target (features ``stored``)."""
     expected = pick(F.col("target_features"), stored, names)
     got = F.get("future_features", F.lit(0))
     off = F.exists(
         F.zip_with(got, expected, lambda a, b: F.abs(a - b) > F.lit(atol) + F.lit(rtol) * F.abs(b)), lambda x: x
     )
-    return with_future.filter((F.col("future_count") > 0) & off)
+    return (F.col("future_count") > 0) & off
+
+
+def horizon_mismatches(
+    with_future: DataFrame, rtol: float = 1e-4, atol: float = 1e-3, stored: list[str] = WINDOW_FEATURES, names: list[str] = MODEL_FEATURES
+) -> DataFrame:
+    """Sequences whose first future window (features ``names``) differs from their own target (features ``stored``)."""
+    return with_future.filter(horizon_off(rtol, atol, stored, names))
 
 
 def unknown_stages(sequences: DataFrame) -> DataFrame:

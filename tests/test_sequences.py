@@ -155,3 +155,16 @@ def test_day_folds(spark):
     assert days == {"2024-01-01": "2024-01-02", "2024-01-02": "2024-01-03", "2024-01-03": "2024-01-02", "2024-01-04": "2024-01-03"}
     fold = {r["sequence_id"]: r["split"] for r in splits.assign_fold(s, "2024-01-03", "2024-01-02").collect()}
     assert fold == {"s0": "train", "over0": "purged", "s1": "val", "over1": "purged", "s2": "test", "over2": "purged", "s3": "train", "over3": "train"}
+
+
+def test_horizon_check_stores_the_windows_only(spark, sf):
+    from pathlib import Path
+
+    from flowhorizon.catalog import load
+    from flowhorizon.session import ensure_checkpoint_dir
+
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:")) / "flowhorizon-stage"
+    before = set(folder.glob("*"))
+    got = {r["targets"]: r for r in load()[0]["horizon_check"](spark, sf).collect()}
+    assert got["stored"]["mismatches"] == 0 < got["altered"]["mismatches"] < got["altered"]["sequences"]
+    assert {p.name.split("-")[0] for p in set(folder.glob("*")) - before} == {"windows"}
