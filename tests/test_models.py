@@ -241,3 +241,16 @@ def test_folds_share_their_passes_and_equal_single_rounds(spark):
     for fold in folds[:2]:
         want = models.run_round(assign_fold(df, *fold), names=NAMES).first().asDict()
         assert {k: pytest.approx(v, rel=1e-5) for k, v in want.items()} == {k: got[fold[0]][k] for k in want}
+
+
+def test_scored_sequences_are_stored_once_without_copies(spark, sf):
+    from pathlib import Path
+
+    from flowhorizon.catalog import load
+    from flowhorizon.session import ensure_checkpoint_dir
+
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:")) / "flowhorizon-stage"
+    before = set(folder.glob("*"))
+    assert load()[0]["score_sequences"](spark, sf).filter("attack_probability is null").count() == 0
+    made = [p for p in set(folder.glob("*")) - before if p.name.split("-")[0] in ("sequences", "inputs", "train", "scaled")]
+    assert len(made) == 1 and set(spark.read.parquet(str(made[0])).columns) == {"sequence_id", "seq_start_time", "target_window_end", "model_inputs", "y"}
